@@ -1,6 +1,6 @@
 """Every query of the core by name."""
 
-from quarryline.plans import problems
+from quarryline.plans import problems, relational
 
-QUERIES = dict(problems.QUERIES)
-SQL = dict(problems.SQL)
+QUERIES = problems.QUERIES | relational.QUERIES
+SQL = problems.SQL | relational.SQL
