@@ -13,9 +13,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Parsed = tuple[str | None, list[tuple[str, str | None, bool]]]
-MANIFEST = "declared string, deps array<struct<name:string,version:string,indirect:boolean>>"
+MANIFEST = T.StructType([
+    T.StructField("declared", T.StringType()),
+    T.StructField("deps", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.StringType()), T.StructField("indirect", T.BooleanType())]))),
+])
 
 
 def go_mod(text: str) -> Parsed:
@@ -197,7 +201,7 @@ def title_similarity(a: str, b: str) -> float:
     return max(difflib.SequenceMatcher(None, a, b).ratio(), len(one & two) / len(one | two) if one | two else 0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_sim(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([title_similarity(x or "", y or "") for x, y in zip(a, b)])
 
@@ -229,7 +233,7 @@ def redact(text: str) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redacted(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else redact(t))
 

@@ -51,7 +51,7 @@ def excerpt(text: Column, size: int = 120) -> Column:
 
 
 def md_cell(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"\|", r"\\\\|"))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"\|", r"\\|"))
 
 
 def csv_cell(text: Column) -> Column:

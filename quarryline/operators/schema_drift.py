@@ -45,7 +45,7 @@ def parse_records(raw: DataFrame) -> DataFrame:
     Lines that aren't valid JSON, aren't objects, or are NULL are skipped. Unknown datasets have no record key.
     """
     doc = raw.select(*LINE, "file_no", "file_name", F.try_parse_json("body").alias("doc")).where(F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT"))
-    fields = doc.select(*LINE, "file_no", "file_name", F.expr("cast(doc as map<string, variant>)").alias("fields"))
+    fields = doc.select(*LINE, "file_no", "file_name", F.try_variant_get("doc", "$", "map<string, variant>").alias("fields"))
     record, own = F.lit(None).cast("string"), F.array().cast("array<string>")
     for name, keys in RECORD_KEYS.items():
         key = F.to_json(F.array(*[F.try_variant_get(F.col("fields")[k], "$", "string") for k in keys]))
