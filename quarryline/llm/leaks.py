@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import sys
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,7 +146,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, errors:
     for i in range(blocks):
         own = [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()]
         sent = documents.sparkSession.sparkContext.broadcast(own)
-        name = f"{id(sent)}-{window}-{errors}"
+        name = uuid.uuid4().hex  # an index that a worker still holds from another search must not be taken for this one
 
         def search(batches: Iterator[pd.DataFrame], sent=sent, name=name) -> Iterator[pd.DataFrame]:
             cache = sys.__dict__.setdefault("_quarryline_items", {})
