@@ -7,10 +7,13 @@ never become leaves lie on cycles (or above one, if a node has several parents).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quarryline.workspace import discard, workspace
+from quarryline.workspace import materialize, workspace
 
 #: Relations of the portfolio graph that lead from parent to child, and from child to parent; fixed values.
 DOWN = ("contains", "includes", "owns", "has_ref")
@@ -27,13 +30,19 @@ def hierarchy_links(edges: DataFrame) -> DataFrame:
     )
 
 
-def resolve_trees(links: DataFrame) -> DataFrame:
+#: With so few nodes left, the remaining rounds run in one task: deep chains leave a long tail of tiny rounds.
+LOCAL_ROWS = 20_000
+_STATE = "node string, parent string, size bigint, leaf boolean"
+_PATHS = "node string, size bigint, path array<string>, round int"
+
+
+def resolve_trees(links: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """One row per node at an end of a link: node_id, root_id, depth, path (root first), subtree_size, level.
 
     A node on a cycle has root_id ``(cycle)`` and depth -1, one below a cycle ``(below cycle)`` and -1; their path
     and subtree_size are NULL. A node with several parents takes the smallest parent id, so that the result is a
     forest. level is the round in which the node was peeled, NULL on cycles. No links give no rows. Repeated links
-    and links with a NULL end change nothing.
+    and links with a NULL end change nothing. local_rows bounds what one task gets; the result doesn't depend on it.
     """
     spark = links.sparkSession
     base = workspace(spark)
@@ -42,24 +51,22 @@ def resolve_trees(links: DataFrame) -> DataFrame:
     nodes = tree.select(F.col("child").alias("node"), "parent").unionByName(clean.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent"))).groupBy("node").agg(F.max("parent").alias("parent"))
     children = tree.groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"))
     first = nodes.join(children.withColumnRenamed("parent", "node"), "node", "left").select("node", "parent", F.lit(1).cast("bigint").alias("size"), F.col("n_children").isNull().alias("leaf"))
-    level = 0
-    state = f"{base}/state=0"
+    level, state = 0, f"{base}/states/level=0"
     total, leaves = _write_counted(first, state)
-    while leaves:
+    # a round's state keeps its leaves: they are what the round peels
+    while leaves and total > local_rows:
         now = spark.read.schema(_STATE).parquet(state)
-        now.where("leaf").select("node", "parent", "size").write.parquet(f"{base}/peeled/level={level}")
         level += 1
-        following = f"{base}/state={level}"
+        state = f"{base}/states/level={level}"
         sent = now.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count_if(~F.col("leaf")).alias("left_over"), F.sum(F.when(F.col("leaf"), F.col("size")).otherwise(0)).alias("more"))
         rest = now.where(~F.col("leaf")).join(sent, "node", "left").select("node", "parent", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.coalesce("left_over", F.lit(0)) == 0).alias("leaf"))
-        total, leaves = _write_counted(rest, following) if leaves < total else (0, 0)
-        if total or leaves:
-            discard(spark, state)
-            state = following
-    return _downward(spark, base, state, level)
-
-
-_STATE = "node string, parent string, size bigint, leaf boolean"
+        total, leaves = _write_counted(rest, state)
+    rest = spark.read.schema(_STATE).parquet(state)
+    if leaves:
+        top = materialize(rest.coalesce(1).mapInPandas(_finish(level), _PATHS), f"{base}/top")
+    else:
+        top = rest.select("node", "size", F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("int").alias("round"))
+    return _downward(spark, base, top, level)
 
 
 def _write_counted(state: DataFrame, path: str) -> tuple[int, int]:
@@ -69,33 +76,67 @@ def _write_counted(state: DataFrame, path: str) -> tuple[int, int]:
     return seen.get["n"], seen.get["leaves"]
 
 
-def _downward(spark, base: str, residual_path: str, levels: int) -> DataFrame:
-    """Paths in the reverse order of the rounds. Messages to the children of a level wait in the level they're for."""
-    shape = "node string, parent string, size bigint"
-    residual = spark.read.schema(_STATE).parquet(residual_path).where(~F.col("leaf"))
-    cyclic = residual.select(F.col("node").alias("node_id"), F.lit("(cycle)").alias("root_id"), F.lit(-1).cast("bigint").alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("bigint").alias("subtree_size"), F.lit(None).cast("int").alias("level"))
-    if not levels:
-        return cyclic
-    peeled = spark.read.schema(f"{shape}, level int").option("basePath", f"{base}/peeled").parquet(f"{base}/peeled")
-    above = peeled.select(F.col("node").alias("parent"), F.col("level").alias("parent_level"))
-    # every link once, filed under the level of its parent; children of cycles and roots start with what they know
-    linked = peeled.join(above, "parent", "left")
-    linked.where(F.col("parent_level").isNotNull()).select("node", "parent", "size", "level", "parent_level").write.partitionBy("parent_level").parquet(f"{base}/links")
-    start = linked.where(F.col("parent_level").isNull()).select("node", "size", F.when(F.col("parent").isNull(), F.array("node")).alias("path"), "level")
-    start.write.partitionBy("level").mode("append").parquet(f"{base}/paths")
-    listed = "node string, size bigint, path array<string>, level int"
-    links = spark.read.schema(f"{shape}, level int, parent_level int").parquet(f"{base}/links") if _exists(spark, f"{base}/links", "parent_level=") else None
-    for at in range(levels - 1, 0, -1):
-        if links is None or not _exists(spark, f"{base}/links/parent_level={at}", "part-"):
-            continue
-        known = spark.read.schema("node string, size bigint, path array<string>").parquet(f"{base}/paths/level={at}")
-        down = spark.read.schema("node string, parent string, size bigint, level int").parquet(f"{base}/links/parent_level={at}")
-        reached = down.join(known.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent")
-        reached.select("node", "size", F.concat("above", F.array("node")).alias("path"), "level").write.partitionBy("level").mode("append").parquet(f"{base}/paths")
-    paths = spark.read.schema(listed).parquet(f"{base}/paths")
-    found = paths.select(F.col("node").alias("node_id"), F.coalesce(F.element_at("path", 1), F.lit("(below cycle)")).alias("root_id"), F.coalesce(F.size("path") - 1, F.lit(-1)).cast("bigint").alias("depth"), "path", F.when(F.col("path").isNotNull(), F.col("size")).alias("subtree_size"), "level")
-    found = found.withColumn("depth", F.when(F.col("path").isNull(), F.lit(-1).cast("bigint")).otherwise(F.col("depth")))
-    return found.unionByName(cyclic)
+def _finish(level: int):
+    """The remaining rounds, up and down, over nodes that fit a task; rounds go on counting from level."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches))
+        parent = {n: p for n, p in zip(pdf["node"], pdf["parent"]) if isinstance(p, str)}
+        size = dict(zip(pdf["node"], pdf["size"]))
+        waiting = dict.fromkeys(pdf["node"], 0)
+        for p in parent.values():
+            if p in waiting:
+                waiting[p] += 1
+        front, order, rounds = [n for n, k in waiting.items() if not k], [], {}
+        at = level
+        while front:
+            following = []
+            for n in front:
+                rounds[n] = at
+                order.append(n)
+                p = parent.get(n)
+                if p in waiting:
+                    size[p] += size[n]
+                    waiting[p] -= 1
+                    if not waiting[p]:
+                        following.append(p)
+            front, at = following, at + 1
+        paths: dict[str, list[str] | None] = {}
+        for n in reversed(order):
+            p = parent.get(n)
+            above = [] if p is None else paths.get(p) if p in rounds else None
+            paths[n] = None if above is None else [*above, n]
+        yield pd.DataFrame({"node": pdf["node"], "size": [size[n] for n in pdf["node"]], "path": [paths.get(n) for n in pdf["node"]], "round": pd.array([rounds.get(n) for n in pdf["node"]], dtype="Int32")})
+
+    return run
+
+
+def _downward(spark, base: str, top: DataFrame, levels: int) -> DataFrame:
+    """Paths of the nodes peeled in rounds before ``levels``, in the reverse order of the rounds.
+
+    Every link is filed under its parent's round and read once; the children of a round wait in the round they were
+    peeled in. top holds what was known without that: the nodes peeled last with their paths, and those on cycles.
+    """
+    cyclic = top.where("round is null")
+    paths = top.where("round is not null")
+    if levels:
+        paths.withColumn("level", F.lit(levels)).write.partitionBy("level").parquet(f"{base}/paths")
+        peeled = spark.read.schema(f"{_STATE}, level int").option("basePath", f"{base}/states").parquet(f"{base}/states").where(F.col("leaf") & (F.col("level") < levels)).select("node", "parent", "size", "level")
+        above = peeled.select(F.col("node").alias("parent"), F.col("level").alias("parent_level")).unionByName(paths.select(F.col("node").alias("parent"), F.lit(levels).alias("parent_level")))
+        linked = peeled.join(above, "parent", "left")
+        linked.where(F.col("parent_level").isNotNull()).select("node", "parent", "size", "level", "parent_level").write.partitionBy("parent_level").parquet(f"{base}/links")
+        linked.where(F.col("parent_level").isNull()).select("node", "size", F.when(F.col("parent").isNull(), F.array("node")).alias("path"), F.col("level").alias("round"), "level").write.partitionBy("level").mode("append").parquet(f"{base}/paths")
+        for at in range(levels, 0, -1):
+            if not (_exists(spark, f"{base}/links/parent_level={at}", "part-") and _exists(spark, f"{base}/paths/level={at}", "part-")):
+                continue
+            known = spark.read.schema(_PATHS).parquet(f"{base}/paths/level={at}")
+            down = spark.read.schema("node string, parent string, size bigint, level int").parquet(f"{base}/links/parent_level={at}")
+            reached = down.join(known.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent")
+            reached.select("node", "size", F.concat("above", F.array("node")).alias("path"), F.col("level").alias("round"), "level").write.partitionBy("level").mode("append").parquet(f"{base}/paths")
+        paths = spark.read.schema(f"{_PATHS}, level int").parquet(f"{base}/paths") if _exists(spark, f"{base}/paths", "level=") else paths
+    known = F.col("path").isNotNull()
+    found = paths.select(F.col("node").alias("node_id"), F.when(known, F.get("path", F.lit(0))).otherwise("(below cycle)").alias("root_id"), F.when(known, F.size("path") - 1).otherwise(-1).cast("bigint").alias("depth"), "path", F.when(known, F.col("size")).alias("subtree_size"), F.col("round").alias("level"))
+    return found.unionByName(cyclic.select(F.col("node").alias("node_id"), F.lit("(cycle)").alias("root_id"), F.lit(-1).cast("bigint").alias("depth"), "path", F.lit(None).cast("bigint").alias("subtree_size"), F.col("round").alias("level")))
 
 
 def _exists(spark, path: str, prefix: str) -> bool:

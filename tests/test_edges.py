@@ -64,13 +64,14 @@ def test_changefeed_empty(spark):
     assert changefeed.apply_feed(feed(spark, []), workspace(spark), ["k"], ["log_no", "log_pos"], ["v"], "feed_pos").count() == 0
 
 
-def trees(spark, links):
-    return hierarchy.resolve_trees(spark.createDataFrame(links, "parent string, child string"))
+def trees(spark, links, local_rows=hierarchy.LOCAL_ROWS):
+    return hierarchy.resolve_trees(spark.createDataFrame(links, "parent string, child string"), local_rows)
 
 
-def test_hierarchy(spark):
+@pytest.mark.parametrize("local_rows", [0, 5, 1000])
+def test_hierarchy(spark, local_rows):
     links = [("r", "a"), ("r", "a"), ("a", "b"), ("b", "c"), ("r", "d"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "w"), ("s", "s"), (None, "n"), ("n", None)]
-    got = trees(spark, links)
+    got = trees(spark, links, local_rows)
     assert rows(got, "node_id", "root_id", "depth", "subtree_size") == [
         ("a", "r", 1, 3), ("b", "r", 2, 2), ("c", "r", 3, 1), ("d", "r", 1, 1), ("r", "r", 0, 5), ("s", "(cycle)", -1, None),
         ("w", "(below cycle)", -1, None), ("x", "(cycle)", -1, None), ("y", "(cycle)", -1, None), ("z", "(below cycle)", -1, None),
@@ -78,9 +79,10 @@ def test_hierarchy(spark):
     assert rows(hierarchy.descendants(got), "ancestor", "node_id", "distance") == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("r", "a", 1), ("r", "b", 2), ("r", "c", 3), ("r", "d", 1)]
 
 
-def test_hierarchy_without_trees(spark):
-    assert trees(spark, []).count() == 0
-    assert rows(trees(spark, [("a", "b"), ("b", "a")]), "node_id", "root_id") == [("a", "(cycle)"), ("b", "(cycle)")]
+@pytest.mark.parametrize("local_rows", [0, 1000])
+def test_hierarchy_without_trees(spark, local_rows):
+    assert trees(spark, [], local_rows).count() == 0
+    assert rows(trees(spark, [("a", "b"), ("b", "a")], local_rows), "node_id", "root_id") == [("a", "(cycle)"), ("b", "(cycle)")]
 
 
 @pytest.mark.parametrize(("text", "zone", "want"), [
