@@ -1,7 +1,7 @@
 """Every query of the core by name."""
 
-from quarryline.plans import problems, relational
+from quarryline.plans import more, problems, relational
 from quarryline.streaming import ledger
 
-QUERIES = problems.QUERIES | relational.QUERIES | ledger.QUERIES
-SQL = problems.SQL | relational.SQL | ledger.SQL
+QUERIES = problems.QUERIES | relational.QUERIES | more.QUERIES | ledger.QUERIES
+SQL = problems.SQL | relational.SQL | more.SQL | ledger.SQL

@@ -1,0 +1,171 @@
+"""More queries over the projection: ladders, positional and containment joins, rule coverage, graph layers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from quarryline.operators import identity
+from quarryline.operators import relational as rel
+from quarryline.plans.relational import FI, E, L, R, findings, ledger, links, repos
+from quarryline.workspace import table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+#: A small rule table: id, weaknesses, extensions.
+RULES = [("r-inject", ["CWE-20", "CWE-79", "CWE-94"], ["go", "py", "ts"]), ("r-secret", ["CWE-798", "CWE-287"], ["yaml", "tf"]), ("r-path", ["CWE-22"], ["go", "rs", "sh"])]
+RULES_SQL = "rules(rule, cwes, exts) AS (VALUES ('r-inject', ['CWE-20', 'CWE-79', 'CWE-94'], ['go', 'py', 'ts']), ('r-secret', ['CWE-798', 'CWE-287'], ['yaml', 'tf']), ('r-path', ['CWE-22'], ['go', 'rs', 'sh']))"
+CLUSTERS = f"{FI}, c AS (SELECT primary_cwe, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext, count(*) AS n FROM (SELECT primary_cwe, unnest(from_json(paths, '[\"VARCHAR\"]')) AS path FROM f WHERE validity = 'confirmed') GROUP BY ALL)"
+
+
+def clusters(s, d):
+    sure = findings(s, d).where("validity = 'confirmed'").select("primary_cwe", F.explode(F.from_json("paths", "array<string>")).alias("path"))
+    return sure.groupBy("primary_cwe", F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.count("*").alias("n"))
+
+
+def rule_pairs(s):
+    rules = s.createDataFrame(RULES, "rule string, cwes array<string>, exts array<string>")
+    return rules.select("rule", F.explode("cwes").alias("primary_cwe"), "exts").select("rule", "primary_cwe", F.explode("exts").alias("ext"))
+
+
+@query(f"WITH {RULES_SQL}, {CLUSTERS} SELECT primary_cwe, ext, n, rule FROM c JOIN rules ON list_contains(cwes, primary_cwe) AND list_contains(exts, ext)")
+def join_18_covered(s, d):
+    return clusters(s, d).join(rule_pairs(s), ["primary_cwe", "ext"]).select("primary_cwe", "ext", "n", "rule")
+
+
+@query(f"WITH {RULES_SQL}, {CLUSTERS} SELECT ext, count(*) AS n_clusters, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM rules WHERE list_contains(cwes, primary_cwe) AND list_contains(exts, ext))) AS n_uncovered FROM c GROUP BY 1")
+def agg_22_43_coverage(s, d):
+    covered = rule_pairs(s).select("primary_cwe", "ext").distinct().withColumn("hit", F.lit(True))
+    return clusters(s, d).join(covered, ["primary_cwe", "ext"], "left").groupBy("ext").agg(F.count("*").alias("n_clusters"), F.count_if(F.col("hit").isNull()).alias("n_uncovered"))
+
+
+@query(f"WITH {RULES_SQL}, {CLUSTERS} SELECT rule, array_to_string(list_sort(list_distinct(list(primary_cwe))), ',') AS cwes, sum(n)::BIGINT AS n FROM c JOIN rules ON list_contains(cwes, primary_cwe) AND list_contains(exts, ext) GROUP BY 1")
+def join_24_worklist(s, d):
+    return clusters(s, d).join(rule_pairs(s), ["primary_cwe", "ext"]).groupBy("rule").agg(F.array_join(F.array_sort(F.collect_set("primary_cwe")), ",").alias("cwes"), F.sum("n").alias("n"))
+
+
+@query(f"WITH {FI} SELECT repo_key, finding_id, i - 1 AS pos, from_json(paths, '[\"VARCHAR\"]')[i] AS path FROM f, unnest(range(1, len(from_json(paths, '[\"VARCHAR\"]')) + 1)) AS t(i) WHERE paths IS NOT NULL")
+def join_17_positional(s, d):
+    return findings(s, d).select("repo_key", "finding_id", F.posexplode(F.from_json("paths", "array<string>")).alias("pos", "path")).select("repo_key", "finding_id", F.col("pos").cast("bigint").alias("pos"), "path")
+
+
+@query(f"WITH {E} SELECT event_id, repo_key, nullif(regexp_extract(source_ref, '(note|verify|validate)-(\\d+)', 2), '') AS ticket FROM e")
+def join_27_ticket(s, d):
+    return ledger(s, d).select("event_id", "repo_key", F.nullif(F.regexp_extract("source_ref", r"(note|verify|validate)-(\d+)", 2), F.lit("")).alias("ticket"))
+
+
+@query("""WITH a AS (SELECT repo_key, finding_id, min(fingerprint) AS was FROM findings GROUP BY ALL), b AS (SELECT repo_key, finding_id, max(fingerprint) AS now FROM findings GROUP BY ALL)
+  SELECT coalesce(a.repo_key, b.repo_key) AS repo_key, coalesce(a.finding_id, b.finding_id) AS finding_id FROM a FULL JOIN b ON a.repo_key = b.repo_key AND a.finding_id = b.finding_id WHERE was IS DISTINCT FROM now""")
+def join_28_claims(s, d):
+    f = table(s, d, "findings")
+    was, now = f.groupBy("repo_key", "finding_id").agg(F.min("fingerprint").alias("was")), f.groupBy("repo_key", "finding_id").agg(F.max("fingerprint").alias("now"))
+    return was.join(now, ["repo_key", "finding_id"], "full").where(~F.col("was").eqNullSafe(F.col("now"))).select("repo_key", "finding_id")
+
+
+@query(f"""WITH {R}, m AS (SELECT id, split_part(id, ':', 2) AS url FROM nodes WHERE kind = 'repo'), s AS (SELECT split_part(id, '/', -1) AS slug, min(id) AS id FROM nodes WHERE kind = 'repo' GROUP BY 1)
+  SELECT repo_key, coalesce(m.id, s.id) AS node, CASE WHEN m.id IS NOT NULL THEN 'url' WHEN s.id IS NOT NULL THEN 'slug' ELSE 'none' END AS matched_by FROM r LEFT JOIN m ON m.url = regexp_replace(regexp_replace(repo_url, '^https?://', ''), '\\.git$', '') LEFT JOIN s ON s.slug = r.base_slug""")
+def join_22_ladder(s, d):
+    nodes = table(s, d, "nodes").where("kind = 'repo'")
+    by_url = nodes.select(F.get(F.split("id", ":"), F.lit(1)).alias("url"), F.col("id").alias("url_id"))
+    by_slug = nodes.groupBy(F.element_at(F.split("id", "/"), -1).alias("base_slug")).agg(F.min("id").alias("slug_id"))
+    keyed = repos(s, d).select("repo_key", "base_slug", F.regexp_replace(F.regexp_replace("repo_url", "^https?://", ""), r"\.git$", "").alias("url"))
+    tier = F.when(F.col("url_id").isNotNull(), "url").when(F.col("slug_id").isNotNull(), "slug").otherwise("none")
+    return keyed.join(by_url, "url", "left").join(by_slug, "base_slug", "left").select("repo_key", F.coalesce("url_id", "slug_id").alias("node"), tier.alias("matched_by"))
+
+
+@query("""WITH RECURSIVE h AS (SELECT src AS old_id, min(dst) AS new_id FROM edges WHERE rel = 'depends_on' GROUP BY 1), w(old_id, here, seen) AS (SELECT old_id, new_id, [old_id] FROM h UNION ALL SELECT w.old_id, h.new_id, list_append(w.seen, w.here) FROM w JOIN h ON h.old_id = w.here WHERE NOT list_contains(w.seen, w.here)),
+  done AS (SELECT old_id, here FROM w WHERE here NOT IN (SELECT old_id FROM h)) SELECT h.old_id, done.here AS final_id FROM h LEFT JOIN done USING (old_id)""")
+def join_21_aliases(s, d):
+    return identity.resolve_aliases(table(s, d, "edges").where("rel = 'depends_on'").select(F.col("src").alias("old_id"), F.col("dst").alias("new_id")))
+
+
+@query()
+def join_14_ladder(s, d):
+    f = table(s, d, "findings").select("row_no", "repo_key", "finding_id", "fingerprint", F.col("primary_cwe").alias("cwe"), "title", F.from_json("paths", "array<string>").alias("paths"), "loaded_at", "severity").distinct()
+    n = F.row_number().over(W.partitionBy("repo_key", "finding_id").orderBy("loaded_at", "row_no"))
+    placed = f.withColumn("n", n).withColumnRenamed("repo_key", "group_key").drop("loaded_at", "severity", "row_no")
+    return identity.match_ladder(placed.where("n = 1").withColumnRenamed("finding_id", "old_id").drop("n"), placed.where("n = 2").withColumnRenamed("finding_id", "new_id").drop("n"))
+
+
+@query(f"WITH {L} SELECT l.src AS repo, count(*) AS n_packages, count(DISTINCT json_extract_string(attrs, '$.version')) AS n_versions FROM l WHERE rel = 'imports_package' GROUP BY 1")
+def agg_05_imports(s, d):
+    return links(s, d).where("rel = 'imports_package'").groupBy(F.col("src").alias("repo")).agg(F.count("*").alias("n_packages"), F.countDistinct(F.get_json_object("attrs", "$.version")).alias("n_versions"))
+
+
+@query("SELECT kind, coalesce(json_extract_string(attrs, '$.internal'), 'none') AS internal, count(*) AS n FROM (SELECT DISTINCT id, kind, attrs FROM nodes) GROUP BY ALL")
+def agg_06_08_grouped_json(s, d):
+    return table(s, d, "nodes").select("id", "kind", "attrs").distinct().groupBy("kind", F.coalesce(F.get_json_object("attrs", "$.internal"), F.lit("none")).alias("internal")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {L} SELECT rel, count(DISTINCT src) FILTER (WHERE json_extract_string(attrs, '$.indirect') = 'true') AS n_src_indirect, count(DISTINCT src) AS n_src FROM l GROUP BY 1")
+def agg_07_conditional_distinct(s, d):
+    return links(s, d).groupBy("rel").agg(F.countDistinct(F.when(F.get_json_object("attrs", "$.indirect") == "true", F.col("src"))).alias("n_src_indirect"), F.countDistinct("src").alias("n_src"))
+
+
+@query(f"WITH {FI}, c AS (SELECT repo_key, unnest(regexp_extract_all(control_refs, '[a-z]+:[A-Z]+-\\d+')) AS ref FROM f WHERE control_refs IS NOT NULL) SELECT repo_key, count(*) AS n_refs, count(DISTINCT ref) AS n_controls FROM c GROUP BY 1")
+def agg_30_controls(s, d):
+    refs = findings(s, d).where("control_refs is not null").select("repo_key", F.explode(F.regexp_extract_all("control_refs", F.lit(r"([a-z]+:[A-Z]+-\d+)"), F.lit(1))).alias("ref"))
+    return refs.groupBy("repo_key").agg(F.count("*").alias("n_refs"), F.countDistinct("ref").alias("n_controls"))
+
+
+@query(f"WITH {FI}, p AS (SELECT severity, count(*) FILTER (WHERE validity = 'confirmed') AS confirmed, count(*) FILTER (WHERE validity = 'false_positive') AS false_positive, count(*) FILTER (WHERE validity = 'hardening') AS hardening FROM f GROUP BY 1) SELECT * FROM p")
+def agg_32_33_pivot(s, d):
+    names = ["confirmed", "false_positive", "hardening"]
+    return findings(s, d).groupBy("severity").pivot("validity", names).agg(F.count(F.lit(1))).select("severity", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+
+
+@query(f"WITH {R} SELECT tree, min(loaded_at) AS first_loaded, CASE WHEN bool_or(ref IS NULL) THEN NULL ELSE max(loaded_at) END AS last_loaded FROM r GROUP BY 1")
+def agg_40_window(s, d):
+    return repos(s, d).groupBy("tree").agg(F.min("loaded_at").alias("first_loaded"), F.when(F.bool_or(F.col("ref").isNull()), F.lit(None)).otherwise(F.max("loaded_at")).alias("last_loaded"))
+
+
+@query(f"WITH {E} SELECT repo_key, source_type, event_id, recorded_at FROM (SELECT *, row_number() OVER (PARTITION BY repo_key, source_type ORDER BY recorded_at DESC, event_id) AS rn FROM e) WHERE rn = 1")
+def win_01_latest(s, d):
+    newest = ledger(s, d).groupBy("repo_key", "source_type").agg(F.min_by(F.struct("event_id", "recorded_at"), F.struct((-F.unix_seconds(F.substring("recorded_at", 1, 19).cast("timestamp"))).alias("t"), "event_id")).alias("b"))
+    return newest.select("repo_key", "source_type", "b.event_id", "b.recorded_at")
+
+
+@query("WITH o AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS i, count(*) OVER () AS n FROM part) SELECT p_partkey, p_name FROM o WHERE i % greatest(1, n // 25) = 0 ORDER BY i LIMIT 25")
+def win_13_spaced_sample(s, d):
+    p = table(s, d, "part").select("p_partkey", "p_name", "p_retailprice")
+    n = p.count()
+    # the sample is the feature; ranks come from one sort of three columns
+    ranked = p.withColumn("i", F.row_number().over(W.orderBy(F.desc("p_retailprice"), "p_partkey")) - 1)
+    return ranked.where(F.col("i") % max(1, n // 25) == 0).orderBy("i").limit(25).select("p_partkey", "p_name")
+
+
+@query(f"WITH {FI}, x AS (SELECT repo_key, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext, count(*) AS n FROM (SELECT repo_key, unnest(from_json(paths, '[\"VARCHAR\"]')) AS path FROM f) GROUP BY ALL) SELECT repo_key, ext, n FROM (SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY n DESC, ext) AS rn FROM x) WHERE rn = 1")
+def win_15_dominant(s, d):
+    x = findings(s, d).select("repo_key", F.explode(F.from_json("paths", "array<string>")).alias("path")).groupBy("repo_key", F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.count("*").alias("n"))
+    return x.groupBy("repo_key").agg(F.min_by(F.struct("ext", "n"), F.struct((-F.col("n")).alias("m"), "ext")).alias("b")).select("repo_key", "b.ext", "b.n")
+
+
+@query(f"WITH {L} SELECT DISTINCT l.dst AS repo, l.src AS product FROM l JOIN nodes n ON n.id = l.src AND n.kind IN ('product', 'segment', 'release') WHERE rel IN ('contains', 'includes', 'owns')")
+def grf_08_products(s, d):
+    kinds = table(s, d, "nodes").where(F.col("kind").isin("product", "segment", "release")).select(F.col("id").alias("src"))
+    return links(s, d).where(F.col("rel").isin("contains", "includes", "owns")).join(kinds, "src").select(F.col("dst").alias("repo"), F.col("src").alias("product")).distinct()
+
+
+@query("SELECT key, max(build_no) AS last_build, (SELECT max(build_no) FROM meta) - max(build_no) AS behind FROM meta WHERE key IS NOT NULL GROUP BY 1")
+def grf_15_freshness(s, d):
+    m = table(s, d, "meta")
+    newest = m.agg(F.max("build_no").alias("newest"))  # one row
+    return m.where("key is not null").groupBy("key").agg(F.max("build_no").alias("last_build")).join(F.broadcast(newest), F.lit(True)).select("key", "last_build", (F.col("newest") - F.col("last_build")).alias("behind"))
+
+
+@query("SELECT src, dst, rel, max(attrs) AS attrs FROM edges GROUP BY ALL")
+def snk_02_03_upsert(s, d):
+    e = table(s, d, "edges").select("src", "dst", "rel", "attrs").withColumn("ordinal", F.coalesce("attrs", F.lit("")))
+    return rel.upsert(e.limit(0), e, ["src", "dst", "rel"], "ordinal").drop("ordinal")
