@@ -16,18 +16,21 @@ from quarryline.functions.kernels import row_sha
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "informational": "none"}
 
 
-def sarif(findings: DataFrame, tool: str) -> DataFrame:
-    """(repo_key, document): one SARIF 2.1.0 document per repository, made of nested columns; order is by finding_id.
+def sarif(findings: DataFrame, tool: str, results_per_document: int = 5_000) -> DataFrame:
+    """(repo_key, part, document): SARIF 2.1.0 documents made of nested columns; order within one is by finding_id.
 
-    A document holds one repository's findings, which is the format's unit; write very large ones as result rows.
+    A repository with more results than that is spread over parts by a hash, so that no task gathers a large
+    repository's findings. A NULL repo_key is a repository of its own; no findings give no documents.
     """
+    sizes = findings.groupBy("repo_key").agg(F.ceil(F.count(F.lit(1)) / results_per_document).cast("int").alias("parts")).withColumnRenamed("repo_key", "__key")
+    findings = findings.join(sizes, F.col("repo_key").eqNullSafe(F.col("__key"))).withColumn("part", F.pmod(F.xxhash64("finding_id"), F.col("parts")).cast("int")).drop("__key", "parts")
     level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in LEVELS.items() for x in p]), F.col("severity")), F.lit("warning"))
     place = F.transform(F.from_json("paths", "array<string>"), lambda p: F.struct(F.struct(F.struct(p.alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
     result = F.struct(F.col("finding_id"), F.struct(F.coalesce("primary_cwe", F.lit("unknown")).alias("ruleId"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints")).alias("r"))
     results = F.transform(F.array_sort(F.collect_list(result)), lambda x: x["r"])
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name")).alias("driver")).alias("tool"), results.alias("results"))
     document = F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs")), {"ignoreNullFields": "true"})
-    return findings.groupBy("repo_key").agg(document.alias("document"))
+    return findings.groupBy("repo_key", "part").agg(document.alias("document"))
 
 
 def write_projection(tables: dict[str, DataFrame], path: str, revision: int) -> dict[str, int]:

@@ -61,3 +61,6 @@ def test_readers_and_sinks(spark, tmp_path):
     findings = spark.createDataFrame([("r", "F1", "high", "t", '["a.py"]', "CWE-1", "fp"), ("r", "F2", None, None, None, None, None)], "repo_key string, finding_id string, severity string, title string, paths string, primary_cwe string, fingerprint string")
     doc = json.loads(sinks.sarif(findings, "q").first().document)
     assert [r["level"] for r in doc["runs"][0]["results"]] == ["error", "warning"]
+    many = spark.range(50).selectExpr("'r' AS repo_key", "cast(id AS string) AS finding_id", "'low' AS severity", "'t' AS title", "cast(NULL AS string) AS paths", "'CWE-1' AS primary_cwe", "'x' AS fingerprint")
+    parts = [json.loads(r.document) for r in sinks.sarif(many, "q", 10).collect()]
+    assert len(parts) > 1 and sum(len(p["runs"][0]["results"]) for p in parts) == 50
