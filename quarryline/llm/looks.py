@@ -51,17 +51,29 @@ def _many_looks() -> dict[str, str]:
     return {c: to for c, to in numerals.items() if len(to) > 1} | LIGATURES
 
 
+def _composed_looks(single: dict[str, str]) -> dict[str, str]:
+    """Letters composed of a mapped letter and marks -> what that letter's look and the same marks compose to, if anything."""
+    looks = {}
+    for code in range(0xC0, 0x1FFFF):
+        first, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and first in single and chr(code) not in single:
+            looks[chr(code)] = unicodedata.normalize("NFC", single[first] + "".join(marks))
+    return looks
+
+
 def _accented() -> list[str]:
-    """Letters that Unicode composes from a letter and marks."""
-    found = []
-    for code in range(0xC0, 0x2000):
-        parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) > 1 and any(unicodedata.combining(p) for p in parts):
-            found.append(chr(code))
-    return found
+    """Characters that Unicode composes of several, but for Korean syllables."""
+    return [chr(c) for c in range(0xC0, 0x1FFFF) if not 0xAC00 <= c <= 0xD7A3 and len(unicodedata.normalize("NFD", chr(c))) > 1]
 
 
 SINGLE, MANY = _single_looks(), _many_looks()
+for _c, _to in _composed_looks(SINGLE).items():
+    (SINGLE if len(_to) == 1 else MANY)[_c] = _to
+#: Few ranges that hold every character of MANY; a class of single characters would be several times slower.
+MANY_RANGES = "[\\x{389}\\x{45E}\\x{4F3}\\x{1F00}-\\x{1FFF}\\x{2160}-\\x{217F}\\x{FB00}-\\x{FB04}]"
+#: Ranges that hold every combining mark but U+0300 to U+036F, and all Korean letters; then those letters alone.
+FAR_MARKS = "[\\x{483}-\\x{489}\\x{591}-\\x{1DFF}\\x{20D0}-\\x{20FF}\\x{2CEF}-\\x{10FFFF}]"
+KOREAN = "[\\x{1100}-\\x{11FF}\\x{AC00}-\\x{D7A3}]"
 GONE = "".join(chr(c) for a, b in UNSEEN for c in range(a, b + 1))
 
 
@@ -74,13 +86,14 @@ def same_look(text: Column) -> Column:
     several = mapped
     for c, letters in MANY.items():
         several = F.replace(several, F.lit(c), F.lit(letters))
-    split = F.when(text.rlike("[\\x{2160}-\\x{217F}\\x{FB00}-\\x{FB04}]"), several).otherwise(mapped)
+    split = F.when(text.rlike(MANY_RANGES), several).otherwise(mapped)
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(split)
 
 
 def coarse_key(look: Column) -> Column:
-    """A hash that texts of one look share: letters with accents are left out, composed or not."""
-    bare = F.when(look.rlike("[\\x{300}-\\x{36F}]"), F.regexp_replace(look, ".[\\x{300}-\\x{36F}]+", "")).otherwise(look)
+    """A hash that texts of one look share: letters with accents and Korean ones are left out, composed or not."""
+    far, near = F.regexp_replace(look, f"(?s){KOREAN}\\p{{M}}*|.?\\p{{M}}+", ""), F.regexp_replace(look, "(?s).?[\\x{300}-\\x{36F}]+", "")
+    bare = F.when(look.rlike(FAR_MARKS), far).when(look.rlike("[\\x{300}-\\x{36F}]"), near).otherwise(look)
     return F.xxhash64(F.when(F.octet_length(look) == F.char_length(look), look).otherwise(F.translate(bare, "".join(_accented()), "")))
 
 
@@ -92,7 +105,6 @@ def look_of(text: str) -> str:
     if not known:
         known["table"] = str.maketrans(SINGLE | MANY | {c: None for c in GONE})
         known["runs"] = re.compile("[^\x00-\x7f]+")
-        known["marks"] = re.compile("[\u0300-\u036f]")
     table, cache = known["table"], known.setdefault("cache", {})
 
     def one(match: re.Match) -> str:
@@ -104,8 +116,7 @@ def look_of(text: str) -> str:
                 cache[run] = got
         return got
 
-    out = known["runs"].sub(one, text)
-    return unicodedata.normalize("NFC", out) if known["marks"].search(out) else out
+    return unicodedata.normalize("NFC", known["runs"].sub(one, text))
 
 
 def look_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
