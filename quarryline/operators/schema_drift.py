@@ -7,6 +7,8 @@ and defaults bring their values into one table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,6 +23,12 @@ TARGETS = {
     "findings": {"title": "string", "severity": "string", "cvss_score": "double", "cwes": "array<string>", "control_refs": "array<string>", "resolution": "string"},
     "meta": {"value": "string"},
 }
+#: Fields with a rule of their own beyond the type's; fixed values. Every other field goes by its type.
+RULES = {"report_kind": "kind", "control_refs": "refs", "value": "json"}
+#: Codes of report kinds, in the order in which the projection states them; fixed values.
+KIND_CODES = {"1": "code-audit", "2": "cloud-config", "3": "container-audit"}
+#: Names under which an object holds a value that is wrapped in it; fixed values.
+WRAPPERS = ("v", "value", "id", "ref")
 LINE = ["producer", "dataset"]
 
 
@@ -145,33 +153,110 @@ class Drift:
             linked = materialize(linked.join(higher, "up", "left").select("node", "field", F.col("next").alias("up"), F.coalesce("higher", "root").alias("root")), f"{self.base}/names={step}")
         return runs.select("file_name", "field", node("field", "run").alias("node")).join(linked.select("node", "root"), "node").select("file_name", "field", "root")
 
+    def _named(self, dataset: str) -> DataFrame:
+        """Every value of a dataset's records with its field's first name, and whether another value of the file counts before it."""
+        if not hasattr(self, "_roots"):
+            self._roots = self.names()  # made once, as its tables are written under fixed names
+        cells = self.cells.where((F.col("dataset") == dataset) & F.col("record").isNotNull())
+        named = cells.join(self._roots, ["file_name", "field"]).select(*LINE, "file_no", "file_name", "record", "root", "type", "value")
+        least = F.min("value").over(W.partitionBy("file_name", "record", "root"))
+        return named.withColumn("superseded", F.col("value") != least)
+
     def unified(self, dataset: str) -> DataFrame:
         """One row per record and file of a dataset, all fields under their first names.
 
-        Known fields are cast to one type (a value that can't be is NULL), lists may come as JSON text, as a single
-        value or as objects with the value under ``v``, ``id`` or ``ref``; missing fields are NULL; other fields stay in the map ``extras``.
-        Of several values for one field in a file the smallest counts.
+        Known fields are cast to one type (a value that can't be is NULL). Report kinds are names, whether written as
+        a name, ``{name}``, a list of one or a code. Control references are sorted ``framework:id`` without repeats,
+        whether written as such, joined by commas, as ``{framework, id}`` or as ``{framework: id}``, in a list, alone
+        or as JSON text. A value of meta is unwrapped from ``{v}``, and JSON in it is written one way. Other lists may
+        come as JSON text, as a single value or as objects with the value under ``v``, ``value``, ``id`` or ``ref``.
+        Missing fields are NULL, other fields stay in the map ``extras``. Of several values for one field in a file
+        the smallest counts; casts() lists the others.
         """
         targets = TARGETS[dataset]
-        cells = self.cells.where((F.col("dataset") == dataset) & F.col("record").isNotNull())
-        renamed = cells.join(self.names(), ["file_name", "field"]).select(*LINE, "file_no", "file_name", "record", "root", "type", "value")
-        one = renamed.groupBy(*LINE, "file_no", "file_name", "record", "root").agg(F.min("value").alias("value"))
+        one = self._named(dataset).where("not superseded").groupBy(*LINE, "file_no", "file_name", "record", "root").agg(F.min("value").alias("value"))
         # fields of one record: at most as many entries as the record has fields
         rows = one.groupBy(*LINE, "file_no", "file_name", "record").agg(F.map_from_entries(F.collect_list(F.struct("root", "value"))).alias("all"))
-        known = [self._cast(F.col("all")[name], kind).alias(name) for name, kind in targets.items()]
+        known = [self._cast(F.col("all")[name], name, kind).alias(name) for name, kind in targets.items()]
         keys = [F.get_json_object("record", f"$[{i}]").alias(k) for i, k in enumerate(RECORD_KEYS[dataset])]
         return rows.select("producer", "file_no", "file_name", *keys, *known, F.map_filter("all", lambda k, v: ~k.isin(*targets)).alias("extras"))
 
+    def casts(self, dataset: str) -> DataFrame:
+        """(dataset, file_name, record, field_name, type, value, result, outcome) of every known field's value that isn't taken as it is.
+
+        outcome: `cast` (result is the value in the table), `refused` (it is NULL there), `superseded` (another value
+        of the same record and file stands there).
+        """
+        named = materialize(self._named(dataset), f"{self.base}/casts-{uuid.uuid4().hex}")
+        plain = F.coalesce(F.when(json_kind(F.try_parse_json("value")) == "string", F.try_variant_get(F.try_parse_json("value"), "$", "string")), F.col("value"))
+        listed = None
+        for name, kind in TARGETS[dataset].items():
+            got = self._cast(F.col("value"), name, kind)
+            own = {"string": ["string"], "array<string>": ["array[string]", "array[]"]}.get(kind, ["number"])
+            part = named.where(F.col("root") == name).withColumn("result", F.to_json(got) if kind == "array<string>" else got.cast("string"))
+            equal = F.col("value").try_cast("double") == F.col("result").try_cast("double") if own == ["number"] else plain == F.col("result")
+            outcome = F.when(F.col("superseded"), "superseded").when(F.col("result").isNull(), "refused").when(~(F.col("type").isin(*own) & F.coalesce(equal, F.lit(False))), "cast")
+            part = part.select("dataset", "file_name", "record", F.col("root").alias("field_name"), "type", "value", "result", outcome.alias("outcome"))
+            listed = part if listed is None else listed.unionByName(part)
+        return listed.where("outcome is not null").distinct()
+
     @staticmethod
-    def _cast(text: Column, kind: str) -> Column:
+    def _cast(text: Column, name: str, kind: str) -> Column:
         value = F.try_parse_json(text)
+        rule = RULES.get(name)
+        if rule:
+            return {"kind": _kind_name, "refs": _control_refs, "json": _json_text}[rule](value)
         plain = F.try_variant_get(value, "$", "string")
-        inner = F.coalesce(*[F.try_variant_get(value, f"$.{k}", "string") for k in ("v", "value", "id", "ref")])
+        inner = F.coalesce(*[F.try_variant_get(value, f"$.{k}", "string") for k in WRAPPERS])
         flat = F.when(json_kind(value) == "object", F.coalesce(inner, F.to_json(value))).otherwise(plain)
         if kind == "int":
             return F.when(json_kind(value) == "boolean", F.try_variant_get(value, "$", "boolean").cast("int")).otherwise(flat.try_cast("double").cast("int"))
         if kind != "array<string>":
             return flat if kind == "string" else flat.try_cast(kind)
         listed = F.when(json_kind(value) == "array", value).when((json_kind(value) == "string") & plain.startswith("["), F.try_parse_json(plain))
-        items = F.transform(F.try_variant_get(listed, "$", "array<variant>"), lambda v: F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in ("v", "value", "id", "ref")], F.try_variant_get(v, "$", "string"), F.to_json(v)))
+        items = F.transform(F.try_variant_get(listed, "$", "array<variant>"), lambda v: F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in WRAPPERS], F.try_variant_get(v, "$", "string"), F.to_json(v)))
         return F.coalesce(items, F.when(flat.isNotNull(), F.array(flat)))
+
+
+def _bind(value: Column, step) -> Column:
+    """step(value) with the value made once, however often the step names it; so generated code stays small."""
+    return F.get(F.transform(F.array(value), step), F.lit(0))
+
+
+def _kind_name(value: Column) -> Column:
+    """A report kind's name; NULL if the value names none or several."""
+    items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    one = _bind(value, lambda v: F.when(json_kind(v) == "array", F.when(F.size(items(v)) == 1, F.get(items(v), F.lit(0)))).otherwise(v))
+    named = lambda v: F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in ("name", *WRAPPERS)])
+    text = _bind(one, lambda v: F.when(json_kind(v) == "object", named(v)).when(json_kind(v).isin("string", "number"), F.try_variant_get(v, "$", "string")))
+    codes = F.create_map(*[F.lit(x) for pair in KIND_CODES.items() for x in pair])
+    return _bind(text, lambda t: F.when(t.rlike("^\\d+(\\.0+)?$"), F.try_element_at(codes, F.regexp_replace(t, "\\.0+$", ""))).otherwise(t))
+
+
+def _control_refs(value: Column) -> Column:
+    """Sorted framework:id of any of the shapes; an element of another shape stays as its JSON text."""
+    def named(entry: Column) -> Column:
+        ids = F.when(json_kind(entry["value"]) == "array", F.try_variant_get(entry["value"], "$", "array<string>")).otherwise(F.array(F.try_variant_get(entry["value"], "$", "string")))
+        return F.transform(ids, lambda i: F.when(entry["key"].isin(*WRAPPERS), i).otherwise(F.concat(entry["key"], F.lit(":"), i)))
+
+    def refs(v: Column) -> Column:
+        framework, ref = F.try_variant_get(v, "$.framework", "string"), F.try_variant_get(v, "$.id", "string")
+        entries = F.map_entries(F.try_variant_get(v, "$", "map<string, variant>"))
+        spread = F.when(framework.isNotNull() & ref.isNotNull(), F.array(F.concat(framework, F.lit(":"), ref))).otherwise(F.flatten(F.transform(entries, named)))
+        parts = F.filter(F.transform(F.split(F.try_variant_get(v, "$", "string"), ","), lambda t: F.trim(t)), lambda t: t != "")
+        return F.when(json_kind(v) == "object", spread).when(json_kind(v) == "string", parts).when(json_kind(v) != "null", F.array(F.to_json(v))).otherwise(F.array().cast("array<string>"))
+
+    # each step binds its input once, so that expressions stay small
+    opened = F.transform(F.array(value), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.coalesce(F.try_parse_json(F.regexp_extract(F.try_variant_get(v, "$", "string"), "(?s)^\\s*[\\[{].*", 0)), v)).otherwise(v))
+    items = F.flatten(F.transform(opened, lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))))
+    every = F.flatten(F.transform(items, refs))
+    return F.when(value.isNotNull(), F.array_sort(F.array_distinct(F.filter(every, lambda t: t.isNotNull()))))
+
+
+def _json_text(value: Column) -> Column:
+    """Text of a value, unwrapped from an object that holds nothing else; lists and objects as JSON text written one way."""
+    inner = lambda v: F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in WRAPPERS], v)
+    alone = lambda v: (json_kind(v) == "object") & (F.size(F.try_variant_get(v, "$", "map<string, variant>")) == 1)
+    bare = _bind(value, lambda v: F.when(alone(v), inner(v)).otherwise(v))
+    text = _bind(bare, lambda v: F.when(json_kind(v) == "string", F.try_variant_get(v, "$", "string")).when(json_kind(v) != "null", F.to_json(v)))
+    return _bind(text, lambda t: F.when(t.rlike("^\\s*[\\[{]"), F.coalesce(F.to_json(F.try_parse_json(t)), t)).otherwise(t))

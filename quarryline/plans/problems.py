@@ -36,6 +36,11 @@ def p2_versions(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.Drift(table(spark, d, "raw_records")).fingerprints()
 
 
+def p2_casts(spark: SparkSession, d: str) -> DataFrame:
+    drift = schema_drift.Drift(table(spark, d, "raw_records"))
+    return drift.casts("repos").unionByName(drift.casts("findings")).unionByName(drift.casts("meta"))
+
+
 def _unified(dataset: str):
     return lambda spark, d: schema_drift.Drift(table(spark, d, "raw_records")).unified(dataset)
 
@@ -88,7 +93,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found, "p2_versions": p2_versions,
-    "p2_repos": _unified("repos"), "p2_findings": _unified("findings"), "p2_meta": _unified("meta"),
+    "p2_casts": p2_casts, "p2_repos": _unified("repos"), "p2_findings": _unified("findings"), "p2_meta": _unified("meta"),
     "p3_found": p3_found, "p3_state": p3_state, "p4_found": p4_found, "p4_trees": p4_trees, "p4_descendants": p4_descendants,
     "p5_found": p5_found, "p5_weekly": p5_weekly, "p6_found": p6_found,
 }
