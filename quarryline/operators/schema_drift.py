@@ -25,6 +25,13 @@ TARGETS = {
 }
 #: Fields with a rule of their own beyond the type's; fixed values. Every other field goes by its type.
 RULES = {"report_kind": "kind", "control_refs": "refs", "value": "json"}
+#: Other names of the consistent tables' fields, by dataset: the explicit step of the migration where a chain of renames
+#: breaks (renamed and wrapped in one file, back under another name after a file without it); fixed values.
+ALIASES = {
+    "repos": {"kind": "report_kind", "reportKind": "report_kind", "audit_type": "report_kind", "audited_on": "audit_date", "date": "audit_date", "url": "repo_url", "repository": "repo_url", "branch_audit": "is_branch_audit", "owner_class": "ownership"},
+    "findings": {"controlRefs": "control_refs", "controls": "control_refs", "framework_controls": "control_refs", "cvssScore": "cvss_score", "score": "cvss_score", "cwe_list": "cwes", "weaknesses": "cwes", "status": "resolution"},
+    "meta": {"val": "value", "meta_value": "value", "content": "value"},
+}
 #: Codes of report kinds, in the order in which the projection states them; fixed values.
 KIND_CODES = {"1": "code-audit", "2": "cloud-config", "3": "container-audit"}
 #: Names under which an object holds a value that is wrapped in it; fixed values.
@@ -154,16 +161,22 @@ class Drift:
         return runs.select("file_name", "field", node("field", "run").alias("node")).join(linked.select("node", "root"), "node").select("file_name", "field", "root")
 
     def _named(self, dataset: str) -> DataFrame:
-        """Every value of a dataset's records with its field's first name, and whether another value of the file counts before it."""
+        """Every value of a dataset's records with its field's name in the table, and whether another value of the file counts before it.
+
+        The name is the field's first one or, where that is known under ALIASES, the name given there; values under the
+        name itself count before those under others.
+        """
         if not hasattr(self, "_roots"):
             self._roots = self.names()  # made once, as its tables are written under fixed names
         cells = self.cells.where((F.col("dataset") == dataset) & F.col("record").isNotNull())
-        named = cells.join(self._roots, ["file_name", "field"]).select(*LINE, "file_no", "file_name", "record", "root", "type", "value")
-        least = F.min("value").over(W.partitionBy("file_name", "record", "root"))
-        return named.withColumn("superseded", F.col("value") != least)
+        aliases = F.create_map(*[F.lit(x) for pair in ALIASES[dataset].items() for x in pair])
+        known = F.coalesce(F.try_element_at(aliases, F.col("root")), F.col("root"))
+        named = cells.join(self._roots, ["file_name", "field"]).select(*LINE, "file_no", "file_name", "record", known.alias("name"), F.struct(F.col("root") != known, "value").alias("rank"), "type", "value")
+        least = F.min("rank").over(W.partitionBy("file_name", "record", "name"))
+        return named.select(*LINE, "file_no", "file_name", "record", F.col("name").alias("root"), "type", "value", (F.col("rank") != least).alias("superseded"))
 
     def unified(self, dataset: str) -> DataFrame:
-        """One row per record and file of a dataset, all fields under their first names.
+        """One row per record and file of a dataset, all fields under their first names or those that ALIASES gives.
 
         Known fields are cast to one type (a value that can't be is NULL). Report kinds are names, whether written as
         a name, ``{name}``, a list of one or a code. Control references are sorted ``framework:id`` without repeats,

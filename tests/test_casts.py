@@ -84,3 +84,12 @@ def test_casts_of_several_datasets_at_once(spark):
     raw = [("p", "meta", 1, "f", '{"key": "a", "value": 1}'), ("p", "repos", 1, "g", '{"repo_key": "a", "report_kind": 1}')]
     own = schema_drift.Drift(spark.createDataFrame(raw, RAW))
     assert own.casts("meta").unionByName(own.casts("repos")).count() == 2
+
+
+def test_broken_chains_of_renames(spark):
+    meta = [("p", "meta", 1, "m1", '{"key": "a", "value": "x"}'), ("p", "meta", 2, "m2", '{"key": "a", "val": {"v": "y"}}'), ("p", "meta", 3, "m3", '{"key": "a", "val": "w", "value": "own"}')]
+    gap = [("p", "findings", i, f"f{i}", json.dumps({"repo_key": "r", "finding_id": "1", "title": "t"} | more)) for i, more in enumerate([{"control_refs": ["b:A-1"]}, {}, {"controls": ["b:A-2"]}])]
+    own = schema_drift.Drift(spark.createDataFrame(meta + gap, RAW))
+    assert [(r.value, r.extras) for r in own.unified("meta").orderBy("file_name").collect()] == [("x", {}), ("y", {}), ("own", {})]
+    assert [(r.control_refs, r.extras) for r in own.unified("findings").orderBy("file_name").collect()] == [(["b:A-1"], {}), (None, {}), (["b:A-2"], {})]
+    assert [(r.value, r.outcome) for r in own.casts("meta").where("file_name = 'm3'").collect()] == [('"w"', "superseded")]
