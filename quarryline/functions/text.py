@@ -25,9 +25,16 @@ def slugify(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
-def branch_of(base: Column) -> Column:
-    """Branch at the end of a slug, NULL if none."""
-    return F.nullif(F.regexp_extract(base, r"__((?:release|openshift)-\d+\.\d+(?:\.\d+)?)$", 1), F.lit(""))
+#: Names that a version branch may start with, unless a caller gives its own.
+BRANCH_PREFIXES = ("release", "stable")
+
+
+def branch_of(base: Column, prefixes: tuple[str, ...] = BRANCH_PREFIXES) -> Column:
+    """Version branch that a slug ends with after two underscores (a prefix, two or three numbers), NULL if none."""
+    branch = F.substring_index(base, "__", -1)
+    name, numbers = F.substring_index(branch, "-", 1), F.split(F.substring_index(branch, "-", -1), r"\.")
+    whole = F.contains(base, F.lit("__")) & name.isin(*prefixes) & (F.concat_ws("-", name, F.substring_index(branch, "-", -1)) == branch)
+    return F.when(whole & F.size(numbers).between(2, 3) & F.forall(numbers, lambda n: n.rlike("^[0-9]+$")), branch)
 
 
 def language_of(path: Column) -> Column:

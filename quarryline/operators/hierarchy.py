@@ -1,23 +1,28 @@
-"""Parent-child links to whole trees by peeling leaves.
+"""Parent-child links to whole trees by peeling leaves and splicing chains.
 
-Upward, each round takes the nodes whose children are all gone, and sends their subtree sizes to their parents. The
-rounds in reverse give every node its path from its parent's, so each link is read once on the way down. Nodes that
-never become leaves lie on cycles (or above one, if a node has several parents).
+Each round takes away the nodes whose children are all gone, which send their subtree's size to their parents, and, of
+the nodes with one child left, those with a greater hash than the child and the parent: their link is joined to the
+child's. So rounds are the logarithm of the number of nodes, however deep a tree is. The rounds in reverse order give
+every node its root, depth and path from its parent's. What is never peeled comes down to one node per cycle that is
+its own parent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quarryline.workspace import materialize, workspace
+from quarryline.workspace import discard, materialize, workspace
 
 #: Relations of the portfolio graph that lead from parent to child, and from child to parent; fixed values.
 DOWN = ("contains", "includes", "owns", "has_ref")
 UP = ("in_group", "owned-by")
+CYCLE, BELOW = "(cycle)", "(below cycle)"
+#: node; parent: nearest ancestor that is left; steps: links to it; between: nodes spliced out on the way, if paths are
+#: asked for; size: nodes peeled below, itself included; passed: sizes of the nodes spliced out on the way to the parent;
+#: state: `stays`, `leaf` (peeled next), `spliced` (with the child that is left below it and the sizes above that child).
+_STATE = "node string, parent string, steps bigint, between array<string>, size bigint, passed bigint, state string, child string, child_passed bigint"
+_DONE = "node string, root string, depth bigint, path array<string>, size bigint"
 
 
 def hierarchy_links(edges: DataFrame) -> DataFrame:
@@ -30,126 +35,138 @@ def hierarchy_links(edges: DataFrame) -> DataFrame:
     )
 
 
-#: With so few nodes left, the remaining rounds run in one task: deep chains leave a long tail of tiny rounds.
-LOCAL_ROWS = 20_000
-_STATE = "node string, parent string, size bigint, leaf boolean"
-_PATHS = "node string, size bigint, path array<string>, round int"
-
-
-def resolve_trees(links: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """One row per node at an end of a link: node_id, root_id, depth, path (root first), subtree_size, level.
+def resolve_trees(links: DataFrame, paths: bool = True) -> DataFrame:
+    """One row per node at an end of a link: node_id, root_id, depth, path (root first), subtree_size, parent_id.
 
     A node on a cycle has root_id ``(cycle)`` and depth -1, one below a cycle ``(below cycle)`` and -1; their path
-    and subtree_size are NULL. A node with several parents takes the smallest parent id, so that the result is a
-    forest. level is the round in which the node was peeled, NULL on cycles. No links give no rows. Repeated links
-    and links with a NULL end change nothing. local_rows bounds what one task gets; the result doesn't depend on it.
+    and subtree_size are NULL. Of several parents a node keeps the smallest; if that leads to a cycle that the node
+    isn't on, the smallest that has a root. parent_id is the one kept, dropped_links() lists the others. No links
+    give no rows. Repeated links and links with a NULL end change nothing. Without ``paths`` the path is NULL, and
+    no row grows with the depth.
     """
-    spark = links.sparkSession
-    base = workspace(spark)
-    clean = links.where(F.col("parent").isNotNull() & F.col("child").isNotNull())
-    tree = clean.groupBy("child").agg(F.min("parent").alias("parent"))
-    nodes = tree.select(F.col("child").alias("node"), "parent").unionByName(clean.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent"))).groupBy("node").agg(F.max("parent").alias("parent"))
-    children = tree.groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"))
-    first = nodes.join(children.withColumnRenamed("parent", "node"), "node", "left").select("node", "parent", F.lit(1).cast("bigint").alias("size"), F.col("n_children").isNull().alias("leaf"))
-    level, state = 0, f"{base}/states/level=0"
-    total, leaves = _write_counted(first, state)
-    # a round's state keeps its leaves: they are what the round peels
-    while leaves and total > local_rows:
-        now = spark.read.schema(_STATE).parquet(state)
-        level += 1
-        state = f"{base}/states/level={level}"
-        sent = now.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count_if(~F.col("leaf")).alias("left_over"), F.sum(F.when(F.col("leaf"), F.col("size")).otherwise(0)).alias("more"))
-        rest = now.where(~F.col("leaf")).join(sent, "node", "left").select("node", "parent", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.coalesce("left_over", F.lit(0)) == 0).alias("leaf"))
-        total, leaves = _write_counted(rest, state)
-    rest = spark.read.schema(_STATE).parquet(state)
-    if leaves:
-        top = materialize(rest.coalesce(1).mapInPandas(_finish(level), _PATHS), f"{base}/top")
-    else:
-        top = rest.select("node", "size", F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("int").alias("round"))
-    return _downward(spark, base, top, level)
-
-
-def _write_counted(state: DataFrame, path: str) -> tuple[int, int]:
-    """Write a round's state; its rows and leaves are counted on the way, without another job."""
+    clean = links.where(F.col("parent").isNotNull() & F.col("child").isNotNull()).select("parent", "child").distinct()
+    base = workspace(links.sparkSession)
+    several = clean.groupBy("child").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("child")
+    rivals = materialize(clean.join(several, "child", "left_semi"), f"{base}/rivals")
+    kept = clean.groupBy("child").agg(F.min("parent").alias("parent"))
+    nodes = clean.select(F.col("child").alias("node")).unionByName(clean.select(F.col("parent").alias("node"))).distinct()
+    step = 0
+    kept = materialize(kept, f"{base}/kept=0")
+    contested = not rivals.isEmpty()
+    while True:
+        done = _resolve(nodes.join(kept.withColumnRenamed("child", "node"), "node", "left"), paths, f"{base}/{step}")
+        if not contested:
+            break
+        rooted = done.where("depth >= 0").select(F.col("node").alias("parent"))
+        lost = done.where(F.col("root") == BELOW).select(F.col("node").alias("child"))
+        better = rivals.join(lost, "child", "left_semi").join(rooted, "parent", "left_semi").groupBy("child").agg(F.min("parent").alias("better"))
+        better = materialize(better, f"{base}/better={step}")
+        if better.isEmpty():
+            break
+        step += 1
+        kept = materialize(kept.join(better, "child", "left").select("child", F.coalesce("better", "parent").alias("parent")), f"{base}/kept={step}")
+    return done.join(kept.select(F.col("child").alias("node"), F.col("parent").alias("parent_id")), "node", "left").select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", "path", F.col("size").alias("subtree_size"), "parent_id")
+
+
+def dropped_links(links: DataFrame, trees: DataFrame) -> DataFrame:
+    """(parent, child, kept): links of nodes with several parents that the trees don't follow, and the parent they follow."""
+    clean = links.where(F.col("parent").isNotNull() & F.col("child").isNotNull()).select("parent", "child").distinct()
+    own = trees.select(F.col("node_id").alias("child"), F.col("parent_id").alias("kept"))
+    return clean.join(own, "child").where("parent <> kept").select("parent", "child", "kept")
+
+
+def _resolve(nodes: DataFrame, paths: bool, base: str) -> DataFrame:
+    """nodes (node, parent) to _DONE."""
+    spark = nodes.sparkSession
+    between = F.array().cast("array<string>") if paths else F.lit(None).cast("array<string>")
+    parents = nodes.where(F.col("parent") != F.col("node")).select(F.col("parent").alias("node")).distinct().withColumn("has", F.lit(True))
+    leaf = F.col("has").isNull() & ~F.coalesce(F.col("parent") == F.col("node"), F.lit(False))
+    first = nodes.join(parents, "node", "left").select("node", "parent", F.lit(1).cast("bigint").alias("steps"), between.alias("between"), F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("passed"), F.when(leaf, "leaf").otherwise("stays").alias("state"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("bigint").alias("child_passed"))
+    rounds, moving = 0, _write_counted(first, f"{base}/round=0")
+    while moving:
+        rounds += 1
+        moving = _write_counted(_round(spark.read.schema(_STATE).parquet(f"{base}/round={rounds - 1}").where("state <> 'spliced'"), rounds, paths), f"{base}/round={rounds}")
+    # what is left is its own parent: one node of each cycle
+    rest = spark.read.schema(_STATE).parquet(f"{base}/round={rounds}").where("state = 'stays'")
+    none = F.lit(None).cast("array<string>")
+    rest.select("node", F.lit(CYCLE).alias("root"), F.lit(-1).cast("bigint").alias("depth"), none.alias("path"), F.lit(None).cast("bigint").alias("size")).write.parquet(f"{base}/done/round={rounds + 1}")
+    for at in range(rounds, 0, -1):
+        known = spark.read.schema(_DONE).parquet(f"{base}/done").drop("round")
+        peeled = spark.read.schema(_STATE).parquet(f"{base}/round={at - 1}").where("state = 'leaf'")
+        spliced = spark.read.schema(_STATE).parquet(f"{base}/round={at}").where("state = 'spliced'")
+        _assigned(peeled.unionByName(spliced), known, paths).write.parquet(f"{base}/done/round={at}")
+        discard(spark, f"{base}/round={at}")
+    return spark.read.schema(_DONE).parquet(f"{base}/done").drop("round")
+
+
+def _round(now: DataFrame, seed: int, paths: bool) -> DataFrame:
+    """The next round's rows: leaves are gone, their sizes sent on; chains are spliced."""
+    is_leaf = F.col("state") == "leaf"
+    onward = F.when(~is_leaf, 1)
+    sent = now.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).groupBy(F.col("parent").alias("node")).agg(
+        F.count_if(is_leaf).alias("gone"), F.count(onward).alias("left_over"), F.sum(F.when(is_leaf, F.col("size") + F.col("passed"))).alias("more"),
+        F.min(F.when(~is_leaf, F.col("node"))).alias("child"), F.sum(F.when(~is_leaf, F.col("passed"))).alias("child_passed"),
+    )
+    rest = now.where(~is_leaf).drop("child", "child_passed", "state").join(sent, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
+    looped = F.coalesce(F.col("parent") == F.col("node"), F.lit(False))
+    rank = lambda c: F.xxhash64(F.col(c), F.lit(seed))
+    # a node that lost a leaf in this round waits, so that the leaf's parent is there when rounds are taken back
+    chain = F.col("parent").isNotNull() & ~looped & (F.col("left_over") == 1) & (F.col("gone") == 0) & (rank("node") > rank("child")) & (rank("node") > rank("parent"))
+    state = F.when(F.coalesce(chain, F.lit(False)), "spliced").when((F.coalesce("left_over", F.lit(0)) == 0) & ~looped, "leaf").otherwise("stays")
+    rest = rest.select("node", "parent", "steps", "between", "size", "passed", state.alias("state"), "child", "child_passed")
+    out = rest.where("state = 'spliced'")
+    above = out.select(F.col("child").alias("node"), F.col("parent").alias("up_parent"), F.col("steps").alias("up_steps"), F.col("between").alias("up_between"), F.col("node").alias("up_node"), (F.col("size") + F.col("passed")).alias("up_passed"))
+    linked = rest.join(above, "node", "left")
+    hit = F.col("up_node").isNotNull()
+    between = F.when(hit, F.concat("up_between", F.array("up_node"), "between")).otherwise(F.col("between")) if paths else F.col("between")
+    kept = F.col("state") == "spliced"
+    return linked.select(
+        "node", F.when(hit, F.col("up_parent")).otherwise(F.col("parent")).alias("parent"), (F.col("steps") + F.coalesce("up_steps", F.lit(0))).alias("steps"), between.alias("between"), "size",
+        (F.col("passed") + F.coalesce("up_passed", F.lit(0))).alias("passed"), "state", F.when(kept, F.col("child")).alias("child"), F.when(kept, F.col("child_passed")).alias("child_passed"),
+    )
+
+
+def _assigned(rows: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
+    """_DONE of rows whose parent, and child if they were spliced out, are known."""
+    up = known.select(F.col("node").alias("parent"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
+    low = known.select(F.col("node").alias("child"), F.col("root").alias("low_root"), F.col("size").alias("low_size"))
+    joined = rows.join(up, "parent", "left").join(low, "child", "left")
+    top = F.col("parent").isNull()
+    root = F.when(top, F.col("node")).when(F.col("low_root") == CYCLE, CYCLE).when(F.col("up_depth") < 0, BELOW).otherwise(F.col("up_root"))
+    fine = top | (F.col("up_depth") >= 0)
+    path = F.when(fine, F.concat(F.coalesce("up_path", F.array().cast("array<string>")), "between", F.array("node"))) if paths else F.lit(None).cast("array<string>")
+    size = F.col("size") + F.when(F.col("state") == "spliced", F.col("child_passed") + F.col("low_size")).otherwise(0)
+    return joined.select("node", root.alias("root"), F.when(top, 0).when(fine, F.col("up_depth") + F.col("steps")).otherwise(-1).cast("bigint").alias("depth"), path.alias("path"), F.when(fine, size).alias("size"))
+
+
+def _write_counted(state: DataFrame, path: str) -> int:
+    """Write a round; the number of its rows that aren't on cycles' last nodes is counted on the way, without another job."""
     seen = Observation()
-    state.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("leaf").alias("leaves")).write.parquet(path)
-    return seen.get["n"], seen.get["leaves"]
-
-
-def _finish(level: int):
-    """The remaining rounds, up and down, over nodes that fit a task; rounds go on counting from level."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches))
-        parent = {n: p for n, p in zip(pdf["node"], pdf["parent"]) if isinstance(p, str)}
-        size = dict(zip(pdf["node"], pdf["size"]))
-        waiting = dict.fromkeys(pdf["node"], 0)
-        for p in parent.values():
-            if p in waiting:
-                waiting[p] += 1
-        front, order, rounds = [n for n, k in waiting.items() if not k], [], {}
-        at = level
-        while front:
-            following = []
-            for n in front:
-                rounds[n] = at
-                order.append(n)
-                p = parent.get(n)
-                if p in waiting:
-                    size[p] += size[n]
-                    waiting[p] -= 1
-                    if not waiting[p]:
-                        following.append(p)
-            front, at = following, at + 1
-        paths: dict[str, list[str] | None] = {}
-        for n in reversed(order):
-            p = parent.get(n)
-            above = [] if p is None else paths.get(p) if p in rounds else None
-            paths[n] = None if above is None else [*above, n]
-        yield pd.DataFrame({"node": pdf["node"], "size": [size[n] for n in pdf["node"]], "path": [paths.get(n) for n in pdf["node"]], "round": pd.array([rounds.get(n) for n in pdf["node"]], dtype="Int32")})
-
-    return run
-
-
-def _downward(spark, base: str, top: DataFrame, levels: int) -> DataFrame:
-    """Paths of the nodes peeled in rounds before ``levels``, in the reverse order of the rounds.
-
-    Every link is filed under its parent's round and read once; the children of a round wait in the round they were
-    peeled in. top holds what was known without that: the nodes peeled last with their paths, and those on cycles.
-    """
-    cyclic = top.where("round is null")
-    paths = top.where("round is not null")
-    if levels:
-        paths.withColumn("level", F.lit(levels)).write.partitionBy("level").parquet(f"{base}/paths")
-        peeled = spark.read.schema(f"{_STATE}, level int").option("basePath", f"{base}/states").parquet(f"{base}/states").where(F.col("leaf") & (F.col("level") < levels)).select("node", "parent", "size", "level")
-        above = peeled.select(F.col("node").alias("parent"), F.col("level").alias("parent_level")).unionByName(paths.select(F.col("node").alias("parent"), F.lit(levels).alias("parent_level")))
-        linked = peeled.join(above, "parent", "left")
-        linked.where(F.col("parent_level").isNotNull()).select("node", "parent", "size", "level", "parent_level").write.partitionBy("parent_level").parquet(f"{base}/links")
-        linked.where(F.col("parent_level").isNull()).select("node", "size", F.when(F.col("parent").isNull(), F.array("node")).alias("path"), F.col("level").alias("round"), "level").write.partitionBy("level").mode("append").parquet(f"{base}/paths")
-        for at in range(levels, 0, -1):
-            if not (_exists(spark, f"{base}/links/parent_level={at}", "part-") and _exists(spark, f"{base}/paths/level={at}", "part-")):
-                continue
-            known = spark.read.schema(_PATHS).parquet(f"{base}/paths/level={at}")
-            down = spark.read.schema("node string, parent string, size bigint, level int").parquet(f"{base}/links/parent_level={at}")
-            reached = down.join(known.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent")
-            reached.select("node", "size", F.concat("above", F.array("node")).alias("path"), F.col("level").alias("round"), "level").write.partitionBy("level").mode("append").parquet(f"{base}/paths")
-        paths = spark.read.schema(f"{_PATHS}, level int").parquet(f"{base}/paths") if _exists(spark, f"{base}/paths", "level=") else paths
-    known = F.col("path").isNotNull()
-    found = paths.select(F.col("node").alias("node_id"), F.when(known, F.get("path", F.lit(0))).otherwise("(below cycle)").alias("root_id"), F.when(known, F.size("path") - 1).otherwise(-1).cast("bigint").alias("depth"), "path", F.when(known, F.col("size")).alias("subtree_size"), F.col("round").alias("level"))
-    return found.unionByName(cyclic.select(F.col("node").alias("node_id"), F.lit("(cycle)").alias("root_id"), F.lit(-1).cast("bigint").alias("depth"), "path", F.lit(None).cast("bigint").alias("subtree_size"), F.col("round").alias("level")))
-
-
-def _exists(spark, path: str, prefix: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(at)) and any(s.getPath().getName().startswith(prefix) for s in fs.listStatus(at))
+    more = (F.col("state") != "spliced") & ~((F.col("state") == "stays") & F.coalesce(F.col("parent") == F.col("node"), F.lit(False)) )
+    state.observe(seen, F.count_if(more).alias("n")).write.parquet(path)
+    return seen.get["n"]
 
 
 def descendants(trees: DataFrame) -> DataFrame:
-    """(ancestor, node_id, distance) for every node below another one; from the paths, so no list is ever collected.
+    """(ancestor, node_id, distance) for every node below another one, from the kept parents by doubling.
 
-    Nodes without a root (cycles and below) have no path and give no rows.
+    No list is collected: known pairs are carried on to the ancestors twice as far, so rounds are the logarithm of
+    the depth. Nodes without a root (cycles and below) give no rows.
     """
-    steps = trees.where(F.col("path").isNotNull()).select("node_id", "depth", F.posexplode("path").alias("at", "ancestor"))
-    return steps.where(F.col("at") < F.col("depth")).select("ancestor", "node_id", (F.col("depth") - F.col("at")).alias("distance"))
+    spark = trees.sparkSession
+    base = workspace(spark)
+    jump = materialize(trees.where("depth > 0").select("node_id", F.col("parent_id").alias("ancestor")), f"{base}/jump=0")
+    pairs = [materialize(jump.select("ancestor", "node_id", F.lit(1).cast("bigint").alias("distance")), f"{base}/pairs=0")]
+    reach, step = 1, 0
+    while True:
+        step += 1
+        known = pairs[0]
+        for p in pairs[1:]:
+            known = known.unionByName(p)
+        here = jump.select(F.col("node_id").alias("low"), F.col("ancestor").alias("node_id"))
+        farther = known.join(here, "node_id").select("ancestor", F.col("low").alias("node_id"), (F.col("distance") + reach).alias("distance"))
+        pairs.append(materialize(farther, f"{base}/pairs={step}"))
+        if pairs[-1].isEmpty():
+            return known
+        jump = materialize(jump.join(jump.select(F.col("node_id").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor").select("node_id", F.col("far").alias("ancestor")), f"{base}/jump={step}")
+        reach *= 2

@@ -53,28 +53,42 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_state(spark, d).select("event_id", "repo_key", "log_no", "log_pos")
 
 
-def _trees(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.resolve_trees(hierarchy.hierarchy_links(table(spark, d, "edges")))
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy_links(table(spark, d, "edges"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _trees(spark, d).select("node_id", "root_id", "depth")
+    return hierarchy.resolve_trees(_links(spark, d), paths=False).select("node_id", "root_id", "depth")
 
 
 def p4_trees(spark: SparkSession, d: str) -> DataFrame:
-    return _trees(spark, d).select("node_id", "root_id", "depth", F.concat_ws(" > ", "path").alias("path"), "subtree_size")
+    trees = hierarchy.resolve_trees(_links(spark, d))
+    return trees.select("node_id", "root_id", "depth", F.when(F.col("path").isNotNull(), F.concat_ws(" > ", "path")).alias("path"), "subtree_size")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(_trees(spark, d))
+    return hierarchy.descendants(hierarchy.resolve_trees(_links(spark, d), paths=False))
+
+
+def p4_dropped_links(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.dropped_links(_links(spark, d), hierarchy.resolve_trees(_links(spark, d), paths=False))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return late_events.late_cases(late_events.ingest(table(spark, d, "finding_events")))
+    store = late_events.LateStore(spark, workspace(spark))
+    store.ingest(table(spark, d, "finding_events"))
+    return store.late_cases()
 
 
 def p5_weekly(spark: SparkSession, d: str) -> DataFrame:
-    return late_events.weekly(late_events.partials(late_events.ingest(table(spark, d, "finding_events"))))
+    """The weeks after two runs of ingestion: what was recorded up to the middle of the time covered, and the rest."""
+    events, store = table(spark, d, "finding_events"), late_events.LateStore(spark, workspace(spark))
+    day = F.unix_date(F.substring("recorded_at", 1, 10).try_cast("date"))
+    low, high = events.agg(F.min(day), F.max(day)).first()
+    early = F.coalesce(day <= ((low or 0) + (high or 0)) // 2, F.lit(False))
+    store.ingest(events.where(early))
+    store.ingest(events.where(~early))
+    return store.weekly()
 
 
 def _normalised(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +108,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found, "p2_versions": p2_versions,
     "p2_casts": p2_casts, "p2_repos": _unified("repos"), "p2_findings": _unified("findings"), "p2_meta": _unified("meta"),
-    "p3_found": p3_found, "p3_state": p3_state, "p4_found": p4_found, "p4_trees": p4_trees, "p4_descendants": p4_descendants,
+    "p3_found": p3_found, "p3_state": p3_state, "p4_found": p4_found, "p4_trees": p4_trees, "p4_descendants": p4_descendants, "p4_dropped_links": p4_dropped_links,
     "p5_found": p5_found, "p5_weekly": p5_weekly, "p6_found": p6_found,
 }
 
@@ -137,6 +151,12 @@ SQL = {
         looped AS (SELECT DISTINCT start FROM chase WHERE start = here)
         SELECT node_id, root_id, depth FROM walk
         UNION ALL SELECT node_id, CASE WHEN node_id IN (SELECT start FROM looped) THEN '(cycle)' ELSE '(below cycle)' END, CAST(-1 AS BIGINT) FROM nodes_in WHERE node_id NOT IN (SELECT node_id FROM walk)""",
+    "p4_trees": f"""WITH RECURSIVE {_TREE},
+        chase(start, here) AS (SELECT child, parent FROM links WHERE child NOT IN (SELECT node_id FROM walk) UNION SELECT start, l.parent FROM chase c JOIN links l ON l.child = c.here),
+        looped AS (SELECT DISTINCT start FROM chase WHERE start = here),
+        sizes AS (SELECT w.node_id, count(*) AS n FROM walk w JOIN walk b ON b.root_id = w.root_id AND (b.path = w.path OR starts_with(b.path, w.path || ' > ')) GROUP BY 1)
+        SELECT w.node_id, root_id, depth, path, n AS subtree_size FROM walk w JOIN sizes USING (node_id)
+        UNION ALL SELECT node_id, CASE WHEN node_id IN (SELECT start FROM looped) THEN '(cycle)' ELSE '(below cycle)' END, CAST(-1 AS BIGINT), NULL, NULL FROM nodes_in WHERE node_id NOT IN (SELECT node_id FROM walk)""",
     "p4_descendants": f"""WITH RECURSIVE {_TREE},
         below(ancestor, node_id, distance) AS (SELECT l.parent, l.child, CAST(1 AS BIGINT) FROM links l WHERE l.child IN (SELECT node_id FROM walk) UNION ALL SELECT b.ancestor, l.child, b.distance + 1 FROM below b JOIN links l ON l.parent = b.node_id)
         SELECT ancestor, node_id, distance FROM below""",

@@ -104,7 +104,7 @@ def src_22_distinct_reports(s, d):
 
 @query(f"""WITH {R} SELECT repo_key, concat_ws('/', tree, product, repo_dir, base) || CASE WHEN report_kind <> 'code-audit' THEN '#' || report_kind ELSE '' END AS built_key,
   CASE WHEN findings_current IS NOT NULL THEN 'findings_current' WHEN audit_json IS NOT NULL THEN 'audit_json' ELSE 'audit_md_only' END AS preferred_form,
-  CASE WHEN ref_source = 'metadata' THEN coalesce(ref_kind, '') = 'branch' ELSE ref IS NOT NULL END AS is_branch, coalesce(nullif(ref, ''), nullif(regexp_extract(base, '__((?:release|openshift)-\\d+\\.\\d+(?:\\.\\d+)?)$', 1), '')) AS any_ref FROM r""")
+  CASE WHEN ref_source = 'metadata' THEN coalesce(ref_kind, '') = 'branch' ELSE ref IS NOT NULL END AS is_branch, coalesce(nullif(ref, ''), nullif(regexp_extract(base, '__((release|stable)-\\d+\\.\\d+(\\.\\d+)?)$', 1), '')) AS any_ref FROM r""")
 def prj_03_04_05_06_repo(s, d):
     kind = F.when(F.col("report_kind") != "code-audit", F.concat(F.lit("#"), "report_kind")).otherwise("")
     return repos(s, d).select(

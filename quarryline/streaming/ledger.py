@@ -82,16 +82,11 @@ def changed_only(stream: DataFrame, key: list[str], value: str, path: str) -> No
     stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
 
 
-def weekly_partials(stream: DataFrame, path: str) -> None:
-    """Partial counts of each arrival batch, one folder per batch: a repeated batch overwrites its own; reading merges them.
-
-    A later delivery of an event within a batch counts once; across batches the stream must be deduplicated before.
-    """
-
-    def one(batch: DataFrame, n: int) -> None:
-        late_events.partials(late_events.ingest(batch)).write.mode("overwrite").parquet(f"{path}/arrival={n}")
-
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+def weekly_store(stream: DataFrame, path: str, rule: late_events.Lateness = late_events.Lateness()) -> late_events.LateStore:
+    """The store of weekly partial counts fed by a stream, a run for each batch; a batch that comes again adds nothing."""
+    store = late_events.LateStore(stream.sparkSession, path, rule)
+    stream.writeStream.foreachBatch(lambda batch, _: store.ingest(batch)).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+    return store
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

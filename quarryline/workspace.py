@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that setting is missing (tests)."""
+    """A new folder under spark.checkpoint.dir.
+
+    Where that isn't set, a session on this machine alone (tests) gets a local folder; on a cluster it's an error, as
+    no folder of one machine is seen by all executors.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quarryline/{uuid.uuid4().hex}"
@@ -23,6 +29,18 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if it isn't there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -1,6 +1,7 @@
 """Defined results for nulls, empty tables, ties, copies and clashing columns."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,25 +65,66 @@ def test_changefeed_empty(spark):
     assert changefeed.apply_feed(feed(spark, []), workspace(spark), ["k"], ["log_no", "log_pos"], ["v"], "feed_pos").count() == 0
 
 
-def trees(spark, links, local_rows=hierarchy.LOCAL_ROWS):
-    return hierarchy.resolve_trees(spark.createDataFrame(links, "parent string, child string"), local_rows)
+def trees(spark, links, paths=True):
+    return hierarchy.resolve_trees(spark.createDataFrame(links, "parent string, child string"), paths)
 
 
-@pytest.mark.parametrize("local_rows", [0, 5, 1000])
-def test_hierarchy(spark, local_rows):
+def test_hierarchy(spark):
     links = [("r", "a"), ("r", "a"), ("a", "b"), ("b", "c"), ("r", "d"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "w"), ("s", "s"), (None, "n"), ("n", None)]
-    got = trees(spark, links, local_rows)
+    got = trees(spark, links)
     assert rows(got, "node_id", "root_id", "depth", "subtree_size") == [
         ("a", "r", 1, 3), ("b", "r", 2, 2), ("c", "r", 3, 1), ("d", "r", 1, 1), ("r", "r", 0, 5), ("s", "(cycle)", -1, None),
         ("w", "(below cycle)", -1, None), ("x", "(cycle)", -1, None), ("y", "(cycle)", -1, None), ("z", "(below cycle)", -1, None),
     ]
+    assert {r.node_id: r.path for r in got.collect() if r.path} == {"r": ["r"], "a": ["r", "a"], "b": ["r", "a", "b"], "c": ["r", "a", "b", "c"], "d": ["r", "d"]}
     assert rows(hierarchy.descendants(got), "ancestor", "node_id", "distance") == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("r", "a", 1), ("r", "b", 2), ("r", "c", 3), ("r", "d", 1)]
 
 
-@pytest.mark.parametrize("local_rows", [0, 1000])
-def test_hierarchy_without_trees(spark, local_rows):
-    assert trees(spark, [], local_rows).count() == 0
-    assert rows(trees(spark, [("a", "b"), ("b", "a")], local_rows), "node_id", "root_id") == [("a", "(cycle)"), ("b", "(cycle)")]
+def test_hierarchy_without_trees(spark):
+    assert trees(spark, []).count() == 0
+    assert hierarchy.descendants(trees(spark, [])).count() == 0
+    assert rows(trees(spark, [("a", "b"), ("b", "a")]), "node_id", "root_id") == [("a", "(cycle)"), ("b", "(cycle)")]
+
+
+def test_several_parents(spark):
+    # b's smallest parent lies on a cycle, so it keeps the one with a root; the links not followed are rows
+    links = [("a0", "a1"), ("a1", "a0"), ("a0", "b"), ("r", "b"), ("s", "b"), ("b", "c"), ("p", "q"), ("o", "q")]
+    df = spark.createDataFrame(links, "parent string, child string")
+    got = hierarchy.resolve_trees(df)
+    assert rows(got, "node_id", "root_id", "depth") == [("a0", "(cycle)", -1), ("a1", "(cycle)", -1), ("b", "r", 1), ("c", "r", 2), ("o", "o", 0), ("p", "p", 0), ("q", "o", 1), ("r", "r", 0), ("s", "s", 0)]
+    assert rows(hierarchy.dropped_links(df, got), "parent", "child", "kept") == [("a0", "b", "r"), ("p", "q", "o"), ("s", "b", "r")]
+
+
+def plain_trees(links):
+    parent = {c: p for p, c in links}
+    nodes = {n for pair in links for n in pair}
+    out = {}
+    for n in nodes:
+        path, at = [n], n
+        while at in parent and parent[at] not in path:
+            at = parent[at]
+            path.append(at)
+        out[n] = (at, len(path) - 1, path[::-1]) if at not in parent else ("(cycle)", -1, None) if parent[at] == n else ("(below cycle)", -1, None)
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_random_trees(spark, seed):
+    pick = random.Random(seed)
+    links = [(f"{pick.randrange(max(0, i - 3), 200 if seed % 2 and pick.random() < 0.05 else i) % 200:03}" if i else "root", f"{i:03}") for i in range(200) if pick.random() < 0.97]
+    got, want = trees(spark, links).collect(), plain_trees(links)
+    assert {r.node_id: (r.root_id, r.depth, r.path) for r in got} == want
+    below = {n: sum(1 for _, d, p in want.values() if d >= 0 and n in p) for n, (_, d, _) in want.items() if d >= 0}
+    assert {r.node_id: r.subtree_size for r in got if r.depth >= 0} == below
+    pairs = rows(hierarchy.descendants(trees(spark, links, paths=False)), "ancestor", "node_id", "distance")
+    assert pairs == sorted(((a, n, d - i) for n, (_, d, p) in want.items() if d > 0 for i, a in enumerate(p[:-1])), key=str)
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 20_000
+    links = spark.range(1, n).selectExpr("cast(id - 1 AS string) AS parent", "cast(id AS string) AS child")
+    got = hierarchy.resolve_trees(links, paths=False)
+    assert got.agg(F.count("*"), F.max("depth"), F.sum("subtree_size"), F.countDistinct("root_id")).first()[:] == (n, n - 1, n * (n + 1) // 2, 1)
 
 
 @pytest.mark.parametrize(("text", "zone", "want"), [
@@ -110,19 +152,51 @@ def test_viterbi_follows_neighbours_without_conventions(spark):
     assert instants.choose_readings(read.where("false"), F.col("source"), [F.col("row_no")], ["row_no"]).count() == 0
 
 
-def test_late_events(spark):
-    schema = "row_no bigint, event_id string, repo_key string, recorded_at string, occurred_at string, site_tz string, resolution string, week_ms string"
+LATE = "row_no bigint, event_id string, repo_key string, recorded_at string, occurred_at string, site_tz string, resolution string, week_ms string"
+
+
+def late_rows():
     at = lambda day: f"2024-{day}T00:00:00+00:00"
-    data = [
+    return [
         (1, "a", "r", at("01-08"), at("01-01"), None, "open", None), (1, "a", "r", at("01-08"), at("01-01"), None, "open", None), (2, "a", "r", at("03-08"), at("01-01"), None, "open", None),
         (3, "b", "r", "2024-01-07T23:59:59+00:00", at("01-01"), None, None, None), (4, "c", "r", at("02-05"), at("01-01"), None, "open", None), (5, "d", "r", at("02-04"), at("01-01"), None, "open", None), (6, "e", None, at("01-01"), "never", None, None, None),
     ]
-    got = late_events.ingest(spark.createDataFrame(data, schema))
-    assert rows(late_events.late_cases(got), "event_id", "outcome") == [("a", "corrects"), ("c", "cut"), ("d", "corrects")]
-    parts = late_events.partials(got)
-    halves = late_events.merge(late_events.partials(got.where("event_id < 'c'")), late_events.partials(got.where("event_id >= 'c'")))
-    assert rows(late_events.weekly(parts), "resolution", "n_on_time", "n_corrected", "n_events", "n_cut") == rows(late_events.weekly(halves), "resolution", "n_on_time", "n_corrected", "n_events", "n_cut") == [("open", 0, 2, 2, 1), (None, 1, 0, 1, 0)]
-    assert late_events.weekly(late_events.partials(got.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("runs", [1, 3])
+def test_late_events(spark, runs):
+    df, path = spark.createDataFrame(late_rows(), LATE), workspace(spark)
+    for i in range(runs):
+        # a store that's opened anew goes on; "a" comes again in a later run
+        late_events.LateStore(spark, path).ingest(df.where((F.col("row_no") * runs / 7).cast("int") == i))
+    store = late_events.LateStore(spark, path)
+    assert rows(store.late_cases(), "event_id", "outcome") == [("a", "corrects"), ("c", "cut"), ("d", "corrects")]
+    assert rows(store.weekly(), "resolution", "n_on_time", "n_corrected", "n_events", "n_cut") == [("open", 0, 2, 2, 1), (None, 1, 0, 1, 0)]
+    first = late_events.partials(store.arrivals().where("event_id < 'c'"))
+    both = late_events.merge(first, late_events.partials(store.arrivals().where("event_id >= 'c'")))
+    assert rows(both, *both.columns) == rows(store.counts(), *both.columns)
+    shorter = late_events.LateStore(spark, path, late_events.Lateness(open_days=7))
+    assert rows(shorter.late_cases(), "event_id", "outcome") == [("a", "corrects"), ("c", "cut"), ("d", "cut")]
+
+
+def test_late_events_after_a_stop(spark):
+    df, path = spark.createDataFrame(late_rows(), LATE), workspace(spark)
+    store = late_events.LateStore(spark, path)
+    store.ingest(df.where("row_no <= 3"))
+    late_events.first_deliveries(df).write.parquet(f"{path}/arrivals/run=000001")  # a run that stopped before its commit
+    assert store.arrivals().count() == 2
+    store.ingest(df.where("row_no > 3"))
+    assert rows(store.late_cases(), "event_id", "outcome") == [("a", "corrects"), ("c", "cut"), ("d", "corrects")]
+    # the partials decide: without the stored counts nothing is a case
+    spark.createDataFrame([], "week_ms bigint, resolution string, arrival_ms bigint, n bigint").write.mode("overwrite").parquet(f"{path}/partials/run=000001")
+    assert rows(store.late_cases(), "event_id", "outcome") == [("a", "corrects")]
+
+
+def test_late_events_without_rows(spark):
+    store = late_events.LateStore(spark, workspace(spark))
+    assert store.weekly().count() == 0 and store.late_cases().count() == 0
+    store.ingest(spark.createDataFrame([], LATE))
+    assert store.weekly().count() == 0 and store.late_cases().count() == 0
 
 
 def test_schema_drift(spark):
