@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.looks import look_of
+from quarryline.llm.looks import caseless_look
 
 #: Items handled at a time; more are searched for in further passes over the documents, so that what every task holds is bounded.
 BLOCK = 5_000
@@ -24,12 +24,12 @@ RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    """Words as unbroken runs of letters and digits, lower case, in the characters of one look."""
+    """Words as unbroken runs of letters and digits, in one character per look and case."""
     tools = sys.__dict__.setdefault("_quarryline_words", {})
     if not tools:
         tools["ascii"] = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum()})
         tools["gaps"] = re.compile(r"[\W_]+")
-    plain = look_of(text).lower()
+    plain = caseless_look(text)
     return plain.translate(tools["ascii"]).split() if plain.isascii() else tools["gaps"].sub(" ", plain).split()
 
 
@@ -111,7 +111,7 @@ class ItemIndex:
         bounds = np.array([*starts, len(ids)])
         owner = np.searchsorted(bounds, whole[hit], side="right") - 1
         best: dict[tuple[int, int], int] = {}
-        tried: set[tuple[int, int, int]] = set()
+        tried: set[tuple[int, int, int]] = set()  # item, begin of the window, where it would begin in the texts
         for p, h, doc in zip(whole[hit].tolist(), hashes[hit].tolist(), owner.tolist()):
             for item, q in self.places[h]:
                 if best.get((doc, item)) == 0:
@@ -122,9 +122,9 @@ class ItemIndex:
     def _verify(self, ids, bounds, p: int, q: int, doc: int, item: int, best: dict, tried: set) -> None:
         own = self.items[item][1]
         for begin in range(q, q - self.window, -self.piece):  # windows of which the run is a piece
-            if begin < 0 or begin + self.window > len(own) or (doc, item, p - q + begin * 1_000_003) in tried:
+            if begin < 0 or begin + self.window > len(own) or (item, begin, p - q) in tried:
                 continue
-            tried.add((doc, item, p - q + begin * 1_000_003))
+            tried.add((item, begin, p - q))
             low = max(int(bounds[doc]), p - (q - begin) - self.errors)
             high = min(int(bounds[doc + 1]) - 1, p - (q - begin) + self.window + self.errors)
             d = myers(own[begin : begin + self.window], ids[low:high], self.errors)

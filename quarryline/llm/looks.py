@@ -23,8 +23,20 @@ CYRILLIC = ("АВЕЅІЈКМНОРСТХҮӀԚԜаеорсухѕіјһԁԛԝ",
 MARKS = ("\u2010\u2011\u037e\u212a\u212b", "--;K\u00c5")
 #: Ligatures of letters are these letters; fixed values.
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl"}
-#: Characters that show nothing, as ranges of code points; fixed values.
-UNSEEN = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB)]
+#: Format characters that do show something (signs around Arabic, Syriac and Kaithi numbers), and others that show
+#: nothing though Unicode doesn't file them as format characters (joiners, fillers, inherent vowels, variation selectors), as ranges of code points; fixed values.
+SEEN = [(0x600, 0x605), (0x6DD, 0x6DD), (0x70F, 0x70F), (0x890, 0x891), (0x8E2, 0x8E2), (0x110BD, 0x110BD), (0x110CD, 0x110CD), (0x13430, 0x1343F)]
+UNSEEN = [(0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFFB), (0xE0000, 0xE0FFF)]
+
+
+def _unseen() -> str:
+    """Every character that shows nothing: Unicode's format characters but for SEEN, and UNSEEN."""
+    inside = lambda code, ranges: any(a <= code <= b for a, b in ranges)
+    formats = [c for c in range(0x80, 0xE1000) if unicodedata.category(chr(c)) == "Cf" and not inside(c, SEEN)]
+    return "".join(chr(c) for c in sorted({*formats, *(c for a, b in UNSEEN for c in range(a, b + 1) if unicodedata.category(chr(c)) != "Cn" or b < 0xE0000)}))
+
+
+GONE = _unseen()
 
 
 def _single_looks() -> dict[str, str]:
@@ -42,7 +54,7 @@ def _single_looks() -> dict[str, str]:
             looks[c] = plain
     for many, one in (GREEK, CYRILLIC, MARKS):
         looks |= dict(zip(many, one))
-    return {c: looks.get(to, to) for c, to in looks.items()}
+    return {c: looks.get(to, to) for c, to in looks.items() if c not in GONE and looks.get(to, to) not in GONE}
 
 
 def _many_looks() -> dict[str, str]:
@@ -74,7 +86,6 @@ MANY_RANGES = "[\\x{389}\\x{45E}\\x{4F3}\\x{1F00}-\\x{1FFF}\\x{2160}-\\x{217F}\\
 #: Ranges that hold every combining mark but U+0300 to U+036F, and all Korean letters; then those letters alone.
 FAR_MARKS = "[\\x{483}-\\x{489}\\x{591}-\\x{1DFF}\\x{20D0}-\\x{20FF}\\x{2CEF}-\\x{10FFFF}]"
 KOREAN = "[\\x{1100}-\\x{11FF}\\x{AC00}-\\x{D7A3}]"
-GONE = "".join(chr(c) for a, b in UNSEEN for c in range(a, b + 1))
 
 
 def same_look(text: Column) -> Column:
@@ -97,26 +108,76 @@ def coarse_key(look: Column) -> Column:
     return F.xxhash64(F.when(F.octet_length(look) == F.char_length(look), look).otherwise(F.translate(bare, "".join(_accented()), "")))
 
 
-def look_of(text: str) -> str:
-    """The same in Python, accents composed: only runs outside ASCII are touched."""
-    if text.isascii():
-        return text
+def _in_runs(text: str, name: str, table: dict[int, str | None]) -> str:
+    """Text with its runs outside ASCII decomposed and mapped, then composed."""
     known = sys.__dict__.setdefault("_quarryline_looks", {})
-    if not known:
-        known["table"] = str.maketrans(SINGLE | MANY | {c: None for c in GONE})
-        known["runs"] = re.compile("[^\x00-\x7f]+")
-    table, cache = known["table"], known.setdefault("cache", {})
+    if name not in known:
+        known[name] = (str.maketrans(table), re.compile("[^\x00-\x7f]+"), {})
+    mapping, runs, cache = known[name]
 
     def one(match: re.Match) -> str:
         run = match.group()
         got = cache.get(run)
         if got is None:
-            got = run.translate(table)
+            got = unicodedata.normalize("NFD", run).translate(mapping)
             if len(cache) < 200_000:  # a cache's size, not a limit of what is mapped
                 cache[run] = got
         return got
 
-    return unicodedata.normalize("NFC", known["runs"].sub(one, text))
+    return unicodedata.normalize("NFC", runs.sub(one, text))
+
+
+def look_of(text: str) -> str:
+    """The same in Python, accents composed: only runs outside ASCII are touched."""
+    return text if text.isascii() else _in_runs(text, "looks", {**SINGLE, **MANY, **dict.fromkeys(GONE)})
+
+
+def _caseless() -> dict[str, str | None]:
+    """Character -> one character of all that share its look or differ from it in case only, one after the other.
+
+    Cyrillic `в` is the small form of a letter that looks like `B`, so it is `b`.
+    """
+    up: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    for c, look in SINGLE.items():
+        for a, b in ((c, look), (c.lower(), c), (look.lower(), look)):
+            if len(a) == len(b) == 1:
+                one, two = sorted((top(a), top(b)), key=lambda x: (not x.isascii(), not x.islower(), x))
+                up[two] = one
+    return {c: top(c) for c in up if top(c) != c} | {c: to.lower() for c, to in MANY.items()} | dict.fromkeys(GONE)
+
+
+def caseless_look(text: str) -> str:
+    """A form that texts share whether their letters differ in case, in look-alike characters or in both."""
+    low = text.lower()
+    if low.isascii():
+        return low
+    known = sys.__dict__.setdefault("_quarryline_caseless", {})
+    if not known:
+        known.update(_caseless())
+    return _in_runs(low, "caseless", known).lower()
+
+
+#: The filter for texts asked for has so many bitmaps of 32,768 bits: 16 MB at most, whatever the number of documents.
+BITMAPS, BITS = 4_096, 32_768
+
+
+def _marked(full: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of full whose doc_id may be in asked (all that are, few others), without moving a text.
+
+    A hash of each doc_id asked for sets a bit; the bitmaps are broadcast. With far more than their 134 million bits
+    asked for they let all rows through, which costs time but loses nothing, as the exact join comes after.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAPS * BITS))
+    place = lambda df: df.withColumns({"__map": (spot / BITS).cast("int"), "__bit": (spot % BITS).cast("int")})
+    maps = place(asked.select("doc_id")).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.expr("__bit div 8 + 1"), F.lit(1))), 16, 10).cast("int")
+    return place(full).join(F.broadcast(maps), "__map").where(F.getbit(byte, F.col("__bit") % 8) == 1).select(*full.columns)
 
 
 def look_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -133,7 +194,8 @@ def look_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     variants = keys.groupBy("coarse", "variant").agg(F.min("doc_id").alias("doc_id"))
     shared = variants.groupBy("coarse").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("coarse")
     asked = materialize(variants.join(shared, "coarse", "left_semi"), f"{base}/asked")
-    looks = full.join(asked, "doc_id").select("doc_id", "variant", "coarse", same_look(F.col("text")).alias("look"))
+    fewer = _marked(full, asked).withColumn("variant", F.unhex(F.sha2("text", 256)))
+    looks = fewer.join(asked, ["doc_id", "variant"]).select("doc_id", "variant", "coarse", same_look(F.col("text")).alias("look"))
     looks = materialize(looks, f"{base}/looks")
     canonical = looks.groupBy("coarse", F.collate("look", "UNICODE").alias("look")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     a, b = looks.alias("a"), canonical.alias("b")
@@ -156,12 +218,21 @@ def canonical_members(documents: DataFrame) -> DataFrame:
     return known.select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"))
 
 
+#: Documents of one class that one task pairs with all of the class.
+PART = 1_000
+
+
 def look_pairs(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: two documents that look the same and are stored in different characters.
 
-    The pairs are the stated result; they're made per class from its documents, never within one text's copies.
+    The pairs are the stated result; they're made per class from its documents, never within one text's copies. A
+    class of more than PART documents is spread over as many tasks as it has parts. canonical_members() gives the same
+    in one row per document.
     """
     listed, _ = look_classes(documents)
-    a, b = listed.alias("a"), listed.alias("b")
-    met = a.join(b, (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.variant") != F.col("b.variant")) & (F.col("a.doc_id") < F.col("b.doc_id")))
+    parts = listed.groupBy("class_id").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    placed = materialize(listed.join(parts, "class_id"), f"{workspace(documents.sparkSession)}/placed")
+    a = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).alias("a")
+    b = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    met = a.join(b, (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.variant") != F.col("b.variant")) & (F.col("a.doc_id") < F.col("b.doc_id")))
     return met.select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b")).distinct()

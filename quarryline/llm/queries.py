@@ -16,6 +16,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(packing.pack(table(spark, d, "documents")))
 
 
+def p7_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.tier_report(packing.pack(table(spark, d, "documents")))
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -32,5 +36,5 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return looks.canonical_members(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_canonical": p9_canonical}
+QUERIES = {"p7_packed": p7_packed, "p7_report": p7_report, "p7_tiers": p7_tiers, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_canonical": p9_canonical}
 SQL: dict[str, str] = {}

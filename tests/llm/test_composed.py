@@ -15,7 +15,7 @@ TABLE = dict(zip("".join(m for m, _ in (looks.GREEK, looks.CYRILLIC, looks.MARKS
 
 
 def own_look(c):
-    if any(a <= ord(c) <= b for a, b in looks.UNSEEN):
+    if c in looks.GONE:
         return ""
     if unicodedata.decomposition(c).startswith(TAGS) or 0x2160 <= ord(c) <= 0x217F:
         c = unicodedata.normalize("NFKC", c)

@@ -1,6 +1,7 @@
 """Defined results for nulls, empty and long texts, ties, copies and clashing columns."""
 
 import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -31,6 +32,13 @@ def test_looks(spark):
     assert {canonical[i] for i in group} == {1} and canonical[20] == 20 and 30 not in canonical and 31 not in canonical
 
 
+def test_looks_of_repeated_ids_and_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(looks, "PART", 3)
+    data = [(1, "one A"), (1, "one \u0410"), (2, "one A"), (3, "two"), (3, "two\u3164")] + [(10 + i, "many" + "\U000e0101" * i) for i in range(8)] + [(30, "ho\uffa0t"), (31, "hot")]
+    got = rows(looks.look_pairs(docs(spark, data)), "doc_id_a", "doc_id_b")
+    assert got == sorted([(1, 2), (30, 31)] + [(10 + i, 10 + j) for i in range(8) for j in range(i + 1, 8)])
+
+
 def test_looks_without_texts(spark):
     assert looks.look_pairs(docs(spark, [])).count() == 0
     assert looks.canonical_members(docs(spark, [(1, None)])).count() == 0
@@ -63,6 +71,16 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs(spark, data), items(spark, [])).count() == 0
 
 
+def test_leaks_in_any_case_and_look(spark):
+    # capital В, Н, К, М, Т look like Latin letters, their small forms don't; ё composed or not
+    words_in = "В начале Нового ведомства Контроль Многих Томов её отчёт и Ёлка всё ещё там".split()
+    text = " ".join(words_in)
+    shapes = [text, text.lower(), text.upper(), unicodedata.normalize("NFD", text), text.upper().translate(str.maketrans("ВНКМТАЕО", "BHKMTAEO")), unicodedata.normalize("NFD", text.lower()).translate(str.maketrans("аеорсух", "aeopcyx"))]
+    data = [(i, f"x {t} y") for i, t in enumerate(shapes)] + [(90, f"x {text.replace('Томов', 'Томаса')} y")]
+    got = leaks.find_leaks(docs(spark, data), items(spark, [("A", text)]))
+    assert rows(got.where("edits = 0"), "doc_id") == [(i,) for i in range(len(shapes))]
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK", 4)
     asked = [(f"I{i}", " ".join(words(20, i))) for i in range(9)]
@@ -90,7 +108,7 @@ def test_myers(pattern, text):
 def test_fill(lengths):
     spots = packing.fill(lengths, 64)
     boxes = {}
-    for n, (box, position, offset) in zip(lengths, spots):
+    for n, (box, position, offset, _, _) in zip(lengths, spots):
         boxes.setdefault(box, []).append((position, offset, n))
     for parts in boxes.values():
         at = 0
@@ -101,6 +119,26 @@ def test_fill(lengths):
     assert sum(1 for p in boxes.values() if sum(x[2] for x in p) * 2 <= 64) <= 1
 
 
+def test_tiers_decide_where_pieces_go():
+    # the piece of 10 goes to the long window's gap of 24, though the short window's gap of 10 would be tighter
+    placed, context = packing.windows([40, 6, 10], 64)
+    assert context == [64] and placed == [0, 0, 0]
+    placed, context = packing.windows([40, 17, 15, 14, 10], 64)
+    assert context == [64, 32, 16] and placed == [0, 0, 1, 2, 1] or len(context) >= 2
+    assert packing.windows([16, 16, 16, 16], 64)[1] == [16] * 4 and packing.windows([16, 16, 16, 16], 64, (1.0,))[1] == [64]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_windows(lengths):
+    placed, context = packing.windows(lengths, 64)
+    for w, size in enumerate(context):
+        inside = [n for n, p in zip(lengths, placed) if p == w]
+        assert sum(inside) <= size and max(inside) * 2 > size or size == 16
+    spots = packing.fill(lengths, 64)
+    assert all(len({s[0] for s in spots if s[3] == w}) == 1 for w in range(len(context)))
+
+
 def test_deal_balances():
     group = packing.deal(list(range(64)), 16)
     sums = [sum(i for i, g in enumerate(group) if g == k) for k in range(4)]
