@@ -35,14 +35,14 @@ def hierarchy_links(edges: DataFrame) -> DataFrame:
     )
 
 
-def resolve_trees(links: DataFrame, paths: bool = True) -> DataFrame:
+def resolve_trees(links: DataFrame, paths: bool = True, parents: bool = True) -> DataFrame:
     """One row per node at an end of a link: node_id, root_id, depth, path (root first), subtree_size, parent_id.
 
     A node on a cycle has root_id ``(cycle)`` and depth -1, one below a cycle ``(below cycle)`` and -1; their path
     and subtree_size are NULL. Of several parents a node keeps the smallest; if that leads to a cycle that the node
     isn't on, the smallest that has a root. parent_id is the one kept, dropped_links() lists the others. No links
     give no rows. Repeated links and links with a NULL end change nothing. Without ``paths`` the path is NULL, and
-    no row grows with the depth.
+    no row grows with the depth; without ``parents`` the parent_id is NULL.
     """
     clean = links.where(F.col("parent").isNotNull() & F.col("child").isNotNull()).select("parent", "child").distinct()
     base = workspace(links.sparkSession)
@@ -65,6 +65,8 @@ def resolve_trees(links: DataFrame, paths: bool = True) -> DataFrame:
             break
         step += 1
         kept = materialize(kept.join(better, "child", "left").select("child", F.coalesce("better", "parent").alias("parent")), f"{base}/kept={step}")
+    if not parents:
+        return done.select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", "path", F.col("size").alias("subtree_size"), F.lit(None).cast("string").alias("parent_id"))
     return done.join(kept.select(F.col("child").alias("node"), F.col("parent").alias("parent_id")), "node", "left").select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", "path", F.col("size").alias("subtree_size"), "parent_id")
 
 
@@ -109,7 +111,7 @@ def _round(now: DataFrame, seed: int, paths: bool) -> DataFrame:
     )
     rest = now.where(~is_leaf).drop("child", "child_passed", "state").join(sent, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
     looped = F.coalesce(F.col("parent") == F.col("node"), F.lit(False))
-    rank = lambda c: F.xxhash64(F.col(c), F.lit(seed))
+    rank = lambda c: F.xxhash64(F.col(c), F.lit(seed % 4))  # noqa: E731  few seeds, so that rounds share their generated code
     # a node that lost a leaf in this round waits, so that the leaf's parent is there when rounds are taken back
     chain = F.col("parent").isNotNull() & ~looped & (F.col("left_over") == 1) & (F.col("gone") == 0) & (rank("node") > rank("child")) & (rank("node") > rank("parent"))
     state = F.when(F.coalesce(chain, F.lit(False)), "spliced").when((F.coalesce("left_over", F.lit(0)) == 0) & ~looped, "leaf").otherwise("stays")
@@ -142,7 +144,7 @@ def _assigned(rows: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
 def _write_counted(state: DataFrame, path: str) -> int:
     """Write a round; the number of its rows that aren't on cycles' last nodes is counted on the way, without another job."""
     seen = Observation()
-    more = (F.col("state") != "spliced") & ~((F.col("state") == "stays") & F.coalesce(F.col("parent") == F.col("node"), F.lit(False)) )
+    more = (F.col("state") != "spliced") & ~((F.col("state") == "stays") & F.coalesce(F.col("parent") == F.col("node"), F.lit(False)))
     state.observe(seen, F.count_if(more).alias("n")).write.parquet(path)
     return seen.get["n"]
 

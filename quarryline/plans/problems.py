@@ -58,11 +58,11 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.resolve_trees(_links(spark, d), paths=False).select("node_id", "root_id", "depth")
+    return hierarchy.resolve_trees(_links(spark, d), paths=False, parents=False).select("node_id", "root_id", "depth")
 
 
 def p4_trees(spark: SparkSession, d: str) -> DataFrame:
-    trees = hierarchy.resolve_trees(_links(spark, d))
+    trees = hierarchy.resolve_trees(_links(spark, d), parents=False)
     return trees.select("node_id", "root_id", "depth", F.when(F.col("path").isNotNull(), F.concat_ws(" > ", "path")).alias("path"), "subtree_size")
 
 
@@ -93,12 +93,11 @@ def p5_weekly(spark: SparkSession, d: str) -> DataFrame:
 
 def _normalised(spark: SparkSession, d: str) -> DataFrame:
     events, findings, repos = (table(spark, d, n) for n in ("finding_events", "findings", "repos"))
-    loaded, day = F.col("loaded_at").cast("string"), F.substring(F.col("loaded_at").cast("string"), 1, 10)
     return (
-        instants.normalise(events, "finding_events", "occurred_at", F.col("repo_key"), F.col("recorded_at"), F.substring("recorded_at", 1, 10))
-        .unionByName(instants.normalise(findings, "findings", "last_updated", F.col("repo_key"), loaded, day))
-        .unionByName(instants.normalise(repos, "repos", "audit_date", F.col("tree"), loaded, day))
-    )
+        instants.normalise(events, "finding_events", "occurred_at", F.col("repo_key"))
+        .unionByName(instants.normalise(findings, "findings", "last_updated", F.col("repo_key")))
+        .unionByName(instants.normalise(repos, "repos", "audit_date", F.col("tree")))
+    )
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

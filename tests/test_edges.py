@@ -152,6 +152,37 @@ def test_viterbi_follows_neighbours_without_conventions(spark):
     assert instants.choose_readings(read.where("false"), F.col("source"), [F.col("row_no")], ["row_no"]).count() == 0
 
 
+@pytest.mark.parametrize(("block_rows", "cut"), [(3, 7), (1, 4), (1000, 11), (4, None)])
+def test_cut_chains_cost_the_same(spark, block_rows, cut):
+    # the cheapest path through a chain in blocks, with runs of undecided rows, costs what it costs in one piece
+    pick = random.Random(block_rows)
+    data, n = [], 160
+    for chain in ("s", "t", None):
+        for i in range(n):
+            width = 1 if pick.random() < (0.3 if i < 80 else 0.02) else pick.randrange(2, 5)
+            data.append((i, chain, [(10 * pick.randrange(1, 3) + (j > 0), (i + pick.randrange(-9, 9)) * 86_400_000 + j) for j in range(width)]))
+    df = spark.createDataFrame(data, "row_no bigint, source string, readings array<struct<code:int,ms:bigint>>").repartition(5)
+    readings = {(c, i): r for i, c, r in data}
+
+    def cost(block, size):
+        out = instants.choose_readings(df, F.col("source"), [F.col("row_no")], ["row_no", "source"], undeclared=0.5, block=block, block_rows=size).collect()
+        assert len(out) == len(data)
+        total = 0.0
+        for chain in ("s", "t", None):
+            path = [next((c, ms) for c, ms in readings[chain, r.row_no] if ms == r.epoch_ms) for r in sorted((r for r in out if r.source == chain), key=lambda r: r.row_no)]
+            total += sum(0.5 * (c % 10 != 0) for c, _ in path) + sum(instants._move(a, b) for a, b in zip(path, path[1:]))
+        return total
+
+    assert cost(F.floor(F.col("row_no") / cut) if cut else None, block_rows) == cost(None, 10_000)
+
+
+def test_normalise_a_hot_source(spark):
+    data = [(i, "hot" if i % 4 else f"s{i}", f"0{1 + i % 9}.0{1 + i % 8}.2024 10:00" if i % 5 else "2024-01-01T00:00:00Z", None) for i in range(400)]
+    df = spark.createDataFrame(data, "row_no bigint, source string, written string, site_tz string")
+    whole = rows(instants.normalise(df, "t", "written", F.col("source")), "row_no", "epoch_ms")
+    assert len(whole) == 400 and rows(instants.normalise(df, "t", "written", F.col("source"), block_rows=20), "row_no", "epoch_ms") == whole
+
+
 LATE = "row_no bigint, event_id string, repo_key string, recorded_at string, occurred_at string, site_tz string, resolution string, week_ms string"
 
 
