@@ -1,19 +1,19 @@
 """JSON records whose fields and types change from file to file.
 
-Every file gets a fingerprint of its schema; consecutive files of a producer and dataset are compared, which gives
-migration steps (rename, add, remove, retype). Chains of renames lead each file's fields to one name per field, casts
-and defaults bring their values into one table.
+A registry keeps one row per file: its fields with their types and a fingerprint of them. Consecutive files of a
+producer and dataset with the same fingerprint need no further look; for the others the registry keeps the steps
+(rename, add, remove, retype) between them, and only for fields new beside fields gone the values of the two files are
+read again, as hashes. Chains of renames lead each file's fields to one name per field, casts and defaults bring their
+values into one table.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarryline.workspace import materialize, workspace
+from quarryline.workspace import children, materialize, workspace
 
 #: Fields that identify a record, by dataset; fixed values.
 RECORD_KEYS = {"repos": ["repo_key"], "findings": ["repo_key", "finding_id"], "meta": ["key"]}
@@ -32,6 +32,8 @@ ALIASES = {
     "findings": {"controlRefs": "control_refs", "controls": "control_refs", "framework_controls": "control_refs", "cvssScore": "cvss_score", "score": "cvss_score", "cwe_list": "cwes", "weaknesses": "cwes", "status": "resolution"},
     "meta": {"val": "value", "meta_value": "value", "content": "value"},
 }
+#: Values of fields that a record doesn't give; fixed values. Every other field is NULL then.
+DEFAULTS = {"repos": {"is_branch_audit": 0}, "findings": {"resolution": "open"}, "meta": {}}
 #: Codes of report kinds, in the order in which the projection states them; fixed values.
 KIND_CODES = {"1": "code-audit", "2": "cloud-config", "3": "container-audit"}
 #: Names under which an object holds a value that is wrapped in it; fixed values.
@@ -55,127 +57,196 @@ def json_type(value: Column) -> Column:
 
 
 def parse_records(raw: DataFrame) -> DataFrame:
-    """producer, dataset, file_no, file_name, record (JSON key or NULL), fields (map of name to variant).
+    """producer, dataset, file_no, file_name, record (JSON key or NULL), fields (map of name to variant, without the key).
 
-    Lines that aren't valid JSON, aren't objects, or are NULL are skipped. Unknown datasets have no record key.
+    Lines that aren't valid JSON, aren't objects, or are NULL keep their file and have NULL fields. Unknown datasets
+    have no record key.
     """
-    doc = raw.select(*LINE, "file_no", "file_name", F.try_parse_json("body").alias("doc")).where(F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT"))
-    fields = doc.select(*LINE, "file_no", "file_name", F.try_variant_get("doc", "$", "map<string, variant>").alias("fields"))
+    doc = raw.select(*LINE, "file_no", "file_name", F.try_parse_json("body").alias("doc"))
+    fields = doc.select(*LINE, "file_no", "file_name", F.when(F.schema_of_variant("doc").startswith("OBJECT"), F.try_variant_get("doc", "$", "map<string, variant>")).alias("fields"))
     record, own = F.lit(None).cast("string"), F.array().cast("array<string>")
     for name, keys in RECORD_KEYS.items():
-        key = F.to_json(F.array(*[F.try_variant_get(F.col("fields")[k], "$", "string") for k in keys]))
+        parts = [F.try_variant_get(F.col("fields")[k], "$", "string") for k in keys]
         whole = F.lit(True)
-        for k in keys:
-            whole = whole & F.try_variant_get(F.col("fields")[k], "$", "string").isNotNull()
-        record = F.when((F.col("dataset") == name) & whole, key).otherwise(record)
+        for part in parts:
+            whole = whole & part.isNotNull()
+        record = F.when((F.col("dataset") == name) & whole, F.to_json(F.array(*parts))).otherwise(record)
         own = F.when(F.col("dataset") == name, F.array(*map(F.lit, keys))).otherwise(own)
     return fields.select(*LINE, "file_no", "file_name", record.alias("record"), F.map_filter("fields", lambda k, v: ~F.array_contains(own, k)).alias("fields"))
 
 
+_FILES = "producer string, dataset string, file_no int, file_name string, fields map<string,string>, fingerprint string"
+_STEPS = "file_name string, before string, new_field string, old_field string, new_types string, old_types string, kind string"
+
+
+class SchemaRegistry:
+    """Fingerprints of files and the steps between consecutive ones, kept in a folder; files known there aren't read again.
+
+    ``files/run=N`` and ``steps/run=N`` hold what a run added, ``commits/run=N`` is written last. A file that comes
+    late between two known ones gives new steps for itself and the one after it; steps are filed under both files, so
+    the ones between files that are no longer neighbours don't count any more.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def runs(self) -> list[str]:
+        return children(self.spark, f"{self.path}/commits")
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        names = self.runs()
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{part}/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
+
+    def files(self) -> DataFrame:
+        return self._read("files", _FILES)
+
+    def chain(self, files: DataFrame | None = None) -> DataFrame:
+        """files with the file before, its fingerprint and fields, and the place in the line of files."""
+        order = W.partitionBy(*LINE).orderBy("file_no", "file_name")
+        before = {c: F.lag(x).over(order) for c, x in (("before", "file_name"), ("old_fields", "fields"), ("old_fingerprint", "fingerprint"))}
+        return (self.files() if files is None else files).withColumns({**before, "seq": F.row_number().over(order)})
+
+    def steps(self) -> DataFrame:
+        """Steps between files that are neighbours now; kind is renamed, added, removed, or kept for a field that changed its types only."""
+        return self._read("steps", _STEPS).join(self.chain().select("file_name", "before"), ["file_name", "before"], "left_semi").distinct()
+
+    def observe(self, raw: DataFrame) -> None:
+        """Add the files of raw that aren't known; raw must hold those beside them in their lines, too."""
+        name = f"run={len(self.runs()):06}"
+        known, recorded = self.files(), self._read("steps", _STEPS).select("file_name", "before").distinct()
+        fresh = raw.join(known.select("file_name"), "file_name", "left_anti") if self.runs() else raw
+        typed = F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("field"), json_type(e["value"]).alias("type")))
+        cells = parse_records(fresh).select(*LINE, "file_no", "file_name", F.explode_outer(F.filter(typed, lambda e: e["type"] != "null")).alias("e")).select(*LINE, "file_no", "file_name", "e.*")
+        fields = cells.distinct().groupBy(*LINE, "file_no", "file_name", "field").agg(F.array_join(F.array_sort(F.collect_set("type")), "|").alias("types"))
+        entries = F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "types"))))
+        whole = fields.groupBy(*LINE, "file_no", "file_name").agg(entries.alias("e"))
+        text = F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["field"], x["types"])), ",")
+        added = materialize(whole.select(*LINE, "file_no", "file_name", F.map_from_entries("e").alias("fields"), F.sha2(text, 256).alias("fingerprint")), f"{self.path}/files/{name}")
+        pairs = self.chain(known.unionByName(added)).where("before is not null and fingerprint <> old_fingerprint").join(recorded, ["file_name", "before"], "left_anti")
+        pairs = materialize(pairs.select("file_name", "before", "fields", "old_fields", F.array_except(F.map_keys("fields"), F.map_keys("old_fields")).alias("fresh"), F.array_except(F.map_keys("old_fields"), F.map_keys("fields")).alias("gone")), f"{self.path}/pairs/{name}")
+        renamed = materialize(_renames(raw, pairs.where("size(fresh) > 0 and size(gone) > 0")), f"{self.path}/renames/{name}")
+        _steps(pairs, renamed).write.mode("overwrite").parquet(f"{self.path}/steps/{name}")
+        self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
+
+
+def _renames(raw: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(file_name, new_field, old_field): fields with the same values for the same records of both files, at least one.
+
+    Per field a mark of its set of (record, value) is made by partial aggregates: their number and two 64-bit hashes
+    combined over the set. Only fields new or gone are taken from records, of these two files, and values are hashed first.
+    """
+    side = lambda file, wanted, new: pairs.select(F.col(file).alias("at"), F.col("file_name").alias("pair"), F.col(wanted).alias("wanted"), F.lit(new).alias("new"))
+    roles = side("file_name", "fresh", True).unionByName(side("before", "gone", False))
+    rows = parse_records(raw.join(roles.select(F.col("at").alias("file_name")).distinct(), "file_name", "left_semi")).where(F.col("record").isNotNull())
+    asked = rows.join(roles, F.col("file_name") == F.col("at")).select("pair", "new", "record", F.filter(F.map_entries("fields"), lambda e: F.array_contains(F.col("wanted"), e["key"]) & (json_kind(e["value"]) != "null")).alias("e"))
+    hashed = F.transform("e", lambda e: F.struct(e["key"].alias("field"), F.xxhash64(F.to_json(e["value"])).alias("one"), F.xxhash64(F.lit("again"), F.to_json(e["value"])).alias("two")))
+    # a record of two files: few lines, with at most as many entries as it has fields
+    met = asked.select("pair", "new", "record", hashed.alias("e")).groupBy("pair", "record").agg(
+        *[F.array_distinct(F.flatten(F.collect_list(F.when(F.col("new") == new, F.col("e"))))).alias(n) for n, new in (("now", True), ("then", False))],
+        F.bool_or("new").alias("here"), F.bool_or(~F.col("new")).alias("there"),
+    ).where("here and there")
+
+    def marks(of: str, name: str) -> DataFrame:
+        cells = met.select("pair", "record", F.explode(of).alias("e"))
+        first, second = F.xxhash64("record", "e.one", "e.two"), F.xxhash64("e.two", "e.one", "record")
+        return cells.groupBy("pair", F.col("e.field").alias(name)).agg(F.concat_ws(",", F.count(F.lit(1)), F.bit_xor(first), F.sum(second.cast("decimal(38,0)")).cast("string")).alias("mark"))
+
+    return marks("now", "new_field").join(marks("then", "old_field"), ["pair", "mark"]).select(F.col("pair").alias("file_name"), "new_field", "old_field")
+
+
+def _steps(pairs: DataFrame, renamed: DataFrame) -> DataFrame:
+    """_STEPS of pairs of files, from their fields and the renames among them."""
+    own = renamed.groupBy("file_name").agg(F.collect_set(F.struct("new_field", "old_field")).alias("r"))  # at most fields times fields of one file
+    row = pairs.join(own, "file_name", "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<new_field:string,old_field:string>>")))
+    none = F.lit(None).cast("string")
+    step = lambda new, old, kind: F.struct(new.alias("new_field"), old.alias("old_field"), F.col("fields")[new].alias("new_types"), F.col("old_fields")[old].alias("old_types"), F.lit(kind).alias("kind"))
+    taken = lambda part: F.transform("r", lambda x: x[part])
+    retyped = F.filter(F.array_intersect(F.map_keys("fields"), F.map_keys("old_fields")), lambda k: F.col("fields")[k] != F.col("old_fields")[k])
+    listed = F.concat(
+        F.transform("r", lambda x: step(x["new_field"], x["old_field"], "renamed")), F.transform(retyped, lambda k: step(k, k, "kept")),
+        F.transform(F.array_except("fresh", taken("new_field")), lambda k: step(k, none, "added")), F.transform(F.array_except("gone", taken("old_field")), lambda k: step(none, k, "removed")),
+    )
+    return row.select("file_name", "before", F.explode(listed).alias("s")).select("file_name", "before", "s.*")
+
+
 class Drift:
-    """The schema history of raw records; intermediate tables lie in a folder that all executors share."""
+    """Changes and consistent tables of raw records, by a registry in ``path``; without one, by a registry of its own."""
 
-    def __init__(self, raw: DataFrame):
-        self.spark = raw.sparkSession
+    def __init__(self, raw: DataFrame, path: str | None = None):
+        self.spark, self.raw = raw.sparkSession, raw
         self.base = workspace(self.spark)
-        parsed = parse_records(raw)
-        self.files = raw.select(*LINE, "file_no", "file_name").distinct()
-        cells = parsed.select(*LINE, "file_no", "file_name", "record", F.explode("fields").alias("field", "value")).where(F.col("value").isNotNull() & (json_kind(F.col("value")) != "null"))
-        cells = cells.select(*LINE, "file_no", "file_name", "record", "field", json_type(F.col("value")).alias("type"), F.to_json("value").alias("value")).distinct()
-        self.cells = materialize(cells, f"{self.base}/cells")
-        self.records = materialize(parsed.where(F.col("record").isNotNull()).select("file_name", "record").distinct(), f"{self.base}/records")
-        order = W.partitionBy(*LINE).orderBy("file_no", "file_name")
-        self.chain = materialize(self.files.select("*", F.lag("file_name").over(order).alias("before"), F.row_number().over(order).alias("seq")), f"{self.base}/chain")
-        self.schemas = materialize(self.cells.groupBy("file_name", "field").agg(F.array_join(F.array_sort(F.collect_set("type")), "|").alias("types")), f"{self.base}/schemas")
+        self.registry = SchemaRegistry(self.spark, path or f"{self.base}/registry")
+        self.registry.observe(raw)
 
     def fingerprints(self) -> DataFrame:
-        """file_name, producer, dataset, seq, version (grows when the fingerprint changes), fingerprint."""
-        text = self.schemas.groupBy("file_name").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "field", "types"))), ","), 256).alias("fingerprint"))
-        every = self.chain.join(text, "file_name", "left").select(*LINE, "file_name", "seq", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
-        order = W.partitionBy(*LINE).orderBy("seq")
-        changed = every.withColumn("new", F.coalesce((F.lag("fingerprint").over(order) != F.col("fingerprint")).cast("int"), F.lit(1)))
-        return changed.select(*LINE, "file_name", "seq", F.sum("new").over(order).cast("int").alias("version"), "fingerprint")
-
-    def _steps(self) -> DataFrame:
-        """file_name, before, new_field, old_field (both if kept or renamed), new_types, old_types, kind."""
-        now = self.chain.where(F.col("before").isNotNull()).select("file_name", "before")
-        mine = now.join(self.schemas, "file_name").select("file_name", "before", "field", F.col("types").alias("new_types"))
-        theirs = now.join(self.schemas.withColumnRenamed("file_name", "before"), "before").select("file_name", "before", "field", F.col("types").alias("old_types"))
-        both = materialize(mine.join(theirs, ["file_name", "before", "field"], "full"), f"{self.base}/both")
-        new, gone = both.where(F.col("old_types").isNull()), both.where(F.col("new_types").isNull())
-        one = self._marks(new, "file_name", "before").select("file_name", F.col("field").alias("new_field"), "mark")
-        other = self._marks(gone, "before", "file_name").select("file_name", F.col("field").alias("old_field"), "mark")
-        renamed = materialize(one.join(other, ["file_name", "mark"]).select("file_name", "new_field", "old_field").distinct(), f"{self.base}/renamed")
-        pairs = renamed.join(new.select("file_name", F.col("field").alias("new_field"), "new_types"), ["file_name", "new_field"]).join(gone.select("file_name", F.col("field").alias("old_field"), "old_types"), ["file_name", "old_field"])
-        kept = both.where(F.col("new_types").isNotNull() & F.col("old_types").isNotNull()).select("file_name", F.col("field").alias("new_field"), F.col("field").alias("old_field"), "new_types", "old_types", F.lit("kept").alias("kind"))
-        added = new.join(renamed.select("file_name", F.col("new_field").alias("field")), ["file_name", "field"], "left_anti").select("file_name", F.col("field").alias("new_field"), F.lit(None).cast("string").alias("old_field"), "new_types", "old_types", F.lit("added").alias("kind"))
-        removed = gone.join(renamed.select("file_name", F.col("old_field").alias("field")), ["file_name", "field"], "left_anti").select("file_name", F.lit(None).cast("string").alias("new_field"), F.col("field").alias("old_field"), "new_types", "old_types", F.lit("removed").alias("kind"))
-        out = pairs.select("file_name", "new_field", "old_field", "new_types", "old_types", F.lit("renamed").alias("kind"))
-        return out.unionByName(kept).unionByName(added).unionByName(removed)
-
-    def _marks(self, fields: DataFrame, holds: str, other: str) -> DataFrame:
-        """Per field a mark of its set of (record, value) over the records that are in both files.
-
-        The mark holds the number of pairs and two independent 64-bit hashes combined over the set, so it is made by
-        partial aggregates and no list of values is gathered.
-        """
-        cells = self.cells.select(F.col("file_name").alias(holds), "field", "record", "value").where(F.col("record").isNotNull())
-        wanted = fields.select("file_name", "before", "field").join(cells, [holds, "field"])
-        shared = wanted.join(self.records.withColumnRenamed("file_name", other), [other, "record"], "left_semi").select("file_name", "field", "record", "value").distinct()
-        first, second = F.xxhash64("record", "value"), F.xxhash64(F.lit("again"), "value", "record")
-        return shared.groupBy("file_name", "field").agg(F.concat_ws(",", F.count(F.lit(1)), F.bit_xor(first), F.sum(second.cast("decimal(38,0)")).cast("string")).alias("mark"))
-
-    def steps(self) -> DataFrame:
-        if not hasattr(self, "_done"):
-            self._done = materialize(self._steps(), f"{self.base}/steps")
-        return self._done
+        """producer, dataset, file_name, seq, version (grows when the fingerprint changes), fingerprint."""
+        changed = F.coalesce((F.col("old_fingerprint") != F.col("fingerprint")).cast("int"), F.lit(1))
+        return self.registry.chain().select(*LINE, "file_name", "seq", F.sum(changed).over(W.partitionBy(*LINE).orderBy("seq")).cast("int").alias("version"), "fingerprint")
 
     def changes(self) -> DataFrame:
         """(file_name, field_name, change_kind) of every change; a renamed field that changed its types gives two."""
-        steps = self.steps()
-        named = steps.where("kind <> 'kept'").select("file_name", F.coalesce("new_field", "old_field").alias("field_name"), F.col("kind").alias("change_kind"))
-        retyped = steps.where("kind in ('kept', 'renamed') and new_types <> old_types").select("file_name", F.col("new_field").alias("field_name"), F.lit("retyped").alias("change_kind"))
-        return named.unionByName(retyped).distinct()
+        steps = self.registry.steps()
+        named = F.when(F.col("kind") != "kept", F.struct(F.coalesce("new_field", "old_field").alias("field_name"), F.col("kind").alias("change_kind")))
+        retyped = F.when(F.col("kind").isin("kept", "renamed") & (F.col("new_types") != F.col("old_types")), F.struct(F.col("new_field").alias("field_name"), F.lit("retyped").alias("change_kind")))
+        return steps.select("file_name", F.explode(F.array_compact(F.array(named, retyped))).alias("c")).select("file_name", "c.*").distinct()
 
     def names(self) -> DataFrame:
         """(file_name, field, root): the name that the field had when its chain of renames began.
 
         A run is a field over consecutive files without a rename; runs follow their predecessors by doubling, so the
-        number of rounds is the logarithm of the longest chain of renames.
+        number of rounds is the logarithm of the longest chain of renames. Only files' schemas take part.
         """
-        steps = self.steps().where("new_field is not null").groupBy("file_name", F.col("new_field").alias("field")).agg(F.min("old_field").alias("old_field"), F.min("kind").alias("kind"))
-        placed = self.schemas.select("file_name", "field").join(self.chain, "file_name").join(steps, ["file_name", "field"], "left")
+        if hasattr(self, "_names"):
+            return self._names
+        fields = self.registry.chain().select(*LINE, "file_name", "before", "seq", F.explode(F.map_keys("fields")).alias("field"))
+        renamed = self.registry.steps().where("kind = 'renamed'").groupBy("file_name", F.col("new_field").alias("field")).agg(F.min("old_field").alias("old_field"))
         order = W.partitionBy(*LINE, "field").orderBy("seq")
-        begins = placed.withColumn("starts", F.when(F.col("kind") == "kept", 0).otherwise(1))
-        runs = begins.withColumn("run", F.sum("starts").over(order))
-        runs = materialize(runs.select(*LINE, "file_name", "before", "field", "run", "kind", "old_field", "starts"), f"{self.base}/runs")
-        head = runs.where("starts = 1").select(*LINE, "field", "run", F.when(F.col("kind") == "renamed", F.col("before")).alias("from_file"), F.when(F.col("kind") == "renamed", F.col("old_field")).alias("from_field"))
+        begins = fields.join(renamed, ["file_name", "field"], "left").withColumn("starts", F.coalesce((F.lag("seq").over(order) != F.col("seq") - 1).cast("int"), F.lit(1)))
+        runs = materialize(begins.withColumn("run", F.sum("starts").over(order)).select(*LINE, "file_name", "before", "field", "run", "old_field", "starts"), f"{self.base}/runs")
+        head = runs.where("starts = 1").select(*LINE, "field", "run", F.when(F.col("old_field").isNotNull(), F.col("before")).alias("from_file"), F.col("old_field").alias("from_field"))
         origin = runs.select(F.col("file_name").alias("from_file"), F.col("field").alias("from_field"), F.col("run").alias("up_run"))
         node = lambda f, r: F.concat_ws("\u0001", *LINE, f, r)
         linked = head.join(origin, ["from_file", "from_field"], "left").select(node("field", "run").alias("node"), "field", F.when(F.col("up_run").isNotNull(), node("from_field", "up_run")).alias("up"), F.coalesce("from_field", "field").alias("root"))
         linked, step = materialize(linked, f"{self.base}/names=0"), 0
-        while linked.where("up is not null").limit(1).count():
+        while not linked.where("up is not null").isEmpty():
             step += 1
             higher = linked.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("higher"))
             linked = materialize(linked.join(higher, "up", "left").select("node", "field", F.col("next").alias("up"), F.coalesce("higher", "root").alias("root")), f"{self.base}/names={step}")
-        return runs.select("file_name", "field", node("field", "run").alias("node")).join(linked.select("node", "root"), "node").select("file_name", "field", "root")
+        self._names = materialize(runs.select("file_name", "field", node("field", "run").alias("node")).join(linked.select("node", "root"), "node").select("file_name", "field", "root"), f"{self.base}/named")
+        return self._names
 
-    def _named(self, dataset: str) -> DataFrame:
-        """Every value of a dataset's records with its field's name in the table, and whether another value of the file counts before it.
+    def migrations(self, dataset: str) -> DataFrame:
+        """(file_name, version, field_name, source_field, rule): how each file's fields become those of the consistent table.
 
-        The name is the field's first one or, where that is known under ALIASES, the name given there; values under the
-        name itself count before those under others.
+        rule: `same`, `renamed` (by the chain of renames), `alias` (by ALIASES), `default` for a field of the table
+        that the file doesn't have, `extra` for one that the table doesn't have.
         """
-        if not hasattr(self, "_roots"):
-            self._roots = self.names()  # made once, as its tables are written under fixed names
-        cells = self.cells.where((F.col("dataset") == dataset) & F.col("record").isNotNull())
+        versions = self.fingerprints().where(F.col("dataset") == dataset).select("file_name", "version")
+        named = self.names().join(versions, "file_name").select("file_name", "version", self._target(dataset, F.col("root")).alias("field_name"), F.col("field").alias("source_field"), "root")
+        rule = F.when(~F.col("field_name").isin(*TARGETS[dataset]), "extra").when(F.col("source_field") == F.col("field_name"), "same").when(F.col("root") == F.col("field_name"), "renamed").otherwise("alias")
+        missing = versions.select("file_name", "version", F.explode(F.array(*map(F.lit, TARGETS[dataset]))).alias("field_name")).join(named.select("file_name", "field_name"), ["file_name", "field_name"], "left_anti")
+        return named.select("file_name", "version", "field_name", "source_field", rule.alias("rule")).unionByName(missing.select("file_name", "version", "field_name", F.lit(None).cast("string").alias("source_field"), F.lit("default").alias("rule")))
+
+    @staticmethod
+    def _target(dataset: str, root: Column) -> Column:
         aliases = F.create_map(*[F.lit(x) for pair in ALIASES[dataset].items() for x in pair])
-        known = F.coalesce(F.try_element_at(aliases, F.col("root")), F.col("root"))
-        named = cells.join(self._roots, ["file_name", "field"]).select(*LINE, "file_no", "file_name", "record", known.alias("name"), F.struct(F.col("root") != known, "value").alias("rank"), "type", "value")
-        least = F.min("rank").over(W.partitionBy("file_name", "record", "name"))
-        return named.select(*LINE, "file_no", "file_name", "record", F.col("name").alias("root"), "type", "value", (F.col("rank") != least).alias("superseded"))
+        return F.coalesce(F.try_element_at(aliases, root), root)
+
+    def _records(self, dataset: str) -> DataFrame:
+        """Every record of a dataset and file with its entries (name in the table, whether it's an alias, value), sorted, without repetition.
 
-    def unified(self, dataset: str) -> DataFrame:
+        Of the entries of one name the first counts: values under the name itself before those under others, then the
+        smallest. The fields' names come from their file's row of the registry, so values are routed without moving them apart.
+        """
+        route = self.names().groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("field", "root"))).alias("route"))
+        rows = parse_records(self.raw.where(F.col("dataset") == dataset)).where(F.col("record").isNotNull()).join(route, "file_name", "left")
+        root = lambda e: F.col("route")[e["key"]]
+        entries = F.transform(F.filter(F.map_entries("fields"), lambda e: json_kind(e["value"]) != "null"), lambda e: F.struct(self._target(dataset, root(e)).alias("name"), (root(e) != self._target(dataset, root(e))).alias("alias"), F.to_json(e["value"]).alias("value")))
+        # lines of one record in one file, with at most as many entries as it has fields
+        one = rows.select(*LINE, "file_no", "file_name", "record", entries.alias("e")).groupBy(*LINE, "file_no", "file_name", "record").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("e")))).alias("e"))
+        return one.withColumn("first", F.filter("e", lambda x, i: (i == 0) | (F.get("e", i - 1)["name"] != x["name"])))
+
+    def unified(self, dataset: str, defaults: dict | None = None) -> DataFrame:
         """One row per record and file of a dataset, all fields under their first names or those that ALIASES gives.
 
         Known fields are cast to one type (a value that can't be is NULL). Report kinds are names, whether written as
@@ -183,14 +254,14 @@ class Drift:
         whether written as such, joined by commas, as ``{framework, id}`` or as ``{framework: id}``, in a list, alone
         or as JSON text. A value of meta is unwrapped from ``{v}``, and JSON in it is written one way. Other lists may
         come as JSON text, as a single value or as objects with the value under ``v``, ``value``, ``id`` or ``ref``.
-        Missing fields are NULL, other fields stay in the map ``extras``. Of several values for one field in a file
-        the smallest counts; casts() lists the others.
+        Missing and NULL fields take their value in defaults (DEFAULTS unless given) or are NULL, other fields stay in
+        the map ``extras``. Of several values for one field in a file the first counts, those of other names last;
+        casts() lists the others.
         """
-        targets = TARGETS[dataset]
-        one = self._named(dataset).where("not superseded").groupBy(*LINE, "file_no", "file_name", "record", "root").agg(F.min("value").alias("value"))
-        # fields of one record: at most as many entries as the record has fields
-        rows = one.groupBy(*LINE, "file_no", "file_name", "record").agg(F.map_from_entries(F.collect_list(F.struct("root", "value"))).alias("all"))
-        known = [self._cast(F.col("all")[name], name, kind).alias(name) for name, kind in targets.items()]
+        targets, defaults = TARGETS[dataset], DEFAULTS[dataset] if defaults is None else defaults
+        rows = self._records(dataset).withColumn("all", F.map_from_entries(F.transform("first", lambda x: F.struct(x["name"], x["value"]))))
+        given = lambda name: F.col("all")[name]
+        known = [(F.when(given(name).isNotNull(), self._cast(given(name), name, kind)).otherwise(F.lit(defaults[name])) if name in defaults else self._cast(given(name), name, kind)).alias(name) for name, kind in targets.items()]
         keys = [F.get_json_object("record", f"$[{i}]").alias(k) for i, k in enumerate(RECORD_KEYS[dataset])]
         return rows.select("producer", "file_no", "file_name", *keys, *known, F.map_filter("all", lambda k, v: ~k.isin(*targets)).alias("extras"))
 
@@ -200,18 +271,21 @@ class Drift:
         outcome: `cast` (result is the value in the table), `refused` (it is NULL there), `superseded` (another value
         of the same record and file stands there).
         """
-        named = materialize(self._named(dataset), f"{self.base}/casts-{uuid.uuid4().hex}")
-        plain = F.coalesce(F.when(json_kind(F.try_parse_json("value")) == "string", F.try_variant_get(F.try_parse_json("value"), "$", "string")), F.col("value"))
+        targets = TARGETS[dataset]
+        cells = self._records(dataset).select("dataset", "file_name", "record", "first", F.explode(F.filter("e", lambda x: x["name"].isin(*targets))).alias("x"))
+        value = F.try_parse_json("x.value")
+        cells = cells.select("dataset", "file_name", "record", F.col("x.name").alias("field_name"), json_type(value).alias("type"), F.col("x.value").alias("value"), (~F.array_contains("first", F.col("x"))).alias("superseded"))
+        plain = F.coalesce(F.when(F.col("type") == "string", F.try_variant_get(F.try_parse_json("value"), "$", "string")), F.col("value"))
         listed = None
-        for name, kind in TARGETS[dataset].items():
+        for name, kind in targets.items():
             got = self._cast(F.col("value"), name, kind)
             own = {"string": ["string"], "array<string>": ["array[string]", "array[]"]}.get(kind, ["number"])
-            part = named.where(F.col("root") == name).withColumn("result", F.to_json(got) if kind == "array<string>" else got.cast("string"))
+            part = cells.where(F.col("field_name") == name).withColumn("result", F.to_json(got) if kind == "array<string>" else got.cast("string"))
             equal = F.col("value").try_cast("double") == F.col("result").try_cast("double") if own == ["number"] else plain == F.col("result")
             outcome = F.when(F.col("superseded"), "superseded").when(F.col("result").isNull(), "refused").when(~(F.col("type").isin(*own) & F.coalesce(equal, F.lit(False))), "cast")
-            part = part.select("dataset", "file_name", "record", F.col("root").alias("field_name"), "type", "value", "result", outcome.alias("outcome"))
+            part = part.select("dataset", "file_name", "record", "field_name", "type", "value", "result", outcome.alias("outcome")).where("outcome is not null")
             listed = part if listed is None else listed.unionByName(part)
-        return listed.where("outcome is not null").distinct()
+        return listed.distinct()
 
     @staticmethod
     def _cast(text: Column, name: str, kind: str) -> Column:

@@ -41,6 +41,14 @@ def p2_casts(spark: SparkSession, d: str) -> DataFrame:
     return drift.casts("repos").unionByName(drift.casts("findings")).unionByName(drift.casts("meta"))
 
 
+def p2_migrations(spark: SparkSession, d: str) -> DataFrame:
+    drift, out = schema_drift.Drift(table(spark, d, "raw_records")), None
+    for dataset in schema_drift.TARGETS:
+        part = drift.migrations(dataset).select(F.lit(dataset).alias("dataset"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _unified(dataset: str):
     return lambda spark, d: schema_drift.Drift(table(spark, d, "raw_records")).unified(dataset)
 
@@ -106,7 +114,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p2_found": p2_found, "p2_versions": p2_versions,
-    "p2_casts": p2_casts, "p2_repos": _unified("repos"), "p2_findings": _unified("findings"), "p2_meta": _unified("meta"),
+    "p2_casts": p2_casts, "p2_migrations": p2_migrations, "p2_repos": _unified("repos"), "p2_findings": _unified("findings"), "p2_meta": _unified("meta"),
     "p3_found": p3_found, "p3_state": p3_state, "p4_found": p4_found, "p4_trees": p4_trees, "p4_descendants": p4_descendants, "p4_dropped_links": p4_dropped_links,
     "p5_found": p5_found, "p5_weekly": p5_weekly, "p6_found": p6_found,
 }

@@ -93,3 +93,30 @@ def test_broken_chains_of_renames(spark):
     assert [(r.value, r.extras) for r in own.unified("meta").orderBy("file_name").collect()] == [("x", {}), ("y", {}), ("own", {})]
     assert [(r.control_refs, r.extras) for r in own.unified("findings").orderBy("file_name").collect()] == [(["b:A-1"], {}), (None, {}), (["b:A-2"], {})]
     assert [(r.value, r.outcome) for r in own.casts("meta").where("file_name = 'm3'").collect()] == [('"w"', "superseded")]
+
+
+def test_registry_goes_on_where_it_stopped(spark, tmp_path):
+    bodies = [{"key": "a", "value": "x"}, {"key": "a", "val": "x"}, {"key": "a", "val": "y"}, {"key": "a", "val": 7, "note": "n"}, {"key": "a", "other": 7, "note": "n"}]
+    raw = spark.createDataFrame([("p", "meta", i, f"m{i}", json.dumps(b)) for i, b in enumerate(bodies)], RAW)
+    whole = schema_drift.Drift(raw)
+    listed = lambda d: sorted(tuple(r) for r in d.changes().collect())
+    assert listed(whole) == [("m1", "val", "renamed"), ("m3", "note", "added"), ("m3", "val", "retyped"), ("m4", "other", "renamed")]
+    path = str(tmp_path / "registry")
+    for wanted in ((0, 1, 4), (0, 1, 2, 4), (0, 1, 2, 3, 4)):  # files come late between known ones
+        part = schema_drift.Drift(raw.where(F.col("file_no").isin(*wanted)), path)
+    assert listed(part) == listed(whole)
+    known = schema_drift.SchemaRegistry(spark, path)
+    # a later run keeps only files that are new; the registry alone gives the changes
+    assert [spark.read.parquet(f"{path}/files/{n}").count() for n in known.runs()] == [3, 1, 1]
+    assert spark.read.parquet(f"{path}/pairs/run=000001").select("file_name").collect()[:] == [("m4",)] or spark.read.parquet(f"{path}/pairs/run=000001").count() <= 1
+    assert [r.version for r in part.fingerprints().orderBy("seq").collect()] == [1, 2, 2, 3, 4]
+    steps = {(r.file_name, r.source_field): (r.version, r.field_name, r.rule) for r in part.migrations("meta").collect()}
+    assert steps["m0", "value"] == (1, "value", "same") and steps["m2", "val"] == (2, "value", "renamed") and steps["m4", "other"] == (4, "value", "renamed") and steps["m3", "note"] == (3, "note", "extra")
+    assert [r.value for r in part.unified("meta").orderBy("file_no").collect()] == ["x", "x", "y", "7", "7"]
+
+
+def test_defaults(spark):
+    own = drift(spark, "repos", [{"repo_key": "a"}, {"repo_key": "b", "is_branch_audit": True}, {"repo_key": "c", "is_branch_audit": None}])
+    assert [r.is_branch_audit for r in own.unified("repos").orderBy("repo_key").collect()] == [0, 1, 0]
+    assert [r.is_branch_audit for r in own.unified("repos", {}).orderBy("repo_key").collect()] == [None, 1, None]
+    assert {(r.field_name, r.rule) for r in own.migrations("repos").collect()} >= {("is_branch_audit", "same"), ("tree", "default")}

@@ -238,7 +238,7 @@ def test_schema_drift(spark):
     df = spark.createDataFrame(raw, "producer string, dataset string, file_no int, file_name string, body string").withColumn("field", F.lit("x"))
     drift = schema_drift.Drift(df)
     assert rows(drift.changes(), "file_name", "field_name", "change_kind") == [("f3", "val", "renamed"), ("f3", "val", "retyped"), ("f4", "content", "renamed"), ("f4", "content", "retyped")]
-    assert rows(drift.unified("meta"), "file_name", "key", "value") == [("f1", "a", "1"), ("f1", "b", "2"), ("f3", "a", "1"), ("f3", "z", '["x"]'), ("f4", "a", "1")]
+    assert rows(drift.unified("meta"), "file_name", "key", "value") == [("f1", "a", "1"), ("f1", "b", "2"), ("f3", "a", "1"), ("f3", "z", '["x"]'), ("f4", "a", "1"), ("g1", "a", None)]
     assert schema_drift.Drift(df.where("false")).changes().count() == 0
 
 
