@@ -2,8 +2,9 @@
 
 Layout under one folder: ``data/batch=N`` holds row images, ``index/batch=N`` the newest state of every key after
 that batch (where its image lies, which change put it there, or that it is deleted), ``vectors/batch=N`` one bitmap
-per data file and bucket of 32,768 positions with the rows superseded in that batch. Reading drops the positions
-whose bit is set in any batch; data files are never rewritten.
+per data file and bucket of 32,768 positions with the rows superseded in that batch, ``commits/batch=N``, written
+last, that the batch is whole. Reading drops the positions whose bit is set in any batch; data files are never
+rewritten.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.workspace import children
+
 #: Spellings of the operations in the feed; fixed values.
 UPSERTS = ("insert", "i", "c", "create", "update", "u", "upsert", "r")
 DELETES = ("delete", "d", "tombstone", "remove")
@@ -20,11 +23,15 @@ BITS = 32_768  # of one bitmap of bitmap_construct_agg
 
 
 class ChangeTable:
-    """State of one table. key: its columns; position: columns that order the changes; both never NULL in a change."""
+    """State of one table. key: its columns; position: columns that order the changes; both never NULL in a change.
+
+    Opened on a folder that holds batches, it goes on after the last whole one; what a batch that stopped halfway left
+    behind isn't read, and the next batch writes over it.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: list[str], position: list[str], payload: list[str]):
         self.spark, self.path, self.key, self.position, self.payload = spark, path, key, position, payload
-        self.batches = 0
+        self.batches = len(children(spark, f"{path}/commits"))
 
     def apply(self, changes: DataFrame, op: str = "op") -> None:
         """Apply one batch, in whatever order it arrived.
@@ -58,6 +65,7 @@ class ChangeTable:
             .agg(F.expr(f"bitmap_construct_agg(pos % {BITS})").alias("bits"))
             .write.mode("overwrite").parquet(f"{self.path}/vectors/batch={n}")
         )
+        self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch={n}")
         self.batches += 1
 
     def _at(self, data: str) -> DataFrame:
@@ -73,7 +81,7 @@ class ChangeTable:
         return every.groupBy(*self.key).agg(F.max(entry).alias("e")).select(*self.key, "e.*")
 
     def read(self) -> DataFrame:
-        """The rows that exist now: key, position of the change that gave the content, payload."""
+        """The rows that exist now: key, position of the change that gave the content, payload. There must be a batch."""
         rows = reduce(DataFrame.unionByName, [self._at(f"{self.path}/data/batch={i}") for i in range(self.batches)])
         vectors = self.spark.read.parquet(*[f"{self.path}/vectors/batch={i}" for i in range(self.batches)])
         merged = vectors.groupBy("file", "bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))

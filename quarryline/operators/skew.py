@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: A key is heavy with more than 1/HEAVY_SHARE of the rows, so there are fewer than HEAVY_SHARE such keys at any size.
 HEAVY_SHARE = 200
 #: Below so many rows for a key one task copes, whatever its share.
-HEAVY_FLOOR = 500_000
+HEAVY_FLOOR = 50_000
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: int = HEAVY_SHARE, floor: int = HEAVY_FLOOR) -> DataFrame | None:

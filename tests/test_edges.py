@@ -61,6 +61,18 @@ def test_changefeed(spark, batches):
     assert rows(got, "k", "log_no", "log_pos", "v") == [("a", 1, 2, "new"), ("c", 2, 2, "again"), ("f", 3, 1, None)]
 
 
+def test_changefeed_after_a_stop(spark):
+    path = workspace(spark)
+    open_table = lambda: changefeed.ChangeTable(spark, path, ["k"], ["log_no", "log_pos"], ["v"])
+    changes = [(1, 1, 1, "I", "a", "1"), (2, 1, 2, "I", "b", "1"), (3, 2, 1, "U", "a", "2"), (4, 2, 2, "D", "b", None), (5, 1, 3, "U", "b", "late")]
+    df = feed(spark, changes)
+    open_table().apply(df.where("feed_pos <= 2"))
+    df.write.parquet(f"{path}/data/batch=1")  # a batch that stopped before its commit
+    assert rows(open_table().read(), "k", "v") == [("a", "1"), ("b", "1")]
+    open_table().apply(df.where("feed_pos > 2"))
+    assert rows(open_table().read(), "k", "v") == [("a", "2")]
+
+
 def test_changefeed_empty(spark):
     assert changefeed.apply_feed(feed(spark, []), workspace(spark), ["k"], ["log_no", "log_pos"], ["v"], "feed_pos").count() == 0
 
