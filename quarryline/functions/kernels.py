@@ -59,7 +59,7 @@ def package_lock(text: str) -> Parsed:
 def requirements(text: str) -> Parsed:
     deps = []
     for line in text.splitlines():
-        m = re.match(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*(?:(?:===?|~=|>=)\s*([^\s,;#]+))?", line)
+        m = re.match(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*(?:(?:===?|~=|>=|<=|!=|<|>)\s*([^\s,;#]+))?", line)
         if m and not line.lstrip().startswith(("-", "#")):
             deps.append((pep503(m[1]), m[2], False))
     return None, deps
@@ -190,6 +190,12 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
 
+@F.pandas_udf(T.StringType())
+def canonical_map(values: pd.Series) -> pd.Series:
+    """Canonical JSON of maps of text."""
+    return values.map(lambda v: None if v is None else canonical_json(dict(v)))
+
+
 def row_sha(row: dict) -> str:
     return hashlib.sha256(canonical_json({k: v for k, v in row.items() if k != "row_sha"}).encode()).hexdigest()
 
@@ -197,7 +203,7 @@ def row_sha(row: dict) -> str:
 def title_similarity(a: str, b: str) -> float:
     """The larger of the matching blocks' ratio and the words' overlap."""
     a, b = a.lower(), b.lower()
-    one, two = set(re.findall(r"[a-z0-9]+", a)), set(re.findall(r"[a-z0-9]+", b))
+    one, two = ({w for w in re.findall(r"[a-z0-9]+", t) if len(w) > 2} for t in (a, b))
     return max(difflib.SequenceMatcher(None, a, b).ratio(), len(one & two) / len(one | two) if one | two else 0.0)
 
 
@@ -206,12 +212,30 @@ def title_sim(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([title_similarity(x or "", y or "") for x, y in zip(a, b)])
 
 
-#: Shapes of secrets in text, by class; the first groups are kept to five characters. Fixed values.
-SECRETS = {
-    "aws-key": r"\b(AKIA[0-9A-Z]{16})\b", "github-token": r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b", "gitlab-token": r"\b(glpat-[A-Za-z0-9_-]{20,})\b", "slack-token": r"\b(xox[abprs]-[A-Za-z0-9-]{10,})\b",
-    "jwt": r"\b(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})", "private-key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)",
-    "assignment": r"(?i)\b(?:token|secret|password|api[_-]?key)\b\s*[:=]\s*[\"']([A-Za-z0-9/+_=-]{16,})[\"']", "card": r"\b((?:\d[ -]?){13,18}\d)\b",
-}
+#: Shapes of secrets in text, in the order they're looked for: class, pattern, whether only the first group is the secret; fixed values.
+SECRETS = [
+    ("aws-access-key", r"AKIA[0-9A-Z]{12,}", False),
+    ("github-token", r"gh[oprsu]_[A-Za-z0-9]{30,}", False),
+    ("github-pat", r"github_pat_[A-Za-z0-9_]{20,}", False),
+    ("gitlab-token", r"glpat-[A-Za-z0-9_-]{20,}", False),
+    ("slack-token", r"xox[abps]-[A-Za-z0-9-]{10,}", False),
+    ("llm-api-key", r"sk-[A-Za-z0-9]{20,}", False),
+    ("google-api-key", r"AIza[A-Za-z0-9_-]{35}", False),
+    ("bearer-token", r"Bearer\s+([A-Za-z0-9._-]{20,})", True),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,}){2}", False),
+    *[(f"{name}-assignment", rf"(?i){word}\s*[:=]\s*\\?['\"]([^'\"\\]{{8,}})\\?['\"]", True) for name, word in (("password", "passw(?:or)?d"), ("secret", "secret"), ("token", "token"), ("apikey", "api[_-]?key"))],
+    ("url-credentials", r"://[A-Za-z0-9._%+-]+:([^@/\s'\"]{6,})@", True),
+    ("us-ssn", r"\b(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}\b", False),
+    ("azure-client-secret", r"\b[A-Za-z0-9~_.-]{3}8Q~[A-Za-z0-9~_.-]{30,}\b", False),
+    ("gcp-sa-key", r'"private_key_id"\s*:\s*"([a-f0-9]{40})"', True),
+]
+#: Classes whose shape alone proves a secret; fixed values.
+CERTAIN = ("aws-access-key", "github-token", "github-pat", "gitlab-token", "slack-token", "google-api-key", "jwt", "pem-private-key", "azure-client-secret", "gcp-sa-key")
+_SHAPES = [(name, re.compile(pattern), inner) for name, pattern, inner in SECRETS]
+_KEY_BLOCK = re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)[\s\S]*?(-----END [A-Z ]*PRIVATE KEY-----)")
+_CARD = re.compile(r"\b(?:\d[ -]?){13,19}\b")
+KEPT, MARK = 5, "...REDACTED"
+KEY_MARK = "[PRIVATE KEY MATERIAL REDACTED]"
 
 
 def luhn(digits: str) -> bool:
@@ -221,21 +245,42 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def redact(text: str) -> str:
-    """Secrets cut to five characters and a mark; a text that is redacted already stays as it is."""
-    for name, pattern in SECRETS.items():
-        def cut(m: re.Match, name=name) -> str:
-            if name == "card" and not luhn(m[1]) or m[1].endswith("...REDACTED"):
+def redact(text: str) -> tuple[str, list[str]]:
+    """(text, classes found): secrets cut to five characters and a mark, key blocks emptied; what is redacted stays as it is."""
+    hits: list[str] = []
+    for name, shape, inner in _SHAPES:
+        def cut(m: re.Match, name=name, inner=inner) -> str:
+            if MARK in m[0]:
                 return m[0]
-            return m[0].replace(m[1], m[1][:5] + "...REDACTED")
+            hits.append(name)
+            secret = m[1] if inner else m[0]
+            return m[0].replace(secret, secret[:KEPT] + MARK)
+
+        text = shape.sub(cut, text)
 
-        text = re.sub(pattern, cut, text)
-    return text
+    def emptied(m: re.Match) -> str:
+        if KEY_MARK not in m[0]:
+            hits.append("pem-private-key")
+        return f"{m[1]}\n{KEY_MARK}\n{m[2]}"
+
+    def card(m: re.Match) -> str:
+        digits = re.sub("[ -]", "", m[0])
+        if not (13 <= len(digits) <= 19 and luhn(digits)):
+            return m[0]
+        hits.append("payment-card")
+        return digits[:KEPT] + MARK
+
+    return _CARD.sub(card, _KEY_BLOCK.sub(emptied, text)), hits
 
 
 @F.pandas_udf(T.StringType())
 def redacted(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else redact(t))
+    return text.map(lambda t: None if t is None else redact(t)[0])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def secret_classes(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: [] if t is None else redact(t)[1])
 
 
 def dependencies(path: Column, text: Column) -> Column:

@@ -6,7 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Language by file extension; fixed values.
-LANGUAGES = {"go": "go", "py": "python", "js": "javascript", "ts": "typescript", "java": "java", "rb": "ruby", "rs": "rust", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cs": "csharp", "php": "php", "sh": "bash", "tf": "terraform", "yaml": "yaml", "yml": "yaml", "json": "json", "kt": "kotlin", "scala": "scala", "swift": "swift"}
+LANGUAGES = {
+    "go": "go", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "java": "java", "rb": "ruby", "c": "c", "h": "c", "cpp": "cpp",
+    "rs": "rust", "sh": "bash", "yaml": "yaml", "yml": "yaml", "php": "php", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "cs": "csharp",
+}
+#: Extensions of configuration, which names a finding's language only where no source does; fixed values.
+CONFIG = ("yaml", "yml")
+#: Directories below which other projects' code lies; fixed values.
+VENDOR_ROOTS = ("vendor", "_vendor", "vendored", "third_party", "thirdparty", "third-party", "external", "externals", "node_modules", "bundled", "Godeps/_workspace/src")
+#: SARIF level and score by severity; words of advisories, of reachability and of scanners' hints -> severity; fixed values.
+SARIF_LEVELS = {"critical": ("error", "9.5"), "high": ("error", "8.0"), "medium": ("warning", "5.0"), "low": ("note", "2.0"), "informational": ("note", "0.5")}
+ADVISORY_WORDS = {"CRITICAL": "critical", "HIGH": "high", "HIGHEST": "high", "MEDIUM": "medium", "MODERATE": "medium", "LOW": "low"}
+REACHABILITY = {"symbol_reachable": "high", "package_imported_not_observed": "medium", "module_required_not_observed": "low"}
+HINTS = {"critical": "critical", "high": "high", "medium": "medium", "low": "low", "informational": "informational"}
+
+
+def mapped(key: Column, table: dict, default: str | None) -> Column:
+    """table's value for key, or the default; a NULL key takes the default."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), F.lit(default))
 
 
 def repo_url(text: Column) -> Column:
@@ -43,8 +60,116 @@ def language_of(path: Column) -> Column:
 
 
 def vendor_tail(path: Column) -> Column:
-    """Path below its last vendor directory."""
-    return F.regexp_replace(path, r"^.*(?:^|/)(?:vendor|node_modules|third_party)/", "")
+    """Path below its last vendor directory, without leading ``./``."""
+    return F.regexp_replace(plain_path(path), rf"^.*(?:^|/)(?:{'|'.join(VENDOR_ROOTS)})/", "")
+
+
+def plain_path(path: Column) -> Column:
+    return F.regexp_replace(F.trim(path), r"^(?:\./)+", "")
+
+
+def component_paths(paths: Column, file: Column | None = None) -> Column:
+    """Sorted distinct paths below vendor directories; if there are none, that of the one file."""
+    clean = F.array_sort(F.array_distinct(F.filter(F.transform(paths, vendor_tail), lambda p: p != "")))
+    clean = F.coalesce(clean, F.array().cast("array<string>"))
+    return clean if file is None else F.when((F.size(clean) == 0) & (file != ""), F.array(vendor_tail(file))).otherwise(clean)
+
+
+def repaired_repository(text: Column) -> Column:
+    """A repository without the marks of an automatic link, with a scheme where it begins with a host name; else as it is."""
+    bare = F.trim(F.regexp_replace(F.trim(text), r"^<(.*)>$", "$1"))
+    hosted = bare.rlike(r"^[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+/[^\s/]+/[^\s]+$") & ~F.contains(bare, F.lit("://"))
+    return F.when(hosted, F.concat(F.lit("https://"), bare)).when(bare == "", text).otherwise(bare)
+
+
+def category_slug(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(text)), r"[\s_]+", "-")
+
+
+def bare_rule_id(text: Column) -> Column:
+    return F.substring_index(text, ".", -1)
+
+
+def url_of_repo_id(repo_id: Column) -> Column:
+    """https URL of ``repo:host/path``; NULL for other ids."""
+    return F.when(repo_id.startswith("repo:"), F.concat(F.lit("https://"), F.substring(repo_id, 6, 10_000)))
+
+
+def slug_of_repo_id(repo_id: Column, host: str = "github.com") -> Column:
+    path = F.regexp_replace(F.regexp_replace(repo_id, "^repo:", ""), f"^{host.replace('.', '[.]')}/", "")
+    return F.regexp_replace(F.regexp_replace(path, "[^a-zA-Z0-9_-]", "-"), "^-+|-+$", "")
+
+
+def slug_of_url(url: Column) -> Column:
+    """Last part of a URL without .git; ``unknown`` if there is no URL."""
+    return F.when(F.coalesce(url, F.lit("")) == "", "unknown").otherwise(F.regexp_replace(F.substring_index(F.regexp_replace(url, "/+$", ""), "/", -1), r"\.git$", ""))
+
+
+def line_range(lines: Column) -> Column:
+    """struct<start, end> of ``12`` or ``12-40``; NULL if it's neither, end NULL if there's one line."""
+    part = lambda i: F.regexp_extract(lines, r"^\s*(\d+)\s*(?:[-\u2013]\s*(\d+))?\s*$", i).try_cast("int")
+    return F.when(part(1).isNotNull(), F.struct(part(1).alias("start"), part(2).alias("end")))
+
+
+def written_range(start: Column, end: Column) -> Column:
+    return F.when(F.coalesce(start, F.lit(0)) == 0, "").when(end.isNotNull() & (end != 0) & (end != start), F.concat_ws("-", start.cast("string"), end.cast("string"))).otherwise(start.cast("string"))
+
+
+def safe_slug(text: Column, segments: int = 1) -> Column:
+    """The text if it's that many parts of letters, digits, dots, dashes and underscores, none led by a dot or dash or with two dots in a row; else NULL."""
+    part = "[A-Za-z0-9_][A-Za-z0-9._-]*"
+    return F.when(text.rlike(f"^{'/'.join([part] * segments)}$") & ~F.contains(text, F.lit("..")), text)
+
+
+def script_json(json: Column) -> Column:
+    """JSON text that can stand in a page's script: no closing tag and no comment begins in it."""
+    return F.replace(F.replace(json, F.lit("</"), F.lit("<\\/")), F.lit("<!--"), F.lit("<\\u0021--"))
+
+
+def lowest_cwe(cwes: Column) -> Column:
+    """The lowest weakness number in an array of names; NULL if there's none."""
+    return F.array_min(F.transform(cwes, lambda c: F.regexp_extract(c, r"(?i)CWE-(\d+)", 1).try_cast("int")))
+
+
+def month_key(date: Column) -> Column:
+    return F.substring(date, 1, 7)
+
+
+def run_rate(amount: Column, day: Column) -> Column:
+    """What a month comes to if the days up to ``day`` are typical of it."""
+    return amount / F.dayofmonth(day) * F.dayofmonth(F.last_day(day))
+
+
+def age_hours(at: Column, now: Column) -> Column:
+    return (F.unix_seconds(now) - F.unix_seconds(at)) / 3600.0
+
+
+def iso_date(text: Column) -> Column:
+    """The date that a text begins with; NULL if it doesn't begin with one."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10).try_cast("date"))
+
+
+def at_least(installed: Column, expected: Column) -> Column:
+    """Whether a version of numbers is the other one or later; false if either isn't made of numbers."""
+    numbers = lambda v: F.transform(F.split(v, r"\."), lambda x: F.trim(x).try_cast("bigint"))
+    fine = lambda v: F.coalesce(F.forall(numbers(v), lambda x: x.isNotNull()), F.lit(False))
+    return F.when(fine(installed) & fine(expected), numbers(installed) >= numbers(expected)).otherwise(False)
+
+
+def component_signature(paths: Column, cwe: Column, category: Column, sink: Column | str = "") -> Column:
+    """SHA-256 of sorted paths, weakness, category and sink: the same flaw in a shared component, whichever repository holds it."""
+    sink = F.lit(sink) if isinstance(sink, str) else sink
+    return F.sha2(F.concat_ws("|", F.array_join(F.array_sort(paths), ";"), F.upper(F.trim(cwe)), F.lower(F.trim(category)), sink), 256)
+
+
+def event_id(source_ref: Column, finding: Column, validity: Column, resolution: Column) -> Column:
+    """SHA-256 of what makes an event: its source, finding and disposition; NULL parts are empty."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (source_ref, finding, validity, resolution)]), 256)
+
+
+def claim_hash(*parts: Column) -> Column:
+    """SHA-256 of a finding's claim (title, severity, weakness, paths), which must not change once it's recorded."""
+    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit("")) for c in parts]), 256)
 
 
 def cwe_number(cwe: Column) -> Column:
@@ -58,7 +183,9 @@ def excerpt(text: Column, size: int = 120) -> Column:
 
 
 def md_cell(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"\|", r"\\|"))
+    """One cell of a Markdown table: no forged column or row, no live link or image."""
+    flat = F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"[\r\n]+", " ")
+    return F.regexp_replace(F.replace(flat, F.lit("]("), F.lit("]\\(")), r"(?i)\bjavascript:", "javascript\u02d0")
 
 
 def csv_cell(text: Column) -> Column:

@@ -19,6 +19,15 @@ def last_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return best.select(*key, *[F.col(f"__best.`{c}`").alias(c) for c in [*order, *rest]]).select(*df.columns)
 
 
+def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """As last_per_key where the order leaves no tie but between copies: columns that nobody asks for aren't read.
+
+    Spark keeps each key's highest row before the shuffle (a limit within groups), so hot keys combine early.
+    """
+    place = F.row_number().over(W.partitionBy(*key).orderBy(*[F.desc_nulls_last(c) for c in order]))
+    return df.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
 def first_wins(existing: DataFrame, arriving: DataFrame, key: list[str], order: str) -> DataFrame:
     """existing plus the first arriving row of each key that isn't there yet (insert or ignore)."""
     rest = [c for c in arriving.columns if c not in (*key, order)]
@@ -56,11 +65,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
-def upper_median(values: Column) -> Column:
-    """Element at half the count of the sorted values: the upper one of two middles."""
-    return F.get(F.array_sort(F.collect_list(values)), F.floor(F.count(values) / 2).cast("int"))
-
-
 def prefix_join(names: DataFrame, name: str, prefixes: DataFrame, prefix: str, separator: str = "/") -> DataFrame:
     """names with the longest prefix that ends at a separator (or is the whole name); an equi-join on all prefixes of a name."""
     parts = F.split(F.col(name), separator)

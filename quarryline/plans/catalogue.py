@@ -1,7 +1,8 @@
-"""Every query of the core by name."""
+"""All queries of the core by name, and their SQL."""
 
-from quarryline.plans import more, problems, relational
+from quarryline.plans import more, problems, relational, scalars
 from quarryline.streaming import ledger
 
-QUERIES = problems.QUERIES | relational.QUERIES | more.QUERIES | ledger.QUERIES
-SQL = problems.SQL | relational.SQL | more.SQL | ledger.SQL
+_MODULES = (problems, relational, more, scalars, ledger)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

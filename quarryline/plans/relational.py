@@ -31,15 +31,15 @@ def query(sql: str | None = None):
 
 
 def repos(s: SparkSession, d: str) -> DataFrame:
-    return rel.last_per_key(table(s, d, "repos"), ["repo_key"], ["loaded_at", "row_no"]).where("removed_at is null")
+    return rel.latest(table(s, d, "repos"), ["repo_key"], ["loaded_at", "row_no"]).where("removed_at is null")
 
 
 def findings(s: SparkSession, d: str) -> DataFrame:
-    return rel.last_per_key(table(s, d, "findings"), ["repo_key", "finding_id"], ["loaded_at", "row_no"]).where("removed_at is null")
+    return rel.latest(table(s, d, "findings"), ["repo_key", "finding_id"], ["loaded_at", "row_no"]).where("removed_at is null")
 
 
 def ledger(s: SparkSession, d: str) -> DataFrame:
-    return rel.last_per_key(table(s, d, "finding_events"), ["event_id", "repo_key"], ["recorded_at", "row_no"])
+    return rel.latest(table(s, d, "finding_events"), ["event_id", "repo_key"], ["recorded_at", "row_no"])
 
 
 def links(s: SparkSession, d: str) -> DataFrame:
