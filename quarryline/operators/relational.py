@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarryline.workspace import materialize, workspace
+
 
 def last_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The row of each key with the highest order (NULL is lowest); an aggregate, so hot keys combine before the shuffle.
@@ -49,6 +52,16 @@ def preserve_merge(old: DataFrame, new: DataFrame, key: str, attrs: str, keep: I
     return o.join(n, key, "full").select(key, merged.alias(attrs))
 
 
+def json_updated(df: DataFrame, attrs: str, changes: str) -> DataFrame:
+    """df with the map ``changes`` (NULL: nothing) written over the top-level keys of the JSON object ``attrs``; the map is dropped.
+
+    Values become text; attrs that isn't a JSON object counts as an empty one where something changes.
+    """
+    old = F.coalesce(F.from_json(attrs, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(changes, k))
+    return df.withColumn(attrs, F.when(F.col(changes).isNotNull(), F.to_json(F.map_concat(kept, changes))).otherwise(F.col(attrs))).drop(changes)
+
+
 def append_completed(recorded: DataFrame, arriving: DataFrame, key: list[str], day: str, today: Column) -> DataFrame:
     """Arriving rows of completed days whose key isn't recorded; a recorded key is never revised."""
     return arriving.where(F.col(day) < today).join(recorded.select(*key).distinct(), key, "left_anti")
@@ -75,11 +88,15 @@ def prefix_join(names: DataFrame, name: str, prefixes: DataFrame, prefix: str, s
 
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """(origin, node, depth) of nodes reached over directed edges (src, dst) from start (origin) in at most max_depth steps, by the least depth."""
-    seen = start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth"))
-    front = seen
+    """(origin, node, depth) of nodes reached over directed edges (src, dst) from start (origin) in at most max_depth steps, by the least depth.
+
+    Every step's new nodes are written, so that a step reads what the ones before found and computes none of it again.
+    """
+    base = workspace(edges.sparkSession)
+    schema = start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth"))
+    steps = [materialize(schema.distinct(), f"{base}/depth=0")]
     for d in range(1, max_depth + 1):
-        stepped = front.join(edges, front["node"] == edges["src"]).select("origin", F.col("dst").alias("node"), F.lit(d).alias("depth")).distinct()
-        front = stepped.join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
-        seen = seen.unionByName(front)
-    return seen.groupBy("origin", "node").agg(F.min("depth").alias("depth"))
+        seen = reduce(DataFrame.unionByName, steps)
+        stepped = steps[-1].join(edges, steps[-1]["node"] == edges["src"]).select("origin", F.col("dst").alias("node"), F.lit(d).alias("depth")).distinct()
+        steps.append(materialize(stepped.join(seen.select("origin", "node"), ["origin", "node"], "left_anti"), f"{base}/depth={d}"))
+    return reduce(DataFrame.unionByName, steps)

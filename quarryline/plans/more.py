@@ -99,11 +99,6 @@ def join_14_ladder(s, d):
     return identity.match_ladder(placed.where("n = 1").withColumnRenamed("finding_id", "old_id").drop("n"), placed.where("n = 2").withColumnRenamed("finding_id", "new_id").drop("n"))
 
 
-@query(f"WITH {L} SELECT l.src AS repo, count(*) AS n_packages, count(DISTINCT json_extract_string(attrs, '$.version')) AS n_versions FROM l WHERE rel = 'imports_package' GROUP BY 1")
-def agg_05_imports(s, d):
-    return links(s, d).where("rel = 'imports_package'").groupBy(F.col("src").alias("repo")).agg(F.count("*").alias("n_packages"), F.countDistinct(F.get_json_object("attrs", "$.version")).alias("n_versions"))
-
-
 @query("SELECT kind, coalesce(json_extract_string(attrs, '$.internal'), 'none') AS internal, count(*) AS n FROM (SELECT DISTINCT id, kind, attrs FROM nodes) GROUP BY ALL")
 def agg_06_08_grouped_json(s, d):
     return table(s, d, "nodes").select("id", "kind", "attrs").distinct().groupBy("kind", F.coalesce(F.get_json_object("attrs", "$.internal"), F.lit("none")).alias("internal")).agg(F.count("*").alias("n"))
@@ -156,16 +151,3 @@ def win_15_dominant(s, d):
 def grf_08_products(s, d):
     kinds = table(s, d, "nodes").where(F.col("kind").isin("product", "segment", "release")).select(F.col("id").alias("src"))
     return links(s, d).where(F.col("rel").isin("contains", "includes", "owns")).join(kinds, "src").select(F.col("dst").alias("repo"), F.col("src").alias("product")).distinct()
-
-
-@query("SELECT key, max(build_no) AS last_build, (SELECT max(build_no) FROM meta) - max(build_no) AS behind FROM meta WHERE key IS NOT NULL GROUP BY 1")
-def grf_15_freshness(s, d):
-    m = table(s, d, "meta")
-    newest = m.agg(F.max("build_no").alias("newest"))  # one row
-    return m.where("key is not null").groupBy("key").agg(F.max("build_no").alias("last_build")).join(F.broadcast(newest), F.lit(True)).select("key", "last_build", (F.col("newest") - F.col("last_build")).alias("behind"))
-
-
-@query("SELECT src, dst, rel, max(attrs) AS attrs FROM edges GROUP BY ALL")
-def snk_02_03_upsert(s, d):
-    e = table(s, d, "edges").select("src", "dst", "rel", "attrs").withColumn("ordinal", F.coalesce("attrs", F.lit("")))
-    return rel.upsert(e.limit(0), e, ["src", "dst", "rel"], "ordinal").drop("ordinal")

@@ -191,20 +191,6 @@ def join_03_owner_default(s, d):
     return table(s, d, "nodes").select("id").distinct().join(owner, "id", "left").select("id", F.coalesce("owner", F.lit("(unassigned)")).alias("owner"))
 
 
-@query(f"WITH {L} SELECT DISTINCT a.dst AS target, c.src AS surface, n.kind FROM l a JOIN l c ON c.dst = a.src AND c.rel IN ('contains', 'includes', 'owns') JOIN nodes n ON n.id = c.src WHERE a.rel = 'depends_on'")
-def join_04_surfaces(s, d):
-    dep = links(s, d).where("rel = 'depends_on'").select(F.col("src").alias("mid"), F.col("dst").alias("target"))
-    ship = links(s, d).where(F.col("rel").isin("contains", "includes", "owns")).select(F.col("dst").alias("mid"), F.col("src").alias("surface"))
-    return dep.join(ship, "mid").join(table(s, d, "nodes").select(F.col("id").alias("surface"), "kind"), "surface").select("target", "surface", "kind").distinct()
-
-
-@query(f"WITH {L} SELECT DISTINCT g.dst AS grp, o.src AS owner FROM l g JOIN nodes n ON n.id = g.src JOIN l o ON o.dst = g.src AND o.rel = 'owns' WHERE g.rel = 'in_group'")
-def join_05_group_owners(s, d):
-    groups = links(s, d).where("rel = 'in_group'").select(F.col("src").alias("member"), F.col("dst").alias("grp"))
-    owns = links(s, d).where("rel = 'owns'").select(F.col("dst").alias("member"), F.col("src").alias("owner"))
-    return groups.join(table(s, d, "nodes").select(F.col("id").alias("member")), "member").join(owns, "member").select("grp", "owner").distinct()
-
-
 @query(f"WITH {L} SELECT DISTINCT src FROM l WHERE rel = 'consumes_group' AND dst IN (SELECT dst FROM l WHERE rel = 'in_group')")
 def join_06_semi(s, d):
     groups = links(s, d).where("rel = 'in_group'").select("dst").distinct()
@@ -218,13 +204,6 @@ def join_07_refs(s, d):
     return chosen.join(nodes.where(F.col("kind").isin("repo", "category")).select(F.col("id").alias("src")), "src").join(nodes.where("kind = 'repo-ref'").select(F.col("id").alias("dst"), "label"), "dst").select("src", "dst", "label")
 
 
-@query("""WITH m AS (SELECT DISTINCT regexp_replace(dst, '^pkg:', '') AS name FROM edges WHERE rel = 'imports_package'), p AS (SELECT 'go' AS root UNION ALL SELECT 'npm' UNION ALL SELECT 'go/dune-template-lib')
-  SELECT m.name, (SELECT root FROM p WHERE m.name = root OR starts_with(m.name, root || '/') ORDER BY length(root) DESC LIMIT 1) AS root FROM m""")
-def join_09_prefix(s, d):
-    names = table(s, d, "edges").where("rel = 'imports_package'").select(F.regexp_replace("dst", "^pkg:", "").alias("name")).distinct()
-    return rel.prefix_join(names, "name", s.createDataFrame([("go",), ("npm",), ("go/dune-template-lib",)], "root string"), "root")
-
-
 @query(f"""WITH {R}, t AS (SELECT DISTINCT split_part(label, '/', -1) AS tail FROM nodes WHERE kind = 'repo') SELECT r.repo_key FROM r WHERE regexp_replace(split_part(repo_url, '/', -1), '\\.git$', '') IN (SELECT tail FROM t)""")
 def join_11_suffix(s, d):
     tails = table(s, d, "nodes").where("kind = 'repo'").select(F.element_at(F.split("label", "/"), -1).alias("tail")).distinct()
@@ -283,23 +262,6 @@ def agg_01_by_rel(s, d):
     return links(s, d).groupBy("rel").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {L} SELECT dst, count(DISTINCT src) AS dependents FROM l WHERE rel = 'depends_on' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
-def grf_02_agg_02_top_shared(s, d):
-    return links(s, d).where("rel = 'depends_on'").groupBy("dst").agg(F.countDistinct("src").alias("dependents")).orderBy(F.desc("dependents"), "dst").limit(20)
-
-
-@query(f"WITH {L} SELECT n.id, any_value(n.label) AS label, count(DISTINCT l.src) AS dependents FROM l JOIN nodes n ON n.id = l.dst WHERE rel = 'depends_on' AND json_extract_string(n.attrs, '$.internal') = '1' GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20")
-def grf_03_internal_coupling(s, d):
-    inside = table(s, d, "nodes").where(F.get_json_object("attrs", "$.internal") == "1").select("id", "label")
-    return links(s, d).where("rel = 'depends_on'").withColumnRenamed("dst", "id").join(inside, "id").groupBy("id").agg(F.max("label").alias("label"), F.countDistinct("src").alias("dependents")).orderBy(F.desc("dependents"), "id").limit(20)
-
-
-@query(f"WITH {L} SELECT dst, count(*) AS n, sum(CASE WHEN json_extract_string(attrs, '$.indirect') = 'true' THEN 1 ELSE 0 END)::BIGINT AS n_indirect, bool_and(json_extract_string(attrs, '$.indirect') = 'true') AS only_indirect FROM l WHERE rel = 'imports_package' GROUP BY 1")
-def agg_04_34_packages(s, d):
-    indirect = F.get_json_object("attrs", "$.indirect") == "true"
-    return links(s, d).where("rel = 'imports_package'").groupBy("dst").agg(F.count("*").alias("n"), F.count_if(indirect).alias("n_indirect"), F.bool_and(indirect).alias("only_indirect"))
-
-
 @query(f"WITH {R} SELECT tree, report_kind, count(*) AS n, count(DISTINCT base_slug) AS n_slugs, sum(is_branch_audit)::BIGINT AS n_branch FROM r GROUP BY ROLLUP (tree, report_kind)")
 def agg_09_rollup(s, d):
     return repos(s, d).rollup("tree", "report_kind").agg(F.count("*").alias("n"), F.countDistinct("base_slug").alias("n_slugs"), F.sum("is_branch_audit").cast("bigint").alias("n_branch"))
@@ -426,21 +388,6 @@ def set_07_jaccard(s, d):
 
 # ---- graph
 
-@query(f"WITH {L} SELECT dst AS target, src AS repo, json_extract_string(attrs, '$.version') AS version, json_extract_string(attrs, '$.indirect') AS indirect FROM l WHERE rel = 'depends_on'")
-def grf_01_blast_radius(s, d):
-    return links(s, d).where("rel = 'depends_on'").select(F.col("dst").alias("target"), F.col("src").alias("repo"), F.get_json_object("attrs", "$.version").alias("version"), F.get_json_object("attrs", "$.indirect").alias("indirect"))
-
-
-@query(f"WITH {L} SELECT dst AS grp, 'consumes' AS how, src AS node FROM l WHERE rel = 'consumes_group' UNION ALL SELECT dst, 'member', src FROM l WHERE rel = 'in_group'")
-def grf_04_consumers(s, d):
-    return links(s, d).where(F.col("rel").isin("consumes_group", "in_group")).select(F.col("dst").alias("grp"), F.when(F.col("rel") == "in_group", "member").otherwise("consumes").alias("how"), F.col("src").alias("node"))
-
-
-@query(f"WITH {L} SELECT src, dst, json_extract_string(attrs, '$.version') AS version FROM l WHERE rel = 'ships_package' AND starts_with(lower(dst), 'pkg:go/')")
-def grf_05_06_ships(s, d):
-    return links(s, d).where((F.col("rel") == "ships_package") & F.lower("dst").startswith("pkg:go/")).select("src", "dst", F.get_json_object("attrs", "$.version").alias("version"))
-
-
 @query("""WITH RECURSIVE g AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'depends_on'), start AS (SELECT DISTINCT src AS origin FROM g WHERE src LIKE 'repo:%'),
   walk(origin, node, depth) AS (SELECT origin, origin, 0 FROM start UNION SELECT w.origin, g.dst, w.depth + 1 FROM walk w JOIN g ON g.src = w.node WHERE w.depth < 3) SELECT origin, node, min(depth) AS depth FROM walk GROUP BY 1, 2""")
 def grf_16_reach(s, d):
