@@ -78,6 +78,30 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
+def spaced(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """At most n rows evenly spaced in the order: every k-th, with k the whole part of their number by n, one at least.
+
+    Places come from a sort by ranges: rows are counted per range, the counts of the ranges before are added (as many
+    numbers as there are ranges), and no task holds all rows.
+    """
+    base = workspace(rows.sparkSession)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # monotonically_increasing_id is the range's number times 2^33 plus the place in it
+    placed = materialize(ranged.withColumn("__id", F.monotonically_increasing_id()), f"{base}/placed")
+    part = F.shiftright("__id", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    total, before = 0, {}
+    for r in counts:
+        before[r.part] = total
+        total += r.n
+    if not total:
+        return rows.limit(0)
+    step = max(1, total // n)
+    shift = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    place = shift[part] + F.col("__id") - F.shiftleft(part, 33)
+    return placed.withColumn("__i", place).where((F.col("__i") % step == 0) & (F.col("__i") < step * n)).drop("__i", "__id")
+
+
 def prefix_join(names: DataFrame, name: str, prefixes: DataFrame, prefix: str, separator: str = "/") -> DataFrame:
     """names with the longest prefix that ends at a separator (or is the whole name); an equi-join on all prefixes of a name."""
     parts = F.split(F.col(name), separator)

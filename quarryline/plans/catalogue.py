@@ -1,8 +1,8 @@
 """All queries of the core by name, and their SQL."""
 
-from quarryline.plans import graphs, more, problems, relational, scalars
+from quarryline.plans import graphs, mining, more, problems, relational, scalars
 from quarryline.streaming import ledger
 
-_MODULES = (problems, relational, more, scalars, graphs, ledger)
+_MODULES = (problems, relational, more, scalars, graphs, mining, ledger)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

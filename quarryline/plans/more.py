@@ -24,43 +24,6 @@ def query(sql: str | None = None):
     return keep
 
 
-#: A small rule table: id, weaknesses, extensions.
-RULES = [("r-inject", ["CWE-20", "CWE-79", "CWE-94"], ["go", "py", "ts"]), ("r-secret", ["CWE-798", "CWE-287"], ["yaml", "tf"]), ("r-path", ["CWE-22"], ["go", "rs", "sh"])]
-RULES_SQL = "rules(rule, cwes, exts) AS (VALUES ('r-inject', ['CWE-20', 'CWE-79', 'CWE-94'], ['go', 'py', 'ts']), ('r-secret', ['CWE-798', 'CWE-287'], ['yaml', 'tf']), ('r-path', ['CWE-22'], ['go', 'rs', 'sh']))"
-CLUSTERS = f"{FI}, c AS (SELECT primary_cwe, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext, count(*) AS n FROM (SELECT primary_cwe, unnest(from_json(paths, '[\"VARCHAR\"]')) AS path FROM f WHERE validity = 'confirmed') GROUP BY ALL)"
-
-
-def clusters(s, d):
-    sure = findings(s, d).where("validity = 'confirmed'").select("primary_cwe", F.explode(F.from_json("paths", "array<string>")).alias("path"))
-    return sure.groupBy("primary_cwe", F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.count("*").alias("n"))
-
-
-def rule_pairs(s):
-    rules = s.createDataFrame(RULES, "rule string, cwes array<string>, exts array<string>")
-    return rules.select("rule", F.explode("cwes").alias("primary_cwe"), "exts").select("rule", "primary_cwe", F.explode("exts").alias("ext"))
-
-
-@query(f"WITH {RULES_SQL}, {CLUSTERS} SELECT primary_cwe, ext, n, rule FROM c JOIN rules ON list_contains(cwes, primary_cwe) AND list_contains(exts, ext)")
-def join_18_covered(s, d):
-    return clusters(s, d).join(rule_pairs(s), ["primary_cwe", "ext"]).select("primary_cwe", "ext", "n", "rule")
-
-
-@query(f"WITH {RULES_SQL}, {CLUSTERS} SELECT ext, count(*) AS n_clusters, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM rules WHERE list_contains(cwes, primary_cwe) AND list_contains(exts, ext))) AS n_uncovered FROM c GROUP BY 1")
-def agg_22_43_coverage(s, d):
-    covered = rule_pairs(s).select("primary_cwe", "ext").distinct().withColumn("hit", F.lit(True))
-    return clusters(s, d).join(covered, ["primary_cwe", "ext"], "left").groupBy("ext").agg(F.count("*").alias("n_clusters"), F.count_if(F.col("hit").isNull()).alias("n_uncovered"))
-
-
-@query(f"WITH {RULES_SQL}, {CLUSTERS} SELECT rule, array_to_string(list_sort(list_distinct(list(primary_cwe))), ',') AS cwes, sum(n)::BIGINT AS n FROM c JOIN rules ON list_contains(cwes, primary_cwe) AND list_contains(exts, ext) GROUP BY 1")
-def join_24_worklist(s, d):
-    return clusters(s, d).join(rule_pairs(s), ["primary_cwe", "ext"]).groupBy("rule").agg(F.array_join(F.array_sort(F.collect_set("primary_cwe")), ",").alias("cwes"), F.sum("n").alias("n"))
-
-
-@query(f"WITH {FI} SELECT repo_key, finding_id, i - 1 AS pos, from_json(paths, '[\"VARCHAR\"]')[i] AS path FROM f, unnest(range(1, len(from_json(paths, '[\"VARCHAR\"]')) + 1)) AS t(i) WHERE paths IS NOT NULL")
-def join_17_positional(s, d):
-    return findings(s, d).select("repo_key", "finding_id", F.posexplode(F.from_json("paths", "array<string>")).alias("pos", "path")).select("repo_key", "finding_id", F.col("pos").cast("bigint").alias("pos"), "path")
-
-
 @query(f"WITH {E} SELECT event_id, repo_key, nullif(regexp_extract(source_ref, '(note|verify|validate)-(\\d+)', 2), '') AS ticket FROM e")
 def join_27_ticket(s, d):
     return ledger(s, d).select("event_id", "repo_key", F.nullif(F.regexp_extract("source_ref", r"(note|verify|validate)-(\d+)", 2), F.lit("")).alias("ticket"))
@@ -132,21 +95,6 @@ def win_01_latest(s, d):
     return newest.select("repo_key", "source_type", "b.event_id", "b.recorded_at")
 
 
-@query("WITH o AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS i, count(*) OVER () AS n FROM part) SELECT p_partkey, p_name FROM o WHERE i % greatest(1, n // 25) = 0 ORDER BY i LIMIT 25")
-def win_13_spaced_sample(s, d):
-    p = table(s, d, "part").select("p_partkey", "p_name", "p_retailprice")
-    n = p.count()
-    # the sample is the feature; ranks come from one sort of three columns
-    ranked = p.withColumn("i", F.row_number().over(W.orderBy(F.desc("p_retailprice"), "p_partkey")) - 1)
-    return ranked.where(F.col("i") % max(1, n // 25) == 0).orderBy("i").limit(25).select("p_partkey", "p_name")
-
-
-@query(f"WITH {FI}, x AS (SELECT repo_key, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext, count(*) AS n FROM (SELECT repo_key, unnest(from_json(paths, '[\"VARCHAR\"]')) AS path FROM f) GROUP BY ALL) SELECT repo_key, ext, n FROM (SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY n DESC, ext) AS rn FROM x) WHERE rn = 1")
-def win_15_dominant(s, d):
-    x = findings(s, d).select("repo_key", F.explode(F.from_json("paths", "array<string>")).alias("path")).groupBy("repo_key", F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.count("*").alias("n"))
-    return x.groupBy("repo_key").agg(F.min_by(F.struct("ext", "n"), F.struct((-F.col("n")).alias("m"), "ext")).alias("b")).select("repo_key", "b.ext", "b.n")
-
-
 @query(f"WITH {L} SELECT DISTINCT l.dst AS repo, l.src AS product FROM l JOIN nodes n ON n.id = l.src AND n.kind IN ('product', 'segment', 'release') WHERE rel IN ('contains', 'includes', 'owns')")
 def grf_08_products(s, d):
     kinds = table(s, d, "nodes").where(F.col("kind").isin("product", "segment", "release")).select(F.col("id").alias("src"))

@@ -238,12 +238,6 @@ def join_16_win_06_locf(s, d):
     return marked.select("repo_key", "event_id", rel.carry_forward(marked, "signal", ["repo_key"], ["recorded_at", "event_id"], "unattributed").alias("active"))
 
 
-@query(f"WITH {FI}, a AS (SELECT primary_cwe, count(*) AS n FROM f WHERE severity = 'high' GROUP BY 1), b AS (SELECT primary_cwe, count(*) AS n FROM f WHERE severity = 'low' GROUP BY 1) SELECT coalesce(a.primary_cwe, b.primary_cwe) AS cwe, CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'resolved' WHEN a.n <> b.n THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.primary_cwe = b.primary_cwe")
-def join_19_delta(s, d):
-    count = lambda severity, name: findings(s, d).where(F.col("severity") == severity).groupBy(F.col("primary_cwe").alias("cwe")).agg(F.count("*").alias(name))
-    return count("high", "a").join(count("low", "b"), "cwe", "full").select("cwe", F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "resolved").when(F.col("a") != F.col("b"), "changed").otherwise("same").alias("state"))
-
-
 @query(f"WITH {FI}, {E} SELECT repo_key, finding_id FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.repo_key = f.repo_key AND e.finding_id = f.finding_id)")
 def join_20_anti(s, d):
     return findings(s, d).join(ledger(s, d).select("repo_key", "finding_id"), ["repo_key", "finding_id"], "left_anti").select("repo_key", "finding_id")
@@ -282,23 +276,6 @@ def agg_12_upper_median(s, d):
     return running.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("severity").agg(F.min("days").alias("median_days"))
 
 
-@query(f"WITH {_PATHS} SELECT primary_cwe, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext, count(DISTINCT f.finding_id) AS n_findings, count(DISTINCT f.repo_key) AS n_repos FROM p JOIN f USING (repo_key, finding_id) WHERE validity = 'confirmed' GROUP BY ALL")
-def agg_21_clusters(s, d):
-    sure = findings(s, d).where("validity = 'confirmed'").select("repo_key", "finding_id", "primary_cwe", F.explode(F.from_json("paths", "array<string>")).alias("path"))
-    return sure.groupBy("primary_cwe", F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.countDistinct("finding_id").alias("n_findings"), F.countDistinct("repo_key").alias("n_repos"))
-
-
-@query(f"WITH {FI}, b AS (SELECT primary_cwe, count(*) FILTER (WHERE validity IN ('confirmed', 'corrected')) AS promoted, count(*) FILTER (WHERE validity = 'false_positive') AS dismissed, count(*) AS n FROM f GROUP BY 1) SELECT *, CASE WHEN promoted + dismissed > 0 THEN round(promoted / (promoted + dismissed), 3) END AS precision FROM b")
-def agg_23_precision(s, d):
-    b = findings(s, d).groupBy("primary_cwe").agg(F.count_if(F.col("validity").isin("confirmed", "corrected")).alias("promoted"), F.count_if(F.col("validity") == "false_positive").alias("dismissed"), F.count("*").alias("n"))
-    return b.withColumn("precision", F.round(F.try_divide(F.col("promoted"), F.col("promoted") + F.col("dismissed")), 3))
-
-
-@query(f"WITH {FI}, g AS (SELECT severity, primary_cwe, count(DISTINCT repo_key) AS n FROM f GROUP BY ALL) SELECT severity, max(n) AS reach FROM g GROUP BY 1")
-def agg_25_reach(s, d):
-    return findings(s, d).groupBy("severity", "primary_cwe").agg(F.countDistinct("repo_key").alias("n")).groupBy("severity").agg(F.max("n").alias("reach"))
-
-
 @query(f"WITH {E}, dim AS (SELECT unnest(['open', 'fix_in_progress', 'resolved', 'partially_resolved', 'risk_accepted', 'regression_introduced']) AS resolution) SELECT dim.resolution, count(e.event_id) AS n FROM dim LEFT JOIN e USING (resolution) GROUP BY 1")
 def agg_29_zero_filled(s, d):
     dim = s.createDataFrame([(x,) for x in ("open", "fix_in_progress", "resolved", "partially_resolved", "risk_accepted", "regression_introduced")], "resolution string")
