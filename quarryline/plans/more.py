@@ -24,19 +24,6 @@ def query(sql: str | None = None):
     return keep
 
 
-@query(f"WITH {E} SELECT event_id, repo_key, nullif(regexp_extract(source_ref, '(note|verify|validate)-(\\d+)', 2), '') AS ticket FROM e")
-def join_27_ticket(s, d):
-    return ledger(s, d).select("event_id", "repo_key", F.nullif(F.regexp_extract("source_ref", r"(note|verify|validate)-(\d+)", 2), F.lit("")).alias("ticket"))
-
-
-@query("""WITH a AS (SELECT repo_key, finding_id, min(fingerprint) AS was FROM findings GROUP BY ALL), b AS (SELECT repo_key, finding_id, max(fingerprint) AS now FROM findings GROUP BY ALL)
-  SELECT coalesce(a.repo_key, b.repo_key) AS repo_key, coalesce(a.finding_id, b.finding_id) AS finding_id FROM a FULL JOIN b ON a.repo_key = b.repo_key AND a.finding_id = b.finding_id WHERE was IS DISTINCT FROM now""")
-def join_28_claims(s, d):
-    f = table(s, d, "findings")
-    was, now = f.groupBy("repo_key", "finding_id").agg(F.min("fingerprint").alias("was")), f.groupBy("repo_key", "finding_id").agg(F.max("fingerprint").alias("now"))
-    return was.join(now, ["repo_key", "finding_id"], "full").where(~F.col("was").eqNullSafe(F.col("now"))).select("repo_key", "finding_id")
-
-
 @query(f"""WITH {R}, m AS (SELECT id, split_part(id, ':', 2) AS url FROM nodes WHERE kind = 'repo'), s AS (SELECT split_part(id, '/', -1) AS slug, min(id) AS id FROM nodes WHERE kind = 'repo' GROUP BY 1)
   SELECT repo_key, coalesce(m.id, s.id) AS node, CASE WHEN m.id IS NOT NULL THEN 'url' WHEN s.id IS NOT NULL THEN 'slug' ELSE 'none' END AS matched_by FROM r LEFT JOIN m ON m.url = regexp_replace(regexp_replace(repo_url, '^https?://', ''), '\\.git$', '') LEFT JOIN s ON s.slug = r.base_slug""")
 def join_22_ladder(s, d):
@@ -48,12 +35,6 @@ def join_22_ladder(s, d):
     return keyed.join(by_url, "url", "left").join(by_slug, "base_slug", "left").select("repo_key", F.coalesce("url_id", "slug_id").alias("node"), tier.alias("matched_by"))
 
 
-@query("""WITH RECURSIVE h AS (SELECT src AS old_id, min(dst) AS new_id FROM edges WHERE rel = 'depends_on' GROUP BY 1), w(old_id, here, seen) AS (SELECT old_id, new_id, [old_id] FROM h UNION ALL SELECT w.old_id, h.new_id, list_append(w.seen, w.here) FROM w JOIN h ON h.old_id = w.here WHERE NOT list_contains(w.seen, w.here)),
-  done AS (SELECT old_id, here FROM w WHERE here NOT IN (SELECT old_id FROM h)) SELECT h.old_id, done.here AS final_id FROM h LEFT JOIN done USING (old_id)""")
-def join_21_aliases(s, d):
-    return identity.resolve_aliases(table(s, d, "edges").where("rel = 'depends_on'").select(F.col("src").alias("old_id"), F.col("dst").alias("new_id")))
-
-
 @query()
 def join_14_ladder(s, d):
     f = table(s, d, "findings").select("row_no", "repo_key", "finding_id", "fingerprint", F.col("primary_cwe").alias("cwe"), "title", F.from_json("paths", "array<string>").alias("paths"), "loaded_at", "severity").distinct()

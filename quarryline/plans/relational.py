@@ -166,11 +166,6 @@ def flt_06_allowlist(s, d):
     return findings(s, d).agg(F.count_if(allowed).alias("n_kept"), F.count_if(~allowed).alias("n_suppressed"))
 
 
-@query(f"WITH {E} SELECT actor_kind = 'human' AND source_type IN ('human_review', 'jira_filing') AS is_human, count(*) AS n FROM e GROUP BY 1")
-def flt_07_human_events(s, d):
-    return ledger(s, d).groupBy(((F.col("actor_kind") == "human") & F.col("source_type").isin("human_review", "jira_filing")).alias("is_human")).agg(F.count("*").alias("n"))
-
-
 # ---- joins
 
 @query(f"WITH {R}, {FI} SELECT f.repo_key, finding_id, tree, business_unit FROM f JOIN r USING (repo_key)")
@@ -217,13 +212,6 @@ def join_12_directory_key(s, d):
     return named.join(dirs, "repo_dir", "left").select("event_id", "named", "repo_key")
 
 
-@query(f"WITH {_PATHS} SELECT DISTINCT a.repo_key, a.finding_id, b.finding_id AS other FROM p a JOIN p b ON a.repo_key = b.repo_key AND a.path = b.path AND a.finding_id < b.finding_id JOIN f x ON x.repo_key = a.repo_key AND x.finding_id = a.finding_id JOIN f y ON y.repo_key = b.repo_key AND y.finding_id = b.finding_id AND y.primary_cwe = x.primary_cwe")
-def join_13_overlap_and_class(s, d):
-    a, b = finding_paths(s, d).alias("a"), finding_paths(s, d).alias("b")
-    on = (F.col("a.repo_key") == F.col("b.repo_key")) & (F.col("a.path") == F.col("b.path")) & (F.col("a.primary_cwe") == F.col("b.primary_cwe")) & (F.col("a.finding_id") < F.col("b.finding_id"))
-    return a.join(b, on).select(F.col("a.repo_key").alias("repo_key"), F.col("a.finding_id").alias("finding_id"), F.col("b.finding_id").alias("other")).distinct()
-
-
 @query("""WITH v AS (SELECT src, dst, json_extract_string(max(attrs), '$.version') AS version FROM edges WHERE rel = 'depends_on' GROUP BY ALL), k AS (SELECT *, list_transform(string_split(regexp_extract(version, '^v?(\\d+(?:\\.\\d+)*)', 1), '.'), lambda x: CAST(x AS BIGINT)) AS key FROM v WHERE version IS NOT NULL)
   SELECT src, dst, version, key >= [1, 0] AND key < [3, 5] AS affected FROM k""")
 def join_15_version_range(s, d):
@@ -276,13 +264,6 @@ def agg_12_upper_median(s, d):
     return running.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("severity").agg(F.min("days").alias("median_days"))
 
 
-@query(f"WITH {E}, dim AS (SELECT unnest(['open', 'fix_in_progress', 'resolved', 'partially_resolved', 'risk_accepted', 'regression_introduced']) AS resolution) SELECT dim.resolution, count(e.event_id) AS n FROM dim LEFT JOIN e USING (resolution) GROUP BY 1")
-def agg_29_zero_filled(s, d):
-    dim = s.createDataFrame([(x,) for x in ("open", "fix_in_progress", "resolved", "partially_resolved", "risk_accepted", "regression_introduced")], "resolution string")
-    counted = ledger(s, d).groupBy("resolution").agg(F.count("*").alias("n"))
-    return dim.join(counted, "resolution", "left").select("resolution", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 @query(f"WITH {FI}, g AS (SELECT repo_key, bool_or(severity = 'critical') AS any_critical, bool_and(severity IN ('low', 'informational')) AS only_minor, count(*) AS n FROM f GROUP BY 1) SELECT * FROM g")
 def agg_36_booleans(s, d):
     return findings(s, d).groupBy("repo_key").agg(F.bool_or(F.col("severity") == "critical").alias("any_critical"), F.bool_and(F.col("severity").isin("low", "informational")).alias("only_minor"), F.count("*").alias("n"))
@@ -290,13 +271,6 @@ def agg_36_booleans(s, d):
 
 # ---- windows, sorts, sets
 
-@query(f"WITH {E} SELECT repo_key, finding_id, event_id, recorded_at FROM (SELECT *, row_number() OVER (PARTITION BY repo_key, finding_id ORDER BY (actor_kind = 'human') DESC NULLS LAST, recorded_at DESC, event_id DESC) AS rn FROM e WHERE finding_id IS NOT NULL) WHERE rn = 1")
-def win_08_latest_in_tier(s, d):
-    human = F.coalesce(F.col("actor_kind") == "human", F.lit(False))
-    best = ledger(s, d).where("finding_id is not null").groupBy("repo_key", "finding_id").agg(F.max(F.struct(human.alias("human"), "recorded_at", "event_id")).alias("b"))
-    return best.select("repo_key", "finding_id", "b.event_id", "b.recorded_at")
-
-
 @query("WITH m AS (SELECT DISTINCT build_no, key, value FROM meta), u AS (SELECT build_no, key, max(value) AS value FROM m WHERE key IS NOT NULL GROUP BY ALL) SELECT build_no, key, value, lag(value) OVER (PARTITION BY key ORDER BY build_no) AS before FROM u")
 def win_02_previous(s, d):
     one = table(s, d, "meta").where("key is not null").groupBy("build_no", "key").agg(F.max("value").alias("value"))

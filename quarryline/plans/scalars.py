@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import kernels
 from quarryline.functions import text as fx
+from quarryline.operators import dispositions
 from quarryline.plans.registry import registry
 from quarryline.plans.relational import findings, ledger
 from quarryline.workspace import table
@@ -138,21 +139,8 @@ def fn_str_26_redacted(s, d):
 
 @query("""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_key, finding_id ORDER BY loaded_at DESC, row_no DESC) AS rn FROM findings) WHERE rn = 1 AND removed_at IS NULL),
   e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, repo_key ORDER BY recorded_at DESC, row_no DESC) AS rn FROM finding_events) WHERE rn = 1)
-  SELECT f.repo_key, finding_id, e.validity IN ('false_positive', 'hardening') AND actor_kind = 'human' AND coalesce(actor_identity, '') <> '' AS human, e.validity IN ('false_positive', 'hardening') AND actor_kind = 'machine' AND source_type IN ('triage_report', 'validation_report', 'verification_report') AS machine, count(*) AS n
+  SELECT f.repo_key, finding_id, coalesce(e.validity, '') IN ('false_positive', 'hardening') AND actor_kind = 'human' AND coalesce(actor_identity, '') <> '' AS human, coalesce(e.validity, '') IN ('false_positive', 'hardening') AND actor_kind = 'machine' AND source_type IN ('triage_report', 'validation_report', 'verification_report') AS machine, count(*) AS n
   FROM f JOIN e USING (repo_key, finding_id) GROUP BY ALL""")
 def flt_07_adjudications(s, d):
-    e = ledger(s, d).select("repo_key", "finding_id", human_adjudication().alias("human"), machine_adjudication().alias("machine"))
+    e = ledger(s, d).select("repo_key", "finding_id", dispositions.human_verdict().alias("human"), dispositions.machine_verdict().alias("machine"))
     return findings(s, d).select("repo_key", "finding_id").join(e, ["repo_key", "finding_id"]).groupBy("repo_key", "finding_id", "human", "machine").agg(F.count("*").alias("n"))
-
-
-#: Verdicts that set a precedent, and sources of machine verdicts; fixed values.
-PRECEDENTS = ("false_positive", "hardening")
-MACHINE_SOURCES = ("triage_report", "validation_report", "verification_report")
-
-
-def human_adjudication():
-    return F.col("validity").isin(*PRECEDENTS) & (F.col("actor_kind") == "human") & (F.coalesce("actor_identity", F.lit("")) != "")
-
-
-def machine_adjudication():
-    return F.col("validity").isin(*PRECEDENTS) & (F.col("actor_kind") == "machine") & F.col("source_type").isin(*MACHINE_SOURCES)
