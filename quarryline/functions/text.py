@@ -68,6 +68,13 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.trim(path), r"^(?:\./)+", "")
 
 
+def relative_ref(path: Column, root: str) -> Column:
+    """The path below a folder, without ``.`` parts and doubled slashes; NULL if it lies outside it or climbs with ``..``. No link is followed."""
+    plain = F.regexp_replace(F.regexp_replace(path, r"/(?:\./)+", "/"), "/+", "/")
+    inside = plain.startswith(root.rstrip("/") + "/") & ~plain.rlike(r"(^|/)\.\.(/|$)")
+    return F.when(inside, F.substring(plain, len(root.rstrip("/")) + 2, 10_000))
+
+
 def component_paths(paths: Column, file: Column | None = None) -> Column:
     """Sorted distinct paths below vendor directories; if there are none, that of the one file."""
     clean = F.array_sort(F.array_distinct(F.filter(F.transform(paths, vendor_tail), lambda p: p != "")))

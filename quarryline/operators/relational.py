@@ -67,10 +67,25 @@ def append_completed(recorded: DataFrame, arriving: DataFrame, key: list[str], d
     return arriving.where(F.col(day) < today).join(recorded.select(*key).distinct(), key, "left_anti")
 
 
-def carry_forward(df: DataFrame, value: str, by: list[str], order: list[str], default: str) -> Column:
-    """Last value seen so far in each group; default before the first. Groups are sessions, so one fits a task."""
-    frame = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return F.coalesce(F.last(value, ignorenulls=True).over(frame), F.lit(default))
+def with_last(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column], inclusive: bool = True) -> DataFrame:
+    """df with a column for each of values: its last value that isn't NULL in the group so far, the row itself included or not.
+
+    Groups may be of any size: rows are put in order by ranges, of each range and group the last values are taken (as
+    many rows as there are groups and ranges), carried on along a group's ranges, and only within a range does a window
+    run over rows. NULL groups are one group; rows equal in the order come in any order.
+    """
+    base = workspace(df.sparkSession)
+    ranged = df.withColumns({f"__v_{n}": c for n, c in values.items()}).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = materialize(ranged.withColumn("__id", F.monotonically_increasing_id()), f"{base}/placed").withColumn("__part", F.shiftright("__id", 33))
+    last = placed.groupBy(*by, "__part").agg(*[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col("__id"))).alias(f"__l_{n}") for n in values])
+    along = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select(*by, "__part", *[F.last(f"__l_{n}", ignorenulls=True).over(along).alias(f"__c_{n}") for n in values]).select(*[F.col(c).alias(f"__b_{c}") for c in by], F.col("__part").alias("__p"), *[f"__c_{n}" for n in values])
+    inside = W.partitionBy(*by, "__part").orderBy("__id").rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1)
+    own = placed.select("*", *[F.last(f"__v_{n}", ignorenulls=True).over(inside).alias(f"__o_{n}") for n in values])
+    on = F.col("__part") == F.col("__p")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
+    return own.join(carried, on, "left").select(*df.columns, *[F.coalesce(f"__o_{n}", f"__c_{n}").alias(n) for n in values])
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,8 +1,8 @@
 """All queries of the core by name, and their SQL."""
 
-from quarryline.plans import dispositions, graphs, mining, more, problems, relational, rules, scalars
+from quarryline.plans import dispositions, graphs, mining, more, portfolio, problems, relational, rules, scalars, timeline
 from quarryline.streaming import ledger
 
-_MODULES = (problems, relational, more, scalars, graphs, mining, dispositions, rules, ledger)
+_MODULES = (problems, relational, more, scalars, graphs, mining, dispositions, rules, portfolio, timeline, ledger)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

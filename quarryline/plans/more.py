@@ -24,17 +24,6 @@ def query(sql: str | None = None):
     return keep
 
 
-@query(f"""WITH {R}, m AS (SELECT id, split_part(id, ':', 2) AS url FROM nodes WHERE kind = 'repo'), s AS (SELECT split_part(id, '/', -1) AS slug, min(id) AS id FROM nodes WHERE kind = 'repo' GROUP BY 1)
-  SELECT repo_key, coalesce(m.id, s.id) AS node, CASE WHEN m.id IS NOT NULL THEN 'url' WHEN s.id IS NOT NULL THEN 'slug' ELSE 'none' END AS matched_by FROM r LEFT JOIN m ON m.url = regexp_replace(regexp_replace(repo_url, '^https?://', ''), '\\.git$', '') LEFT JOIN s ON s.slug = r.base_slug""")
-def join_22_ladder(s, d):
-    nodes = table(s, d, "nodes").where("kind = 'repo'")
-    by_url = nodes.select(F.get(F.split("id", ":"), F.lit(1)).alias("url"), F.col("id").alias("url_id"))
-    by_slug = nodes.groupBy(F.element_at(F.split("id", "/"), -1).alias("base_slug")).agg(F.min("id").alias("slug_id"))
-    keyed = repos(s, d).select("repo_key", "base_slug", F.regexp_replace(F.regexp_replace("repo_url", "^https?://", ""), r"\.git$", "").alias("url"))
-    tier = F.when(F.col("url_id").isNotNull(), "url").when(F.col("slug_id").isNotNull(), "slug").otherwise("none")
-    return keyed.join(by_url, "url", "left").join(by_slug, "base_slug", "left").select("repo_key", F.coalesce("url_id", "slug_id").alias("node"), tier.alias("matched_by"))
-
-
 @query()
 def join_14_ladder(s, d):
     f = table(s, d, "findings").select("row_no", "repo_key", "finding_id", "fingerprint", F.col("primary_cwe").alias("cwe"), "title", F.from_json("paths", "array<string>").alias("paths"), "loaded_at", "severity").distinct()
@@ -53,29 +42,12 @@ def agg_07_conditional_distinct(s, d):
     return links(s, d).groupBy("rel").agg(F.countDistinct(F.when(F.get_json_object("attrs", "$.indirect") == "true", F.col("src"))).alias("n_src_indirect"), F.countDistinct("src").alias("n_src"))
 
 
-@query(f"WITH {FI}, c AS (SELECT repo_key, unnest(regexp_extract_all(control_refs, '[a-z]+:[A-Z]+-\\d+')) AS ref FROM f WHERE control_refs IS NOT NULL) SELECT repo_key, count(*) AS n_refs, count(DISTINCT ref) AS n_controls FROM c GROUP BY 1")
-def agg_30_controls(s, d):
-    refs = findings(s, d).where("control_refs is not null").select("repo_key", F.explode(F.regexp_extract_all("control_refs", F.lit(r"([a-z]+:[A-Z]+-\d+)"), F.lit(1))).alias("ref"))
-    return refs.groupBy("repo_key").agg(F.count("*").alias("n_refs"), F.countDistinct("ref").alias("n_controls"))
-
-
 @query(f"WITH {FI}, p AS (SELECT severity, count(*) FILTER (WHERE validity = 'confirmed') AS confirmed, count(*) FILTER (WHERE validity = 'false_positive') AS false_positive, count(*) FILTER (WHERE validity = 'hardening') AS hardening FROM f GROUP BY 1) SELECT * FROM p")
 def agg_32_33_pivot(s, d):
     names = ["confirmed", "false_positive", "hardening"]
     return findings(s, d).groupBy("severity").pivot("validity", names).agg(F.count(F.lit(1))).select("severity", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
-@query(f"WITH {R} SELECT tree, min(loaded_at) AS first_loaded, CASE WHEN bool_or(ref IS NULL) THEN NULL ELSE max(loaded_at) END AS last_loaded FROM r GROUP BY 1")
-def agg_40_window(s, d):
-    return repos(s, d).groupBy("tree").agg(F.min("loaded_at").alias("first_loaded"), F.when(F.bool_or(F.col("ref").isNull()), F.lit(None)).otherwise(F.max("loaded_at")).alias("last_loaded"))
-
-
-@query(f"WITH {E} SELECT repo_key, source_type, event_id, recorded_at FROM (SELECT *, row_number() OVER (PARTITION BY repo_key, source_type ORDER BY recorded_at DESC, event_id) AS rn FROM e) WHERE rn = 1")
-def win_01_latest(s, d):
-    newest = ledger(s, d).groupBy("repo_key", "source_type").agg(F.min_by(F.struct("event_id", "recorded_at"), F.struct((-F.unix_seconds(F.substring("recorded_at", 1, 19).cast("timestamp"))).alias("t"), "event_id")).alias("b"))
-    return newest.select("repo_key", "source_type", "b.event_id", "b.recorded_at")
-
-
 @query(f"WITH {L} SELECT DISTINCT l.dst AS repo, l.src AS product FROM l JOIN nodes n ON n.id = l.src AND n.kind IN ('product', 'segment', 'release') WHERE rel IN ('contains', 'includes', 'owns')")
 def grf_08_products(s, d):
     kinds = table(s, d, "nodes").where(F.col("kind").isin("product", "segment", "release")).select(F.col("id").alias("src"))

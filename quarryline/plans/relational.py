@@ -143,11 +143,6 @@ def flt_01_tree_subset(s, d):
     return repos(s, d).where(F.col("tree").isin("findings", "upstream") & (F.coalesce("ownership", F.lit("")) != "harness-qa")).select("repo_key", "tree")
 
 
-@query(f"""WITH {R} SELECT min(repo_key) AS repo_key, base_slug FROM r WHERE is_branch_audit = 0 AND report_kind = 'code-audit' AND repo_url LIKE 'http%' GROUP BY base_slug""")
-def flt_04_head_repos(s, d):
-    return repos(s, d).where((F.col("is_branch_audit") == 0) & (F.col("report_kind") == "code-audit") & F.col("repo_url").startswith("http")).groupBy("base_slug").agg(F.min("repo_key").alias("repo_key"))
-
-
 _PATHS = f"{FI}, p AS (SELECT repo_key, finding_id, unnest(from_json(paths, '[\"VARCHAR\"]')) AS path FROM f)"
 
 
@@ -155,17 +150,6 @@ def finding_paths(s, d):
     return findings(s, d).select("repo_key", "finding_id", "severity", "primary_cwe", F.explode(F.from_json("paths", "array<string>")).alias("path"))
 
 
-@query(f"WITH {_PATHS} SELECT path LIKE '%fixture%' AS is_fixture, count(*) AS n, count(DISTINCT path) AS n_paths FROM p WHERE path IS NOT NULL GROUP BY 1")
-def flt_05_path_predicates(s, d):
-    return finding_paths(s, d).where("path is not null").groupBy(F.col("path").contains("fixture").alias("is_fixture")).agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_paths"))
-
-
-@query(f"WITH {FI} SELECT count(*) FILTER (WHERE primary_cwe IN ('CWE-20', 'CWE-79', 'CWE-94')) AS n_kept, count(*) FILTER (WHERE primary_cwe NOT IN ('CWE-20', 'CWE-79', 'CWE-94')) AS n_suppressed FROM f")
-def flt_06_allowlist(s, d):
-    allowed = F.col("primary_cwe").isin("CWE-20", "CWE-79", "CWE-94")
-    return findings(s, d).agg(F.count_if(allowed).alias("n_kept"), F.count_if(~allowed).alias("n_suppressed"))
-
-
 # ---- joins
 
 @query(f"WITH {R}, {FI} SELECT f.repo_key, finding_id, tree, business_unit FROM f JOIN r USING (repo_key)")
@@ -173,13 +157,6 @@ def join_01_findings_repos(s, d):
     return findings(s, d).join(repos(s, d).select("repo_key", "tree", "business_unit"), "repo_key").select("repo_key", "finding_id", "tree", "business_unit")
 
 
-@query(f"""WITH {L}, both_ways AS (SELECT dst AS node, src AS owner FROM l WHERE rel = 'owned-by' UNION SELECT src, dst FROM l WHERE rel = 'owned-by')
-  SELECT node, min(owner) AS owner FROM both_ways GROUP BY 1""")
-def join_02_owner_both_ways(s, d):
-    owned = links(s, d).where("rel = 'owned-by'")
-    return owned.select(F.col("dst").alias("node"), F.col("src").alias("owner")).unionByName(owned.select(F.col("src").alias("node"), F.col("dst").alias("owner"))).distinct().groupBy("node").agg(F.min("owner").alias("owner"))
-
-
 @query(f"WITH {L} SELECT n.id, coalesce((SELECT min(l.dst) FROM l WHERE l.src = n.id AND l.rel = 'owned-by'), '(unassigned)') AS owner FROM (SELECT DISTINCT id FROM nodes) n")
 def join_03_owner_default(s, d):
     owner = links(s, d).where("rel = 'owned-by'").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("owner"))
@@ -199,12 +176,6 @@ def join_07_refs(s, d):
     return chosen.join(nodes.where(F.col("kind").isin("repo", "category")).select(F.col("id").alias("src")), "src").join(nodes.where("kind = 'repo-ref'").select(F.col("id").alias("dst"), "label"), "dst").select("src", "dst", "label")
 
 
-@query(f"""WITH {R}, t AS (SELECT DISTINCT split_part(label, '/', -1) AS tail FROM nodes WHERE kind = 'repo') SELECT r.repo_key FROM r WHERE regexp_replace(split_part(repo_url, '/', -1), '\\.git$', '') IN (SELECT tail FROM t)""")
-def join_11_suffix(s, d):
-    tails = table(s, d, "nodes").where("kind = 'repo'").select(F.element_at(F.split("label", "/"), -1).alias("tail")).distinct()
-    return repos(s, d).withColumn("tail", F.regexp_replace(F.element_at(F.split("repo_url", "/"), -1), r"\.git$", "")).join(tails, "tail", "left_semi").select("repo_key")
-
-
 @query(f"WITH {R}, {E}, dirs AS (SELECT repo_dir, arg_min(repo_key, (is_branch_audit, repo_key)) AS repo_key FROM r GROUP BY 1), x AS (SELECT event_id, e.repo_key AS named, split_part(e.repo_key, '/', -2) AS dir FROM e) SELECT event_id, named, d.repo_key FROM x LEFT JOIN dirs d ON d.repo_dir = x.dir")
 def join_12_directory_key(s, d):
     dirs = repos(s, d).groupBy("repo_dir").agg(F.min_by("repo_key", F.struct("is_branch_audit", "repo_key")).alias("repo_key"))
@@ -212,18 +183,10 @@ def join_12_directory_key(s, d):
     return named.join(dirs, "repo_dir", "left").select("event_id", "named", "repo_key")
 
 
-@query("""WITH v AS (SELECT src, dst, json_extract_string(max(attrs), '$.version') AS version FROM edges WHERE rel = 'depends_on' GROUP BY ALL), k AS (SELECT *, list_transform(string_split(regexp_extract(version, '^v?(\\d+(?:\\.\\d+)*)', 1), '.'), lambda x: CAST(x AS BIGINT)) AS key FROM v WHERE version IS NOT NULL)
-  SELECT src, dst, version, key >= [1, 0] AND key < [3, 5] AS affected FROM k""")
-def join_15_version_range(s, d):
-    versioned = links(s, d).where("rel = 'depends_on'").select("src", "dst", F.get_json_object("attrs", "$.version").alias("version")).where("version is not null")
-    advisories = s.createDataFrame([("1.0", "3.5")], "lower string, upper string")  # one advisory: the side to broadcast
-    return versioned.join(F.broadcast(advisories), F.lit(True)).select("src", "dst", "version", fx.in_range(F.col("version"), F.col("lower"), F.col("upper")).alias("affected"))
-
-
 @query(f"WITH {E}, k AS (SELECT repo_key, event_id, recorded_at, CASE WHEN source_type = 'routing' THEN actor_identity END AS signal FROM e) SELECT repo_key, event_id, coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY repo_key ORDER BY recorded_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unattributed') AS active FROM k")
 def join_16_win_06_locf(s, d):
     marked = ledger(s, d).select("repo_key", "event_id", "recorded_at", F.when(F.col("source_type") == "routing", F.col("actor_identity")).alias("signal"))
-    return marked.select("repo_key", "event_id", rel.carry_forward(marked, "signal", ["repo_key"], ["recorded_at", "event_id"], "unattributed").alias("active"))
+    return rel.with_last(marked, ["repo_key"], ["recorded_at", "event_id"], {"active": F.col("signal")}).select("repo_key", "event_id", F.coalesce("active", F.lit("unattributed")).alias("active"))
 
 
 @query(f"WITH {FI}, {E} SELECT repo_key, finding_id FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.repo_key = f.repo_key AND e.finding_id = f.finding_id)")
@@ -244,16 +207,6 @@ def agg_01_by_rel(s, d):
     return links(s, d).groupBy("rel").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {R} SELECT tree, report_kind, count(*) AS n, count(DISTINCT base_slug) AS n_slugs, sum(is_branch_audit)::BIGINT AS n_branch FROM r GROUP BY ROLLUP (tree, report_kind)")
-def agg_09_rollup(s, d):
-    return repos(s, d).rollup("tree", "report_kind").agg(F.count("*").alias("n"), F.countDistinct("base_slug").alias("n_slugs"), F.sum("is_branch_audit").cast("bigint").alias("n_branch"))
-
-
-@query("SELECT tree, severity, grouping_id(tree, severity)::BIGINT AS level, count(*) AS n FROM repos JOIN findings USING (repo_key) GROUP BY CUBE (tree, severity)")
-def agg_16_18_cube(s, d):
-    return table(s, d, "repos").select("repo_key", "tree").join(table(s, d, "findings").select("repo_key", "severity"), "repo_key").cube("tree", "severity").agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("n"))
-
-
 @query(f"WITH {FI}, d AS (SELECT severity, date_diff('day', CAST(min_loaded AS DATE), CAST(loaded_at AS DATE)) AS days FROM (SELECT f.*, (SELECT min(loaded_at) FROM findings) AS min_loaded FROM f)), s AS (SELECT severity, days, row_number() OVER (PARTITION BY severity ORDER BY days) - 1 AS i, count(*) OVER (PARTITION BY severity) AS n FROM d) SELECT severity, days::INT AS median_days FROM s WHERE i = n // 2")
 def agg_12_upper_median(s, d):
     first = table(s, d, "findings").agg(F.min("loaded_at").alias("first_at"))
@@ -271,25 +224,6 @@ def agg_36_booleans(s, d):
 
 # ---- windows, sorts, sets
 
-@query("WITH m AS (SELECT DISTINCT build_no, key, value FROM meta), u AS (SELECT build_no, key, max(value) AS value FROM m WHERE key IS NOT NULL GROUP BY ALL) SELECT build_no, key, value, lag(value) OVER (PARTITION BY key ORDER BY build_no) AS before FROM u")
-def win_02_previous(s, d):
-    one = table(s, d, "meta").where("key is not null").groupBy("build_no", "key").agg(F.max("value").alias("value"))
-    return one.select("build_no", "key", "value", F.lag("value").over(W.partitionBy("key").orderBy("build_no")).alias("before"))
-
-
-@query("WITH m AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, day, n, n - lag(n) OVER w AS delta, first_value(n) OVER (PARTITION BY event_type ORDER BY day) AS first_n FROM m WINDOW w AS (PARTITION BY event_type ORDER BY day)")
-def win_04_05_delta(s, d):
-    daily = table(s, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
-    w = W.partitionBy("event_type").orderBy("day")
-    return daily.select("event_type", "day", "n", (F.col("n") - F.lag("n").over(w)).alias("delta"), F.first("n").over(w).alias("first_n"))
-
-
-@query("WITH o AS (SELECT feed_pos, log_no, changed_at, lag(changed_at) OVER (PARTITION BY log_no ORDER BY log_pos, feed_pos) AS before FROM event_changes) SELECT log_no, count(*) FILTER (WHERE changed_at < before) AS n_backward FROM o GROUP BY 1")
-def win_07_monotonic(s, d):
-    w = W.partitionBy("log_no").orderBy("log_pos", "feed_pos")
-    return table(s, d, "event_changes").withColumn("before", F.lag("changed_at").over(w)).groupBy("log_no").agg(F.count_if(F.col("changed_at") < F.col("before")).alias("n_backward"))
-
-
 @query(f"WITH {E} SELECT repo_key, finding_id, min(recorded_at) AS first_at, min(recorded_at) FILTER (WHERE source_type = 'jira_filing') AS filed_at, max(recorded_at) FILTER (WHERE resolution = 'resolved') AS resolved_at FROM e GROUP BY ALL")
 def win_10_11_clock(s, d):
     at = lambda c: F.when(c, F.col("recorded_at"))
@@ -303,40 +237,11 @@ def win_12_top_refs(s, d):
     return c.orderBy(F.desc("n"), part(0).desc(), part(1).desc()).limit(5)
 
 
-@query("WITH c AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS gap FROM events), i AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM c) SELECT user_id, island::BIGINT AS island, count(*) AS n FROM i GROUP BY ALL")
-def win_16_islands(s, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = (F.col("ts") - F.lag("ts").over(w)) > F.expr("interval 6 hours")
-    return table(s, d, "events").withColumn("gap", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("island", F.sum("gap").over(w)).groupBy("user_id", "island").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {FI} SELECT repo_key, finding_id, cvss_score FROM f WHERE NOT isnan(cvss_score) ORDER BY cvss_score DESC NULLS LAST, repo_key, finding_id LIMIT 100")
-def sort_02_escalations(s, d):
-    return findings(s, d).where(~F.isnan("cvss_score")).orderBy(F.desc_nulls_last("cvss_score"), "repo_key", "finding_id").select("repo_key", "finding_id", "cvss_score").limit(100)
-
-
-@query(f"WITH {R}, {FI} SELECT repo_key FROM r EXCEPT SELECT repo_key FROM f")
-def set_03_except(s, d):
-    return repos(s, d).select("repo_key").exceptAll(findings(s, d).select("repo_key").distinct())
-
-
 @query("SELECT src AS id FROM edges INTERSECT SELECT id FROM nodes")
 def set_04_intersect(s, d):
     return table(s, d, "edges").select(F.col("src").alias("id")).intersect(table(s, d, "nodes").select("id"))
 
 
-@query("SELECT id FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM nodes)")
-def set_05_missing_nodes(s, d):
-    e = table(s, d, "edges")
-    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().join(table(s, d, "nodes").select("id"), "id", "left_anti")
-
-
-@query("WITH p AS (SELECT row_no, from_json(paths, '[\"VARCHAR\"]') AS a, from_json(cwes, '[\"VARCHAR\"]') AS b FROM (SELECT DISTINCT row_no, paths, cwes FROM findings)) SELECT row_no, CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS shared FROM p WHERE a IS NOT NULL AND b IS NOT NULL")
-def set_07_jaccard(s, d):
-    strings = lambda c: F.from_json(c, "array<string>")
-    return table(s, d, "findings").where("paths is not null and cwes is not null").select("row_no", "paths", "cwes").distinct().select("row_no", F.round(rel.jaccard(strings("paths"), strings("cwes")), 6).alias("shared"))
-
-
 # ---- graph
 
 @query("""WITH RECURSIVE g AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'depends_on'), start AS (SELECT DISTINCT src AS origin FROM g WHERE src LIKE 'repo:%'),
@@ -360,26 +265,6 @@ def fn_math_02_bands(s, d):
     return findings(s, d).select("repo_key", "finding_id", fx.cvss_band(F.col("cvss_score")).alias("band"), fx.cwe_number(F.col("primary_cwe")).alias("cwe_no"))
 
 
-@query("""SELECT 'findings' AS artifact, 'duplicate_id' AS rule, count(*) AS n FROM (SELECT repo_key, finding_id FROM findings GROUP BY ALL HAVING count(DISTINCT row_no) > 1)
-  UNION ALL SELECT 'findings', 'missing_fingerprint', count(*) FROM findings WHERE fingerprint IS NULL
-  UNION ALL SELECT 'findings', 'cvss_out_of_range', count(*) FROM findings WHERE cvss_score < 0 OR (cvss_score > 10 AND NOT isnan(cvss_score))
-  UNION ALL SELECT 'events', 'duplicate_id', count(*) FROM (SELECT event_id, repo_key FROM finding_events GROUP BY ALL HAVING count(DISTINCT row_no) > 1)
-  UNION ALL SELECT 'edges', 'missing_end', count(*) FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)""")
-def job_22_quality_rules(s, d):
-    f, e, g, n = table(s, d, "findings"), table(s, d, "finding_events"), table(s, d, "edges"), table(s, d, "nodes").select("id").distinct()
-    row = lambda df, artifact, rule: df.agg(F.count("*").alias("n")).select(F.lit(artifact).alias("artifact"), F.lit(rule).alias("rule"), "n")
-    repeated = lambda df, *key: df.groupBy(*key).agg(F.countDistinct("row_no").alias("k")).where("k > 1")
-    ends = g.join(n.withColumnsRenamed({"id": "src"}).withColumn("a", F.lit(1)), "src", "left").join(n.withColumnsRenamed({"id": "dst"}).withColumn("b", F.lit(1)), "dst", "left").where("a is null or b is null")
-    out = [row(repeated(f, "repo_key", "finding_id"), "findings", "duplicate_id"), row(f.where("fingerprint is null"), "findings", "missing_fingerprint"), row(f.where("cvss_score < 0 or (cvss_score > 10 and not isnan(cvss_score))"), "findings", "cvss_out_of_range"), row(repeated(e, "event_id", "repo_key"), "events", "duplicate_id"), row(ends, "edges", "missing_end")]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
-
-
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def scan_pushdown(s, d):
     return table(s, d, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
-
-
-@query("SELECT event_type, ts::DATE AS day, count(*) AS n FROM events WHERE ts::DATE < DATE '2024-01-20' AND ts::DATE >= DATE '2024-01-10' GROUP BY ALL")
-def snk_08_completed_days(s, d):
-    daily = table(s, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return rel.append_completed(daily.where("day < date'2024-01-10'"), daily, ["event_type", "day"], "day", F.expr("date'2024-01-20'"))

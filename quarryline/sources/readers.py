@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from quarryline.workspace import exists
 
 #: Suffix of a report's file name -> its kind; fixed values.
 KINDS = {"security-audit": "code-audit", "cloud-config-audit": "cloud-config", "container-audit": "container-audit"}
@@ -31,20 +36,41 @@ def json_documents(spark: SparkSession, paths: str | list[str], schema: str) ->
     return text.select("path", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("doc"), F.try_parse_json("value").alias("raw")).withColumn("doc", F.when(F.col("raw").isNotNull(), F.col("doc")))
 
 
+def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, line_no (from 0), line of text files of any size, which are read in splits.
+
+    A split numbers its lines from its start; the numbers of the splits before it in its file are added, which are one
+    row for each split.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line"))
+    blocks = lines.groupBy("path", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("path").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select("path", "__block", "__first", before.alias("__before"))
+    return lines.join(placed, ["path", "__block"]).select("path", (F.col("__id") - F.col("__first") + F.col("__before")).alias("line_no"), "line")
+
+
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str, containing: list[str] | None = None) -> DataFrame:
     """path, line_no, doc of every line that is a JSON object, in the order of the file; blank and bad lines are skipped.
 
     A cheap test for any of the given parts runs before the parser.
     """
-    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    lines = text_lines(spark, paths)
     if containing:
-        wanted = F.lit(False)
-        for part in containing:
-            wanted = wanted | F.contains(F.col("line"), F.lit(part))
-        lines = lines.where(wanted)
+        lines = lines.where(reduce(lambda a, b: a | b, [F.contains(F.col("line"), F.lit(part)) for part in containing]))
     return lines.where(F.try_parse_json("line").isNotNull()).select("path", "line_no", F.from_json("line", schema).alias("doc")).where("doc is not null")
 
 
+def json_lines_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """json_lines of a file or folder, or no rows if it doesn't exist."""
+    return json_lines(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], f"path string, line_no bigint, doc struct<{_colons(schema)}>")
+
+
+def _colons(schema: str) -> str:
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(schema).simpleString()[7:-1]
+
+
 def verified(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
     """path, content of files whose SHA-256 is the expected one (path, sha256)."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).join(expected, "path").where(F.sha2("content", 256) == F.col("sha256")).select("path", "content")
