@@ -42,29 +42,114 @@ def go_mod(text: str) -> Parsed:
     return declared, deps
 
 
+def npm_alias(value) -> tuple[str, str] | None:
+    """Real name and version of ``npm:name@version``; None for anything else."""
+    if not isinstance(value, str) or not value.startswith("npm:") or len(value) == 4:
+        return None
+    at = value.find("@", 5)
+    return (value[4:], "") if at < 0 else (value[4:at], value[at + 1 :].lstrip("^~="))
+
+
 def package_json(text: str) -> Parsed:
     doc = json.loads(text)
-    deps = [(n, str(v), False) for part in ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies") for n, v in (doc.get(part) or {}).items()]
-    return doc.get("name"), deps
+    deps = []
+    for part in ("dependencies", "devDependencies"):
+        for name, value in (doc.get(part) or {}).items():
+            real, version = npm_alias(value) or (name, value.lstrip("^~") if isinstance(value, str) else "")
+            deps.append((real, version, False))
+    return doc.get("name") or None, deps
 
 
 def package_lock(text: str) -> Parsed:
     doc = json.loads(text)
-    root = (doc.get("packages") or {}).get("") or {}
+    packages = doc.get("packages") or {}
+    root = packages.get("") or {}
     direct = {n for part in ("dependencies", "devDependencies") for n in root.get(part) or {}}
-    deps = [(p.rpartition("node_modules/")[2], v.get("version"), p.rpartition("node_modules/")[2] not in direct) for p, v in (doc.get("packages") or {}).items() if p]
-    return doc.get("name"), deps or [(n, v.get("version"), False) for n, v in (doc.get("dependencies") or {}).items()]
+    deps = []
+    for path, entry in packages.items():
+        folder = path.rpartition("node_modules/")[2]
+        if path and entry.get("version"):
+            deps.append((entry.get("name") or folder, entry["version"], folder not in direct))
+    return root.get("name") or doc.get("name"), deps
+
+
+#: Headings of the blocks that list direct dependencies; fixed values.
+PNPM_DIRECT = ("dependencies", "devDependencies", "optionalDependencies")
+
+
+def pnpm_lock(text: str) -> Parsed:
+    """Entries ``name@version`` of packages; those listed as dependencies of the root or of a workspace are direct. Older keys with a slash are left out."""
+    doc = _yaml(text) or {}
+    holders = [doc, *(doc.get("importers") or {}).values()]
+    direct = {n for h in holders for part in PNPM_DIRECT for n in (h.get(part) or {})}
+    deps = []
+    for key in doc.get("packages") or {}:
+        name, at, version = str(key).lstrip("/").partition("(")[0].rpartition("@")
+        if at and name and version:
+            deps.append((name, version, name not in direct))
+    return None, deps
+
+
+def yarn_lock(text: str) -> Parsed:
+    """Resolved versions of the entries of a yarn.lock; which are direct it doesn't tell."""
+    deps, name = [], None
+    for line in text.splitlines():
+        if line and not line[0].isspace() and line.rstrip().endswith(":") and not line.startswith("#"):
+            first = line.split(",")[0].strip().strip('":')
+            name = first[: first.find("@", 1)] if "@" in first[1:] else None
+        elif name and (m := re.match(r"""\s+version:?\s+["']?([^"'\s]+)""", line)):
+            deps.append((name, m[1], True))
+            name = None
+    return None, [d for d in deps if d[0] != "__metadata"]
+
+
+def pep508(text: str) -> tuple[str, str] | None:
+    """Normalized name and first version of a requirement; an empty version if it has none."""
+    m = re.match(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*\(?\s*(?:(?:===|==|>=|<=|~=|!=|<|>)\s*([^\s,;)#]+))?", text)
+    return (pep503(m[1]), m[2] or "") if m else None
 
 
 def requirements(text: str) -> Parsed:
+    """Lines that state a version; comments, options and markers are left out."""
     deps = []
     for line in text.splitlines():
-        m = re.match(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*(?:(?:===?|~=|>=|<=|!=|<|>)\s*([^\s,;#]+))?", line)
-        if m and not line.lstrip().startswith(("-", "#")):
-            deps.append((pep503(m[1]), m[2], False))
+        plain = re.split(r"[#;]", line)[0].strip()
+        found = pep508(plain) if plain and not plain.startswith("-") else None
+        if found and found[1]:
+            deps.append((*found, False))
     return None, deps
 
 
+def setup_py(text: str) -> Parsed:
+    name = re.search(r"""\bname\s*=\s*['"]([^'"]+)""", text)
+    listed = re.search(r"install_requires\s*=\s*\[([\s\S]*?)\]", text)
+    found = [pep508(q) for q in re.findall(r"""['"]([^'"]+)['"]""", listed[1])] if listed else []
+    return name[1] if name else None, [(*f, False) for f in found if f]
+
+
+def environment_yml(text: str) -> Parsed:
+    """Conda's dependencies, without channel and build, and those that pip takes."""
+    deps = []
+    for item in (_yaml(text) or {}).get("dependencies") or []:
+        if isinstance(item, dict):
+            deps += [(*f, False) for f in map(pep508, map(str, item.get("pip") or [])) if f]
+        elif m := re.match(r"(?:\S+::)?([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:(?:==|>=|<=|!=|~=|=)\s*([^\s=]+))?", str(item)):
+            deps.append((pep503(m[1]), m[2] or "", False))
+    return None, deps
+
+
+def helm_chart(text: str) -> Parsed:
+    doc = _yaml(text) or {}
+    return doc.get("name"), [(str(x["name"]), str(x.get("version") or ""), False) for x in doc.get("dependencies") or [] if isinstance(x, dict) and x.get("name")]
+
+
+def _yaml(text: str):
+    """A YAML document with all scalars as text; an error without the package."""
+    import yaml
+
+    return yaml.load(text, Loader=yaml.BaseLoader)
+
+
 def pep503(name: str) -> str:
     return re.sub(r"[-_.]+", "-", name).lower()
 
@@ -73,8 +158,11 @@ def pyproject(text: str) -> Parsed:
     doc = tomllib.loads(text)
     project, poetry = doc.get("project") or {}, (doc.get("tool") or {}).get("poetry") or {}
     listed = [*project.get("dependencies", []), *[x for v in (project.get("optional-dependencies") or {}).values() for x in v]]
-    deps = requirements("\n".join(listed))[1]
-    deps += [(pep503(n), v if isinstance(v, str) else (v or {}).get("version"), False) for n, v in (poetry.get("dependencies") or {}).items() if n.lower() != "python"]
+    deps = [(*f, False) for f in map(pep508, listed) if f]
+    groups = [poetry.get("dependencies") or {}, poetry.get("dev-dependencies") or {}, *[(g.get("dependencies") or {}) for g in (poetry.get("group") or {}).values()]]
+    for name, value in ((n, v) for g in groups for n, v in g.items() if n.lower() != "python"):
+        version = value if isinstance(value, str) else (value or {}).get("version", "") if isinstance(value, dict) else ""
+        deps.append((pep503(name), version.lstrip("^~=<>! "), False))
     return project.get("name") or poetry.get("name"), deps
 
 
@@ -94,7 +182,16 @@ def cargo_toml(text: str) -> Parsed:
 
 
 def gemfile_lock(text: str) -> Parsed:
-    return None, [(m[1], m[2], False) for m in re.finditer(r"^    ([A-Za-z0-9._-]+) \(([^)]+)\)$", text, re.M)]
+    """Versions pinned under ``specs:``; deeper lines are constraints of those, and what is direct it doesn't tell."""
+    deps, inside = [], False
+    for line in text.splitlines():
+        if line.strip() == "specs:":
+            inside = True
+        elif line and not line[0].isspace():
+            inside = False
+        elif inside and (m := re.match(r"    ([A-Za-z0-9._-]+) \((\d[A-Za-z0-9._+-]*)\)\s*$", line)):
+            deps.append((m[1], m[2], True))
+    return None, deps
 
 
 def gemfile(text: str) -> Parsed:
@@ -113,11 +210,23 @@ def pom(text: str) -> Parsed:
         for _ in range(10):
             if value is None or "${" not in value:
                 return value
-            value = re.sub(r"\$\{([^}]+)\}", lambda m: props.get(m[1], m[0]), value)
+            value = re.sub(r"\$\{([^}]+)\}", lambda m: props.get(m[1]) or m[0], value)
         return None
 
-    deps = [(f"{filled(get(e, 'groupId'))}:{filled(get(e, 'artifactId'))}", filled(get(e, "version")), False) for e in root.iter() if e.tag.rpartition("}")[2] == "dependency" and get(e, "artifactId")]
-    return f"{get(root, 'groupId')}:{get(root, 'artifactId')}" if get(root, "artifactId") else None, deps
+    listed = [d for part in root if part.tag.rpartition("}")[2] in ("dependencies", "dependencyManagement") for d in part.iter() if d.tag.rpartition("}")[2] == "dependency"]
+    parent = next((c for c in root if c.tag.rpartition("}")[2] == "parent"), None)
+    group = get(root, "groupId") or (get(parent, "groupId") if parent is not None else None)
+    props["project.groupId"] = props["project.groupId"] or group or ""
+    props["project.version"] = props["project.version"] or (get(parent, "version") if parent is not None else None) or ""
+    deps, seen = [], set()
+    for d in listed:
+        names = [filled(get(d, tag)) for tag in ("groupId", "artifactId")]
+        version = filled(get(d, "version"))
+        # a version that is stated and can't be resolved says nothing about what is used
+        if all(names) and not (version is None and get(d, "version")) and tuple(names) not in seen:
+            seen.add(tuple(names))
+            deps.append((":".join(names), version or "", False))
+    return f"{group}:{get(root, 'artifactId')}" if get(root, "artifactId") else None, deps
 
 
 def gradle_lock(text: str) -> Parsed:
@@ -161,7 +270,7 @@ def workflow(text: str) -> Parsed:
 
 #: File name pattern -> parser; the first that fits counts.
 PARSERS: list[tuple[str, Callable[[str], Parsed]]] = [
-    (r"(^|/)go\.mod$", go_mod), (r"(^|/)(package-lock|npm-shrinkwrap)\.json$", package_lock), (r"(^|/)package\.json$", package_json), (r"(^|/)(poetry|Cargo|uv)\.lock$", toml_lock),
+    (r"(^|/)go\.mod$", go_mod), (r"(^|/)pnpm-lock\.ya?ml$", pnpm_lock), (r"(^|/)yarn\.lock$", yarn_lock), (r"(^|/)setup\.py$", setup_py), (r"(^|/)environment\.ya?ml$", environment_yml), (r"(^|/)(Chart|requirements)\.ya?ml$", helm_chart), (r"(^|/)(package-lock|npm-shrinkwrap)\.json$", package_lock), (r"(^|/)package\.json$", package_json), (r"(^|/)(poetry|Cargo|uv)\.lock$", toml_lock),
     (r"(^|/)Pipfile\.lock$", pipfile_lock), (r"(^|/)(requirements|constraints)[^/]*\.txt$", requirements), (r"(^|/)pyproject\.toml$", pyproject), (r"(^|/)Cargo\.toml$", cargo_toml),
     (r"(^|/)Gemfile\.lock$", gemfile_lock), (r"(^|/)(Gemfile|[^/]+\.gemspec)$", gemfile), (r"(^|/)pom\.xml$", pom), (r"(^|/)gradle\.lockfile$", gradle_lock), (r"(^|/)build\.gradle(\.kts)?$", build_gradle),
     (r"(^|/)packages\.lock\.json$", packages_lock), (r"\.csproj$", csproj), (r"(^|/)(Dockerfile|Containerfile)[^/]*$", dockerfile), (r"(^|/)\.github/workflows/[^/]+\.ya?ml$", workflow),

@@ -85,11 +85,6 @@ def src_03_companions(s, d):
     return repos(s, d).select("repo_key", F.explode(F.array(*[F.struct(F.lit(v).alias("family"), F.col(k).alias("path")) for k, v in ARTIFACTS.items()])).alias("a")).select("repo_key", "a.family", "a.path").where("path is not null")
 
 
-@query(f"WITH {R}, p AS ({_ARTIFACT_SQL}) SELECT family, count(*) AS n, count(DISTINCT path) AS n_paths FROM p GROUP BY 1")
-def snk_09_ingest_plan(s, d):
-    return src_03_companions(s, d).groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_paths"))
-
-
 @query(f"WITH {R} SELECT repo_key, coalesce(findings_current, audit_json) AS path FROM r WHERE coalesce(findings_current, audit_json) IS NOT NULL")
 def src_21_report_sweep(s, d):
     current = repos(s, d).where("findings_current is not null").select("repo_key", F.col("findings_current").alias("path"))

@@ -30,9 +30,9 @@ def reports(files: DataFrame) -> DataFrame:
     return named.groupBy("folder", "base").agg(kind.alias("report_kind"), audit("json").alias("audit_json"), audit("md").alias("audit_md"), at("findings-current", "json").alias("findings_current"), at("findings-layer", "json").alias("findings_layer"), at("triage", "json").alias("triage_json"), at("threat-model", "md").alias("threat_model"), at("priv-profile", "json").alias("priv_profile"))
 
 
-def json_documents(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+def json_documents(spark: SparkSession, paths: str | list[str], schema: str, recursive: bool = False) -> DataFrame:
     """One row per file: path, doc by schema, raw as a variant with the unknown keys; both NULL if the file isn't JSON."""
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.text(paths, wholetext=True, recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("path"), "value")
     return text.select("path", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("doc"), F.try_parse_json("value").alias("raw")).withColumn("doc", F.when(F.col("raw").isNotNull(), F.col("doc")))
 
 
@@ -96,3 +96,45 @@ def manifests(files: DataFrame) -> DataFrame:
 
     parsed = files.select("path", manifest(F.col("path"), F.col("text")).alias("m"))
     return parsed.select("path", F.col("m.declared").alias("declared"), F.explode("m.deps").alias("d")).select("path", "declared", "d.*")
+
+
+def language_cache(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(repo, language, bytes) of lines ``{repo, languages: {name: bytes}}``."""
+    lines = json_lines(spark, paths, "repo string, languages map<string,bigint>")
+    return lines.select("doc.repo", F.explode("doc.languages").alias("language", "bytes"))
+
+
+def rule_packs(files: DataFrame) -> DataFrame:
+    """(path, rule, cwe, language) of rule packs (path, text) in YAML, one row for each weakness and language of a rule; a file that can't be read has none."""
+    from quarryline.functions.scanners import yaml_documents
+
+    schema = "rules array<struct<id:string,languages:array<string>,metadata:struct<cwe:array<string>>>>"
+    rules = files.select("path", F.explode(yaml_documents("text")).alias("t")).select("path", F.explode(F.from_json("t", schema)["rules"]).alias("r"))
+    named = rules.select("path", F.col("r.id").alias("rule"), F.explode("r.metadata.cwe").alias("c"), F.col("r.languages").alias("l"))
+    return named.select("path", "rule", F.regexp_extract("c", r"(?i)(CWE-\d+)", 1).alias("cwe"), F.explode("l").alias("language")).where("cwe <> ''")
+
+
+def assessments(spark: SparkSession, root: str) -> DataFrame:
+    """(path, target, framework, generated_at, state) of compliance assessments below a folder: frameworks covered, and those skipped with the reason."""
+    schema = "metadata struct<artifact:string,generated_at:string,target:struct<environment:string,product:string,repos:array<string>>,skipped_frameworks:map<string,string>>, coverage map<string,string>"
+    kept = json_documents(spark, root, schema, recursive=True).where("doc.metadata.artifact = 'compliance-assessment'")
+    t = F.col("doc.metadata.target")
+    target = F.coalesce(F.nullif(t["environment"], F.lit("")), F.nullif(t["product"], F.lit("")), F.nullif(F.array_join(t["repos"], ","), F.lit("")), F.lit("(unnamed)"))
+    part = lambda c, state: F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("framework"), (F.lit(state) if state else e["value"]).alias("state")))
+    every = F.concat(F.coalesce(part("doc.coverage", "covered"), F.array()), F.coalesce(part("doc.metadata.skipped_frameworks", None), F.array()))
+    return kept.select("path", target.alias("target"), F.col("doc.metadata.generated_at").alias("generated_at"), F.explode(every).alias("f")).select("path", "target", "f.framework", "generated_at", "f.state")
+
+
+def feed_status(files: DataFrame, now, max_age_hours: float = 24.0) -> DataFrame:
+    """(path, age_hours, status) of feeds in a listing (path, modified): `fresh` or `stale`; a feed that's wanted and isn't listed is up to the caller."""
+    from quarryline.functions.text import age_hours
+
+    aged = files.select("path", F.round(age_hours(F.col("modified"), now), 3).alias("age_hours"))
+    return aged.withColumn("status", F.when(F.col("age_hours") > max_age_hours, "stale").otherwise("fresh"))
+
+
+def inside(root: str, path):
+    """Whether a path stays below a folder: no climbing with ``..``, no other root."""
+    from quarryline.functions.text import relative_ref
+
+    return relative_ref(path, root).isNotNull()

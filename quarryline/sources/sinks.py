@@ -1,21 +1,17 @@
-"""Writers: result files for other tools, a chained journal, snapshots of the projection."""
+"""Writers: result files for other tools, pages, plans of what to file, a chained journal."""
 
 from __future__ import annotations
 
 import json
 import os
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarryline.functions import text as fx
 from quarryline.functions.kernels import row_sha
 
-#: SARIF level by severity; fixed values.
-LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "informational": "none"}
-
-
 def sarif(findings: DataFrame, tool: str, results_per_document: int = 5_000) -> DataFrame:
     """(repo_key, part, document): SARIF 2.1.0 documents made of nested columns; order within one is by finding_id.
 
@@ -24,25 +20,38 @@ def sarif(findings: DataFrame, tool: str, results_per_document: int = 5_000) ->
     """
     sizes = findings.groupBy("repo_key").agg(F.ceil(F.count(F.lit(1)) / results_per_document).cast("int").alias("parts")).withColumnRenamed("repo_key", "__key")
     findings = findings.join(sizes, F.col("repo_key").eqNullSafe(F.col("__key"))).withColumn("part", F.pmod(F.xxhash64("finding_id"), F.col("parts")).cast("int")).drop("__key", "parts")
-    level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in LEVELS.items() for x in p]), F.col("severity")), F.lit("warning"))
+    rated = lambda i: fx.mapped(F.col("severity"), {k: v[i] for k, v in fx.SARIF_LEVELS.items()}, fx.SARIF_LEVELS["informational"][i])
     place = F.transform(F.from_json("paths", "array<string>"), lambda p: F.struct(F.struct(F.struct(p.alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
-    result = F.struct(F.col("finding_id"), F.struct(F.coalesce("primary_cwe", F.lit("unknown")).alias("ruleId"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints")).alias("r"))
+    result = F.struct(F.col("finding_id"), F.struct(F.coalesce("primary_cwe", F.lit("unknown")).alias("ruleId"), rated(0).alias("level"), F.struct(F.col("title").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"), F.struct(rated(1).alias("security-severity"), F.col("finding_id").alias("finding")).alias("properties")).alias("r"))
     results = F.transform(F.array_sort(F.collect_list(result)), lambda x: x["r"])
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name")).alias("driver")).alias("tool"), results.alias("results"))
     document = F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs")), {"ignoreNullFields": "true"})
     return findings.groupBy("repo_key", "part").agg(document.alias("document"))
 
 
-def write_projection(tables: dict[str, DataFrame], path: str, revision: int) -> dict[str, int]:
-    """Write every table anew with a meta table of its revision; rows written by table."""
-    counts = {}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        counts[name] = df.sparkSession.read.parquet(f"{path}/{name}").count()
-    spark = next(iter(tables.values())).sparkSession
-    meta = [("schema_revision", str(revision)), ("built_at", datetime.now(timezone.utc).isoformat(timespec="seconds"))]
-    spark.createDataFrame(meta, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-    return counts
+def ingest_plan(files: DataFrame, stored: DataFrame, families: dict[str, str]) -> DataFrame:
+    """(path, family, subject, digest, object, status) of files (path, content) to be filed under the digest of their content.
+
+    family: of the first part of a name that the path holds, else `other`; subject: the folder; status: `present` if
+    the digest is stored already, `copy` if a file with a smaller path has the same content, else `new`.
+    """
+    family = F.lit("other")
+    for part, name in reversed(families.items()):
+        family = F.when(F.contains(F.col("path"), F.lit(part)), name).otherwise(family)
+    named = files.select("path", family.alias("family"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("subject"), F.sha2("content", 256).alias("digest"))
+    first = named.groupBy("digest").agg(F.min("path").alias("__first"))
+    known = stored.select("digest").distinct().withColumn("__there", F.lit(True))
+    status = F.when(F.col("__there"), "present").when(F.col("path") != F.col("__first"), "copy").otherwise("new")
+    return named.join(first, "digest").join(known, "digest", "left").select("path", "family", "subject", "digest", F.concat(F.lit("objects/"), F.substring("digest", 1, 2), F.lit("/"), "digest").alias("object"), status.alias("status"))
+
+
+def markdown_summary(findings: DataFrame) -> DataFrame:
+    """(repo_key, document): a Markdown page for each repository with its number of findings by severity; a missing one is ``-``."""
+    counted = findings.groupBy("repo_key", F.coalesce("severity", F.lit("-")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    row = F.concat(F.lit("| "), fx.md_cell(F.col("severity")), F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))
+    pages = counted.groupBy("repo_key").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"), F.sum("n").alias("total"))
+    head = F.concat(F.lit("# "), fx.md_cell(F.col("repo_key")), F.lit("\n\n"), F.col("total").cast("string"), F.lit(" findings\n\n| Severity | Findings |\n|---|---|\n"))
+    return pages.select("repo_key", F.concat(head, "rows", F.lit("\n")).alias("document"))
 
 
 def append_journal(path: str, source: str, metrics: dict, at: str, only_changes: bool = False) -> bool:
