@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarryline.operators import late_events
+from quarryline.plans.problems import WEEKLY_SQL
 from quarryline.workspace import children, workspace
 
 
@@ -207,7 +208,9 @@ def str_08_snapshots(spark: SparkSession, d: str) -> DataFrame:
 def str_09_weekly_store(spark: SparkSession, d: str) -> DataFrame:
     """The weekly counts of problem 5, fed by a stream of four batches in the order of arrival."""
     e = spark.read.parquet(f"{d}/finding_events.parquet")
-    return weekly_store(staged(spark, e, F.floor((F.month(F.substring("recorded_at", 1, 10).try_cast("date")) - 1) / 3), 4), workspace(spark)).weekly().select("week", "resolution", "n_on_time", "n_corrected", "n_events", "n_cut")
+    at = F.col("recorded_at")
+    stage = F.when(at < "2024-09", 0).when(at < "2025-03", 1).when(at < "2025-09", 2).otherwise(3)
+    return weekly_store(staged(spark, e, stage, 4), workspace(spark)).weekly().select("week", "resolution", "n_on_time", "n_corrected", "n_events", "n_cut")
 
 
 QUERIES = {f.__name__: f for f in (str_01_deduplicated, str_02_quarantined, str_03_final_days, str_04_months, str_05_sessions, str_05_sliding, str_06_attributed, str_07_changed, str_08_snapshots, str_09_weekly_store)}
@@ -217,6 +220,7 @@ SQL = {
     "str_05_sessions": """WITH c AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS gap, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM c)
         SELECT user_id, min(ts) AS started, count(*) AS n FROM i GROUP BY user_id, island HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""",
     "str_02_quarantined": "SELECT event_id, CASE WHEN ts <= TIMESTAMP '2024-01-21' THEN 'in_time' ELSE 'quarantine' END AS state FROM events",
+    "str_09_weekly_store": f"{WEEKLY_SQL} FROM judged GROUP BY week, resolution",
     "str_04_months": "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1, 2",
     "str_05_sliding": """WITH w AS (SELECT unnest([CAST(ts::DATE AS TIMESTAMP), CAST(ts::DATE AS TIMESTAMP) - INTERVAL 1 DAY]) AS started, event_type FROM events) SELECT started, event_type, count(*) AS n FROM w WHERE started + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""",
     "str_07_changed": "WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END, ts, event_id) AS was FROM events) SELECT user_id, event_id, event_type FROM l WHERE was IS NULL OR was <> event_type",
