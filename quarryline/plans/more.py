@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarryline.operators import identity
 from quarryline.operators import relational as rel
 from quarryline.plans.relational import FI, E, L, R, findings, ledger, links, repos
 from quarryline.workspace import table
@@ -24,14 +23,6 @@ def query(sql: str | None = None):
     return keep
 
 
-@query()
-def join_14_ladder(s, d):
-    f = table(s, d, "findings").select("row_no", "repo_key", "finding_id", "fingerprint", F.col("primary_cwe").alias("cwe"), "title", F.from_json("paths", "array<string>").alias("paths"), "loaded_at", "severity").distinct()
-    n = F.row_number().over(W.partitionBy("repo_key", "finding_id").orderBy("loaded_at", "row_no"))
-    placed = f.withColumn("n", n).withColumnRenamed("repo_key", "group_key").drop("loaded_at", "severity", "row_no")
-    return identity.match_ladder(placed.where("n = 1").withColumnRenamed("finding_id", "old_id").drop("n"), placed.where("n = 2").withColumnRenamed("finding_id", "new_id").drop("n"))
-
-
 @query("SELECT kind, coalesce(json_extract_string(attrs, '$.internal'), 'none') AS internal, count(*) AS n FROM (SELECT DISTINCT id, kind, attrs FROM nodes) GROUP BY ALL")
 def agg_06_08_grouped_json(s, d):
     return table(s, d, "nodes").select("id", "kind", "attrs").distinct().groupBy("kind", F.coalesce(F.get_json_object("attrs", "$.internal"), F.lit("none")).alias("internal")).agg(F.count("*").alias("n"))
