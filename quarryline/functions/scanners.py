@@ -34,7 +34,7 @@ def semgrep(outputs: DataFrame) -> DataFrame:
 def gitleaks(outputs: DataFrame) -> DataFrame:
     """Secrets found: the secret itself never comes out, only the first five characters."""
     keep = [F.col(c) for c in outputs.columns if c != "text"]
-    doc = outputs.select(*keep, F.explode(F.from_json("text", "array<struct<RuleID:string,File:string,StartLine:int,EndLine:int,Description:string,Secret:string>>")).alias("r"))
+    doc = outputs.select(*keep, F.explode(F.from_json("text", "array<struct<RuleID:string,File:string,StartLine:int,EndLine:int,Description:string,Secret:string>>")).alias("r")).where("r.RuleID is not null")
     r = F.col("r")
     masked = F.concat(F.coalesce(r["Description"], F.lit("")), F.lit(" "), F.substring(F.coalesce(r["Secret"], F.lit("")), 1, 5), F.lit("...REDACTED"))
     return doc.select(*keep, *_finding(tool=F.lit("gitleaks"), rule=r["RuleID"], severity=F.lit("high"), path=r["File"], lines=fx.written_range(r["StartLine"], r["EndLine"]), message=masked))

@@ -6,8 +6,6 @@ Spark generates. The session's time zone must be UTC.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +62,12 @@ def with_readings(df: DataFrame, value: str, site_tz: str, out: str, alternative
         parts = F.when(F.col("__text").rlike(pattern), F.concat(F.lit(f"{name}|"), F.regexp_replace("__text", F.lit(pattern), F.lit(f"{date}|$4|$5|$6|$7|$8|$9|$10")))).otherwise(parts)
     base = base.withColumns({
         "__parts": F.split(parts, r"\|"),
-        "__fast": F.unix_millis(F.try_to_timestamp(F.when(F.col("__canonical"), F.substring(value, 1, 19)), F.lit("yyyy-MM-dd'T'HH:mm:ss"))),
+        "__fast": F.unix_millis(F.when(F.col("__canonical"), F.substring(value, 1, 19)).try_cast("timestamp")),
         "__number": F.when(F.col("__text").rlike(NUMBER), F.col("__text").try_cast("decimal(28,9)")),
     })
     part = lambda i: F.nullif(F.get("__parts", F.lit(i)), F.lit(""))
-    months = reduce(lambda rest, m: F.when(F.lower(F.substring(part(2), 1, 3)) == m[1], m[0] + 1).otherwise(rest), list(enumerate(MONTHS)), part(2).try_cast("int"))
+    named_month = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
+    months = F.coalesce(part(2).try_cast("int"), F.try_element_at(named_month, F.lower(F.substring(part(2), 1, 3))))
     half = F.lower(part(8))
     hour24 = part(4).try_cast("int")
     hour = F.when(part(4).isNull(), 0).when(half.isNull(), hour24).when(hour24.between(1, 12), hour24 % 12 + F.when(half == "p", 12).otherwise(0))
@@ -87,9 +86,7 @@ def with_readings(df: DataFrame, value: str, site_tz: str, out: str, alternative
         moment = F.try_make_timestamp_ntz(F.col("__year"), F.lit(month), F.lit(1), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")).cast("timestamp")
         return ((F.unix_seconds(F.from_utc_timestamp(moment, F.col("__zone"))) - F.unix_seconds(moment)) / 60).cast("int")
 
-    choices = F.lit(None).cast("array<int>")
-    for name, hours in LETTERS.items():
-        choices = F.when(F.col("__letters") == name, F.array(*[F.lit(int(h * 60)) for h in hours])).otherwise(choices)
+    choices = F.try_element_at(F.create_map(*[x for name, hours in LETTERS.items() for x in (F.lit(name), F.array(*[F.lit(int(h * 60)) for h in hours]))]), F.col("__letters"))
     base = base.withColumns({"__choices": F.when(F.col("__named"), choices), "__winter": F.when(F.col("__named"), season(1)), "__summer": F.when(F.col("__named"), season(7))})
     first, second = F.get("__choices", F.lit(0)), F.get("__choices", F.lit(1))
     third = F.get("__choices", F.lit(2))
