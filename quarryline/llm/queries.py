@@ -50,6 +50,7 @@ def _look_sql(text: str) -> str:
 
 
 SQL = {
+    "p9_canonical": f"""WITH k AS (SELECT DISTINCT doc_id, {_look_sql("text")} AS look FROM documents WHERE text IS NOT NULL AND text <> ''), c AS (SELECT look, min(doc_id) AS class_id FROM k GROUP BY 1) SELECT doc_id, class_id FROM k JOIN c USING (look)""",
     "p9_found": f"""WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''), k AS (SELECT doc_id, text, {_look_sql("text")} AS look FROM t)
         SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p8_found": f"""WITH t AS (SELECT DISTINCT doc_id AS id, text FROM documents WHERE text <> ''), w AS (SELECT id, list_filter(string_split_regex(lower({_look_sql("text")}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '') AS ws FROM t),
