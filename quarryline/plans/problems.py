@@ -183,6 +183,8 @@ olds AS (SELECT g.file_name, g.field, list_sort(list(c.rec || chr(2) || c.v::VAR
 ren AS (SELECT n.file_name, n.field AS now, o.field AS was FROM news n JOIN olds o ON o.file_name = n.file_name AND o.mark = n.mark),
 same AS (SELECT p.file_name, t.field, t.types AS a, o.types AS b FROM pair p JOIN typed t USING (file_name) JOIN typed o ON o.file_name = p.before AND o.field = t.field UNION ALL SELECT r.file_name, r.now, f.types, g.types FROM ren r JOIN fresh f ON f.file_name = r.file_name AND f.field = r.now JOIN gone g ON g.file_name = r.file_name AND g.field = r.was)"""
 SQL = {
+    "p2_versions": f"""WITH {_DRIFT}, fp AS (SELECT file_name, sha256(array_to_string(list_sort(list(field || ':' || types)), ',')) AS fingerprint FROM typed GROUP BY 1), q AS (SELECT f.*, coalesce(fingerprint, sha256('')) AS fingerprint, row_number() OVER w AS seq FROM files f LEFT JOIN fp USING (file_name) WINDOW w AS (PARTITION BY producer, dataset ORDER BY file_no, file_name)),
+        c AS (SELECT *, CASE WHEN fingerprint = lag(fingerprint) OVER (PARTITION BY producer, dataset ORDER BY seq) THEN 0 ELSE 1 END AS new FROM q) SELECT producer, dataset, file_name, seq::INT AS seq, sum(new) OVER (PARTITION BY producer, dataset ORDER BY seq)::INT AS version, fingerprint FROM c""",
     "p2_found": f"""WITH {_DRIFT} SELECT DISTINCT file_name, now AS field_name, 'renamed' AS change_kind FROM ren UNION SELECT file_name, field, 'added' FROM fresh WHERE (file_name, field) NOT IN (SELECT (file_name, now) FROM ren)
         UNION SELECT file_name, field, 'removed' FROM gone WHERE (file_name, field) NOT IN (SELECT (file_name, was) FROM ren) UNION SELECT file_name, field, 'retyped' FROM same WHERE a <> b""",
     "p5_found": f"{_WEEKS} SELECT repo_key, event_id, outcome FROM judged WHERE outcome <> 'on_time'",
