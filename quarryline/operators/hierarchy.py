@@ -44,17 +44,18 @@ def resolve_trees(links: DataFrame, paths: bool = True, parents: bool = True) ->
     give no rows. Repeated links and links with a NULL end change nothing. Without ``paths`` the path is NULL, and
     no row grows with the depth; without ``parents`` the parent_id is NULL.
     """
-    clean = links.where(F.col("parent").isNotNull() & F.col("child").isNotNull()).select("parent", "child").distinct()
     base = workspace(links.sparkSession)
-    several = clean.groupBy("child").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("child")
-    rivals = materialize(clean.join(several, "child", "left_semi"), f"{base}/rivals")
-    kept = clean.groupBy("child").agg(F.min("parent").alias("parent"))
-    nodes = clean.select(F.col("child").alias("node")).unionByName(clean.select(F.col("parent").alias("node"))).distinct()
+    clean = materialize(links.where(F.col("parent").isNotNull() & F.col("child").isNotNull()).select("parent", "child").distinct(), f"{base}/clean")
+    most = Observation()
+    first = clean.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n")).observe(most, F.max("n").alias("n"))
+    kept = materialize(first.select("child", "parent", "n"), f"{base}/kept=0")
+    contested = (most.get["n"] or 0) > 1
+    rivals = clean.join(kept.where("n > 1").select("child"), "child", "left_semi")
+    kept = kept.select("child", "parent")
+    roots = clean.select(F.col("parent").alias("node")).distinct().join(kept.select(F.col("child").alias("node")), "node", "left_anti")
     step = 0
-    kept = materialize(kept, f"{base}/kept=0")
-    contested = not rivals.isEmpty()
     while True:
-        done = _resolve(nodes.join(kept.withColumnRenamed("child", "node"), "node", "left"), paths, f"{base}/{step}")
+        done = _resolve(kept.withColumnRenamed("child", "node").unionByName(roots.withColumn("parent", F.lit(None).cast("string"))), paths, f"{base}/{step}")
         if not contested:
             break
         rooted = done.where("depth >= 0").select(F.col("node").alias("parent"))
