@@ -189,3 +189,20 @@ def advisory_candidates(hits: DataFrame, order: tuple[str, ...] = ("module_requi
     level = F.array_position(F.array(*map(F.lit, order)), F.col("level"))
     top = F.when((F.col("level") == order[-1]) & (F.size("trace") > 0), F.struct(F.size("trace").alias("n"), F.array_join("trace", " > ").alias("t")))
     return hits.groupBy("advisory", "ecosystem", "package").agg(F.max_by("level", level).alias("reachability"), F.min(top)["t"].alias("example_trace"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
+def lane(before: DataFrame | None, now: DataFrame, previous: DataFrame | None, precisions: DataFrame, counts: tuple[int, int]) -> DataFrame:
+    """(kind, subject, detail) of a run of the rule lane: what changed since the snapshot before, and whether anybody must look.
+
+    before, now: clusters with state; previous, precisions: by rule; counts: confirmed findings before and now. A
+    first run (before is None) is a baseline: what is there is inventory and no news.
+    """
+    spark = now.sparkSession
+    head = [("growth", "confirmed", str(counts[1] - counts[0]) if before is not None else "")]
+    if before is None or previous is None:
+        return spark.createDataFrame([("baseline", "run", "no snapshot before"), *head], "kind string, subject string, detail string")
+    changes = cluster_delta(before, now).select(F.concat(F.col("change"), F.lit("_cluster")).alias("kind"), F.concat_ws("/", "cwe", "language").alias("subject"), F.concat_ws(" ", F.coalesce(F.col("previous_n").cast("string"), F.lit("-")), F.coalesce(F.col("n").cast("string"), F.lit("-"))).alias("detail"))
+    crossed = gate_crossings(previous, precisions).select(F.lit("gate").alias("kind"), F.col("rule").alias("subject"), F.col("direction").alias("detail"))
+    news = changes.unionByName(crossed)
+    asks = news.where("kind = 'new_cluster' or (kind = 'gate' and detail <> 'rose_above_gate')").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit("attention").alias("kind"), F.col("kind").alias("subject"), F.col("n").cast("string").alias("detail"))
+    return news.unionByName(asks).unionByName(spark.createDataFrame(head, "kind string, subject string, detail string"))

@@ -76,6 +76,7 @@ def with_last(df: DataFrame, by: list[str], order: list[str], values: dict[str,
     """
     base = workspace(df.sparkSession)
     ranged = df.withColumns({f"__v_{n}": c for n, c in values.items()}).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    # a row's number is its range's times 2^33 plus its place in it
     placed = materialize(ranged.withColumn("__id", F.monotonically_increasing_id()), f"{base}/placed").withColumn("__part", F.shiftright("__id", 33))
     last = placed.groupBy(*by, "__part").agg(*[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col("__id"))).alias(f"__l_{n}") for n in values])
     along = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)

@@ -188,3 +188,15 @@ def agg_37_advisories(s, d):
     level = F.when(indirect == "true", "module_required_not_observed").when(indirect == "false", "symbol_reachable").otherwise("package_imported_not_observed")
     e = table(s, d, "edges").where(F.col("rel").isin("depends_on", "imports_package", "has_ref")).select(F.col("dst").alias("advisory"), F.substring_index("src", ":", 1).alias("ecosystem"), F.col("rel").alias("package"), level.alias("level"), F.split("src", "-").alias("trace"), F.col("src").alias("source")).distinct()
     return mining.advisory_candidates(e)
+
+
+@query(f"""WITH {_TP}, {_PACK}, {_J}, k AS (SELECT DISTINCT cwe, language FROM rules), a AS (SELECT cwe, language, count(*) FILTER (WHERE repo NOT LIKE 'upstream/%') AS o, count(*) FILTER (WHERE repo NOT LIKE 'partner/%') AS n FROM tp WHERE language IN {mining.RULEABLE} AND (cwe, language) NOT IN (SELECT (cwe, language) FROM k) GROUP BY 1, 2),
+  ch AS (SELECT CASE WHEN o = 0 THEN 'new' WHEN n = 0 THEN 'resolved' ELSE 'changed' END || '_cluster' AS kind, cwe || '/' || language AS subject, CASE WHEN o = 0 THEN '-' ELSE CAST(o AS VARCHAR) END || ' ' || CASE WHEN n = 0 THEN '-' ELSE CAST(n AS VARCHAR) END AS detail FROM a WHERE o <> n),
+  p1 AS (SELECT rule, {_P} FROM j WHERE rule IS NOT NULL AND loaded_at < TIMESTAMP '2024-02-01' GROUP BY 1), p2 AS (SELECT rule, {_P} FROM j WHERE rule IS NOT NULL GROUP BY 1), x AS (SELECT p2.rule, round(p1.promoted / nullif(p1.promoted + p1.dismissed, 0), 3) AS was, round(p2.promoted / nullif(p2.promoted + p2.dismissed, 0), 3) AS now FROM p2 LEFT JOIN p1 USING (rule)),
+  gx AS (SELECT 'gate' AS kind, rule AS subject, CASE WHEN was IS NULL THEN 'entered_below_gate' WHEN was >= 0.5 THEN 'fell_below_gate' ELSE 'rose_above_gate' END AS detail FROM x WHERE now IS NOT NULL AND ((was IS NULL AND now < 0.5) OR (was >= 0.5 AND now < 0.5) OR (was < 0.5 AND now >= 0.5))), u AS (SELECT * FROM ch UNION ALL SELECT * FROM gx)
+  SELECT * FROM u UNION ALL SELECT 'attention', kind, CAST(count(*) AS VARCHAR) FROM u WHERE kind = 'new_cluster' OR (kind = 'gate' AND detail <> 'rose_above_gate') GROUP BY 2 UNION ALL SELECT 'growth', 'confirmed', CAST((SELECT count(*) FROM tp WHERE repo NOT LIKE 'partner/%') - (SELECT count(*) FROM tp WHERE repo NOT LIKE 'upstream/%') AS VARCHAR)""")
+def job_11_rule_lane(s, d):
+    own, rules, hits = tps(s, d), pack(s, d), judged(s, d)
+    state = lambda df: mining.covered(mining.clusters(df), rules)
+    old, new = own.where("repo not like 'upstream/%'"), own.where("repo not like 'partner/%'")
+    return mining.lane(state(old), state(new), mining.precision(hits.where("loaded_at < timestamp_ntz'2024-02-01'")), mining.precision(hits), (old.count(), new.count()))

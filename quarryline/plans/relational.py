@@ -219,12 +219,6 @@ def agg_36_booleans(s, d):
 
 # ---- windows, sorts, sets
 
-@query(f"WITH {E} SELECT repo_key, finding_id, min(recorded_at) AS first_at, min(recorded_at) FILTER (WHERE source_type = 'jira_filing') AS filed_at, max(recorded_at) FILTER (WHERE resolution = 'resolved') AS resolved_at FROM e GROUP BY ALL")
-def win_10_11_clock(s, d):
-    at = lambda c: F.when(c, F.col("recorded_at"))
-    return ledger(s, d).groupBy("repo_key", "finding_id").agg(F.min("recorded_at").alias("first_at"), F.min(at(F.col("source_type") == "jira_filing")).alias("filed_at"), F.max(at(F.col("resolution") == "resolved")).alias("resolved_at"))
-
-
 @query(f"WITH {R}, c AS (SELECT ref, count(*) AS n FROM r WHERE ref LIKE 'release-%' GROUP BY 1) SELECT ref, n FROM c ORDER BY n DESC, try_cast(split_part(substr(ref, 9), '.', 1) AS INT) DESC, try_cast(split_part(substr(ref, 9), '.', 2) AS INT) DESC LIMIT 5")
 def win_12_top_refs(s, d):
     c = repos(s, d).where(F.col("ref").startswith("release-")).groupBy("ref").agg(F.count("*").alias("n"))
@@ -263,3 +257,31 @@ def fn_math_02_bands(s, d):
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def scan_pushdown(s, d):
     return table(s, d, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {FI}, {R}, {E}, t AS (SELECT repo_key, finding_id, min(substr(recorded_at, 1, 10)) FILTER (WHERE source_type = 'jira_filing') AS filed, min(substr(recorded_at, 1, 10)) AS first, max(substr(recorded_at, 1, 10)) FILTER (WHERE resolution IN ('resolved', 'fix_verified')) AS resolved FROM e GROUP BY 1, 2),
+  a AS (SELECT repo_key, CASE WHEN regexp_matches(audit_date, '^\\d{{4}}-\\d\\d-\\d\\d') THEN substr(audit_date, 1, 10) END AS audited FROM r)
+  SELECT f.repo_key, f.finding_id, try_cast(coalesce(filed, first, audited) AS DATE) AS started, CASE WHEN filed IS NOT NULL THEN 'filed' WHEN first IS NOT NULL THEN 'event' WHEN audited IS NOT NULL THEN 'audit' END AS by_what, try_cast(resolved AS DATE) AS resolved FROM f LEFT JOIN t USING (repo_key, finding_id) LEFT JOIN a USING (repo_key)""")
+def win_10_11_clock(s, d):
+    """When the clock of a finding starts: its first filing, else its first event, else the audit; and its last resolution."""
+    day = F.substring("recorded_at", 1, 10)
+    at = lambda c: F.when(c, day)
+    t = ledger(s, d).groupBy("repo_key", "finding_id").agg(F.min(at(F.col("source_type") == "jira_filing")).alias("filed"), F.min(day).alias("first"), F.max(at(F.col("resolution").isin("resolved", "fix_verified"))).alias("resolved"))
+    audited = repos(s, d).select("repo_key", F.when(F.col("audit_date").rlike(r"^\d{4}-\d\d-\d\d"), F.substring("audit_date", 1, 10)).alias("audited"))
+    joined = findings(s, d).select("repo_key", "finding_id").join(t, ["repo_key", "finding_id"], "left").join(audited, "repo_key", "left")
+    by = F.when(F.col("filed").isNotNull(), "filed").when(F.col("first").isNotNull(), "event").when(F.col("audited").isNotNull(), "audit")
+    return joined.select("repo_key", "finding_id", F.coalesce("filed", "first", "audited").try_cast("date").alias("started"), by.alias("by_what"), F.col("resolved").try_cast("date").alias("resolved"))
+
+
+@query(f"WITH {L} SELECT dst, count(DISTINCT src) AS sources, sum(coalesce(try_cast(regexp_extract(json_extract_string(attrs, '$.version'), '(\\d+)$', 1) AS BIGINT), 0))::BIGINT AS total FROM l WHERE rel = 'imports_package' GROUP BY 1")
+def agg_04_package_sums(s, d):
+    """Sum of a number kept in edges' attributes, and distinct sources, per package."""
+    number = F.regexp_extract(F.get_json_object("attrs", "$.version"), r"(\d+)$", 1).try_cast("bigint")
+    return links(s, d).where("rel = 'imports_package'").groupBy("dst").agg(F.countDistinct("src").alias("sources"), F.sum(F.coalesce(number, F.lit(0))).alias("total"))
+
+
+@query(f"WITH {FI}, g AS (SELECT repo_key, coalesce(severity, 'none') AS s, count(*) AS n FROM f GROUP BY 1, 2) SELECT repo_key, sum(n)::BIGINT AS total, string_agg(s || '=' || n, ',' ORDER BY s) AS by_severity FROM g GROUP BY 1")
+def agg_33_by_severity(s, d):
+    """A scan's summary: findings in all and by severity."""
+    g = findings(s, d).groupBy("repo_key", F.coalesce("severity", F.lit("none")).alias("s")).agg(F.count("*").alias("n"))
+    return g.groupBy("repo_key").agg(F.sum("n").alias("total"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "s", F.col("n").cast("string")))), ",").alias("by_severity"))

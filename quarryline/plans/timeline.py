@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quarryline.operators import relational as rel
 from quarryline.operators import timeline as tl
 from quarryline.plans.registry import registry
 from quarryline.plans.relational import FI, findings
-from quarryline.sources import readers
+from quarryline.sources import readers, sinks
 from quarryline.workspace import table, workspace
 
 QUERIES, SQL, query = registry()
@@ -123,3 +124,13 @@ def sort_02_escalations(s, d):
     rank = F.array_position(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), F.col("severity"))
     f = findings(s, d).where("coalesce(resolution, 'open') = 'open'").select("repo_key", "finding_id", "severity", F.datediff(F.lit("2026-06-01").cast("date"), F.col("loaded_at").cast("date")).alias("days"))
     return f.orderBy(F.coalesce(rank, F.lit(0)).desc(), F.desc("days"), "repo_key", "finding_id").limit(100)
+
+
+@query(f"WITH {_J}, r AS (SELECT row_number() OVER (ORDER BY place, source) AS line_no, sha256(source || place || n) AS row_sha FROM j), c AS (SELECT *, lag(row_sha, 1, '') OVER (ORDER BY line_no) AS before FROM r), t AS (SELECT line_no, CASE WHEN line_no % 10 = 0 THEN 'forged' ELSE before END AS prev_sha, row_sha FROM c) SELECT line_no, prev_sha, row_sha FROM t WHERE line_no % 10 = 0")
+def win_03_broken_links(s, d):
+    """A chained journal of which every tenth row was forged."""
+    j = table(s, d, "events").groupBy(F.col("event_type").alias("source"), F.to_date("ts").alias("place")).agg(F.count("*").alias("n"))
+    w = W.orderBy("place", "source")  # a few rows for each day
+    r = j.select(F.row_number().over(w).cast("bigint").alias("line_no"), F.sha2(F.concat("source", F.col("place").cast("string"), F.col("n").cast("string")), 256).alias("row_sha"))
+    chained = r.withColumn("prev_sha", F.when(F.col("line_no") % 10 == 0, "forged").otherwise(F.lag("row_sha", 1, "").over(W.orderBy("line_no"))))
+    return sinks.broken_links(chained)

@@ -20,6 +20,33 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.substring_index("path", "/", -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
 
 
+#: Folders that hold a tool's state and no reports, besides those that begin with a dot or an underscore; fixed values.
+STATE_FOLDERS = ("node_modules", "__pycache__", "venv", "site-packages")
+
+
+def corpus(files: DataFrame, root: str, trees: list[str]) -> DataFrame:
+    """Files of a listing that lie in one of the trees below root, outside folders of state, with their tree and the path below it."""
+    below = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
+    inner = F.when(F.contains(below, F.lit(root.rstrip("/") + "/")), F.substring_index(below, root.rstrip("/") + "/", -1))
+    parts = F.split(inner, "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    hidden = F.exists(folders, lambda p: p.rlike("^[._]") | p.isin(*STATE_FOLDERS))
+    return files.withColumns({"tree": F.get(parts, F.lit(0)), "below": inner}).where(F.col("tree").isin(*trees) & ~hidden)
+
+
+def link_aliases(spark: SparkSession, root: str) -> DataFrame:
+    """(alias, target, kind) of symbolic links below a folder of this machine; they are recorded and never followed. A listing of names, not of data."""
+    import os
+
+    rows = []
+    for folder, names, found in os.walk(root, followlinks=False):
+        for name in names + found:
+            path = os.path.join(folder, name)
+            if os.path.islink(path):
+                rows.append((path, os.path.realpath(path), "directory" if os.path.isdir(path) else "file"))
+    return spark.createDataFrame(rows, "alias string, target string, kind string")
+
+
 def reports(files: DataFrame) -> DataFrame:
     """One row per report of a listing, with the artifacts that stand beside it; the kind comes from the suffix."""
     shape = r"^(.+)-(security-audit|cloud-config-audit|container-audit|findings-current|findings-layer|triage|threat-model|priv-profile)\.(json|md)$"

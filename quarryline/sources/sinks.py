@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quarryline.functions import text as fx
 from quarryline.functions.kernels import row_sha
+from quarryline.operators.relational import with_last
+from quarryline.workspace import children
 
 def sarif(findings: DataFrame, tool: str, results_per_document: int = 5_000) -> DataFrame:
     """(repo_key, part, document): SARIF 2.1.0 documents made of nested columns; order within one is by finding_id.
@@ -54,28 +54,44 @@ def markdown_summary(findings: DataFrame) -> DataFrame:
     return pages.select("repo_key", F.concat(head, "rows", F.lit("\n")).alias("document"))
 
 
-def append_journal(path: str, source: str, metrics: dict, at: str, only_changes: bool = False) -> bool:
-    """Append one chained row to a journal file with one writer; False if nothing changed since the source's last row."""
-    rows = []
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            for line in f:
-                try:
-                    rows.append(json.loads(line))
-                except ValueError:
-                    continue
-    before = next((r for r in reversed(rows) if r.get("source") == source), None)
+def append_journal(spark: SparkSession, path: str, source: str, metrics: dict, at: str, only_changes: bool = False) -> bool:
+    """Append one chained row to a journal, a folder with a file per row; False if nothing changed since the source's last row.
+
+    The file's name is the row's number and it's created only if it isn't there, so of two writers at once one fails
+    and no row is lost. Metrics that are None are left out.
+    """
+    rows = journal_rows(spark, path)
+    names = children(spark, path)
+    last = rows.orderBy(F.desc("line_no")).first()
+    before = rows.where(F.col("source") == source).orderBy(F.desc("line_no")).first()
     kept = {k: v for k, v in metrics.items() if v is not None}
-    if only_changes and before and before.get("metrics") == kept:
+    if only_changes and before and json.loads(before["metrics"]) == kept:
         return False
-    row = {"snapshot_at": at, "source": source, "metrics": kept, "prev_sha": rows[-1]["row_sha"] if rows else ""}
+    row = {"snapshot_at": at, "source": source, "metrics": kept, "prev_sha": last["row_sha"] if last else ""}
     row["row_sha"] = row_sha(row)
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(json.dumps(row, ensure_ascii=True) + "\n")
+    number = 1 + max((int(n[:12]) for n in names if n[:12].isdigit()), default=0)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{number:012}.json")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray((json.dumps(row, ensure_ascii=True) + "\n").encode()))
+    finally:
+        out.close()
     return True
 
 
+def journal_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, snapshot_at, source, metrics as JSON, prev_sha, row_sha) of a journal; files that aren't JSON are left out."""
+    schema = "snapshot_at string, source string, metrics string, prev_sha string, row_sha string"
+    if not any(n.endswith(".json") for n in children(spark, path)):
+        return spark.createDataFrame([], f"line_no bigint, {schema}")
+    lines = spark.read.text(path, pathGlobFilter="*.json").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("bigint").alias("line_no"), F.from_json("value", schema).alias("d"))
+    return lines.where("d.row_sha is not null").select("line_no", "d.*")
+
+
 def broken_links(journal: DataFrame) -> DataFrame:
-    """Rows (line_no, prev_sha, row_sha) whose prev_sha isn't the row before's. A chain has one order, so one task walks it; only hashes go there."""
-    order = W.orderBy("line_no")
-    return journal.select("line_no", "prev_sha", "row_sha", F.lag("row_sha", 1, "").over(order).alias("before")).where(~F.col("prev_sha").eqNullSafe(F.col("before"))).drop("before")
+    """Rows (line_no, prev_sha, row_sha) whose prev_sha isn't the row_sha of the row before; the first must have an empty one.
+
+    The chain has one order over all rows; it's walked by ranges, of which only the last hash is carried on.
+    """
+    known = with_last(journal.select("line_no", "prev_sha", "row_sha"), [], ["line_no"], {"before": F.col("row_sha")}, inclusive=False)
+    return known.where(~F.col("prev_sha").eqNullSafe(F.coalesce("before", F.lit("")))).drop("before")

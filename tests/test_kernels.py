@@ -88,13 +88,15 @@ def test_readers_and_sinks(spark, tmp_path):
     files = spark.createDataFrame([("r/go.mod", "module m\nrequire a v1\n"), ("r/package.json", "{")], "path string, text string")
     assert [tuple(r) for r in readers.manifests(files).collect()] == [("r/go.mod", "m", "a", "v1", False)]
     journal = str(tmp_path / "journal")
-    assert sinks.append_journal(journal, "s", {"a": 1}, "t1") and not sinks.append_journal(journal, "s", {"a": 1}, "t2", only_changes=True) and sinks.append_journal(journal, "s", {"a": 2}, "t3")
-    rows = readers.json_lines(spark, journal, "prev_sha string, row_sha string").select("line_no", "doc.*")
-    assert sinks.broken_links(rows).count() == 0
-    assert sinks.broken_links(rows.where("line_no > 0")).count() == 1
+    put = lambda metrics, at, **kw: sinks.append_journal(spark, journal, "s", metrics, at, **kw)
+    assert put({"a": 1, "none": None}, "t1") and not put({"a": 1}, "t2", only_changes=True) and put({"a": 2}, "t3") and put({"a": 2}, "t4")
+    rows = sinks.journal_rows(spark, journal)
+    assert rows.count() == 3 and sinks.broken_links(rows).count() == 0
+    assert [r.line_no for r in sinks.broken_links(rows.where("line_no > 1")).collect()] == [2]
+    assert [r.line_no for r in sinks.broken_links(rows.where("line_no <> 2")).collect()] == [3]
     findings = spark.createDataFrame([("r", "F1", "high", "t", '["a.py"]', "CWE-1", "fp"), ("r", "F2", None, None, None, None, None)], "repo_key string, finding_id string, severity string, title string, paths string, primary_cwe string, fingerprint string")
     doc = json.loads(sinks.sarif(findings, "q").first().document)
-    assert [r["level"] for r in doc["runs"][0]["results"]] == ["error", "warning"]
+    assert [r["level"] for r in doc["runs"][0]["results"]] == ["error", "note"]
     many = spark.range(50).selectExpr("'r' AS repo_key", "cast(id AS string) AS finding_id", "'low' AS severity", "'t' AS title", "cast(NULL AS string) AS paths", "'CWE-1' AS primary_cwe", "'x' AS fingerprint")
     parts = [json.loads(r.document) for r in sinks.sarif(many, "q", 10).collect()]
     assert len(parts) > 1 and sum(len(p["runs"][0]["results"]) for p in parts) == 50

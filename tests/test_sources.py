@@ -185,3 +185,21 @@ def test_graph_of_nothing(spark):
     assert graph.blast_radius(e, n, t).count() == 0 and graph.top_shared(e, n, 5).count() == 0
     assert mining.reachability(spark.createDataFrame([], "repo string, cwes array<string>")).first()[:] == (None, None)
     assert sinks.markdown_summary(spark.createDataFrame([], "repo_key string, severity string")).count() == 0
+
+
+def test_corpus_walk(spark, tmp_path):
+    for at in ("findings/p/r/a-security-audit.json", "findings/p/_state/b-security-audit.json", "findings/.git/c.json", "other/d-security-audit.json"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text("{}")
+    (tmp_path / "findings" / "alias.json").symlink_to(tmp_path / "findings/p/r/a-security-audit.json")
+    files = readers.listing(spark, str(tmp_path), "*-security-audit.json")
+    assert [(r.tree, r.below) for r in readers.corpus(files, str(tmp_path), ["findings"]).collect()] == [("findings", "findings/p/r/a-security-audit.json")]
+    assert [(r.alias.rpartition("/")[2], r.kind) for r in readers.link_aliases(spark, str(tmp_path)).collect()] == [("alias.json", "file")]
+
+
+def test_lane_baseline(spark):
+    now = spark.createDataFrame([("CWE-1", "go", 3, 1, "uncovered")], "cwe string, language string, n bigint, repos bigint, state string")
+    p = spark.createDataFrame([("r", 0.4)], "rule string, precision double")
+    assert {r.kind for r in mining.lane(None, now, None, p, (0, 3)).collect()} == {"baseline", "growth"}
+    again = mining.lane(now.limit(0), now, p.limit(0), p, (0, 3)).collect()
+    assert {(r.kind, r.detail) for r in again} == {("new_cluster", "- 3"), ("gate", "entered_below_gate"), ("attention", "1"), ("growth", "3")}
