@@ -11,7 +11,7 @@ import re
 import sys
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarryline.workspace import materialize, workspace
@@ -163,17 +163,17 @@ def caseless_look(text: str) -> str:
     return _in_runs(low, "caseless", known).lower()
 
 
-#: The filter for texts asked for has so many bitmaps of 32,768 bits: 16 MB at most, whatever the number of documents.
+#: The filter for texts asked for has 16 bits for each in bitmaps of 32,768, and so many bitmaps (16 MB) at most.
 BITMAPS, BITS = 4_096, 32_768
 
 
-def _marked(full: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of full whose doc_id may be in asked (all that are, few others), without moving a text.
+def _marked(full: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """Rows of full whose doc_id may be among the n of asked (all that are, few others), without moving a text.
 
-    A hash of each doc_id asked for sets a bit; the bitmaps are broadcast. With far more than their 134 million bits
-    asked for they let all rows through, which costs time but loses nothing, as the exact join comes after.
+    A hash of each doc_id asked for sets a bit; the bitmaps are broadcast. With far more asked for than the 134 million
+    bits at most they let all rows through, which costs time but loses nothing, as the exact join comes after.
     """
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAPS * BITS))
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(min(BITMAPS, 1 + n * 16 // BITS) * BITS))
     place = lambda df: df.withColumns({"__map": (spot / BITS).cast("int"), "__bit": (spot % BITS).cast("int")})
     maps = place(asked.select("doc_id")).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
     byte = F.conv(F.hex(F.substring("__bits", F.expr("__bit div 8 + 1"), F.lit(1))), 16, 10).cast("int")
@@ -193,8 +193,9 @@ def look_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     keys = materialize(keys, f"{base}/keys")
     variants = keys.groupBy("coarse", "variant").agg(F.min("doc_id").alias("doc_id"))
     shared = variants.groupBy("coarse").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("coarse")
-    asked = materialize(variants.join(shared, "coarse", "left_semi"), f"{base}/asked")
-    fewer = _marked(full, asked).withColumn("variant", F.unhex(F.sha2("text", 256)))
+    count = Observation()
+    asked = materialize(variants.join(shared, "coarse", "left_semi").observe(count, F.count(F.lit(1)).alias("n")), f"{base}/asked")
+    fewer = _marked(full, asked, count.get["n"] or 0).withColumn("variant", F.unhex(F.sha2("text", 256)))
     looks = fewer.join(asked, ["doc_id", "variant"]).select("doc_id", "variant", "coarse", same_look(F.col("text")).alias("look"))
     looks = materialize(looks, f"{base}/looks")
     canonical = looks.groupBy("coarse", F.collate("look", "UNICODE").alias("look")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
