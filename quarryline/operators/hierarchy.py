@@ -103,43 +103,37 @@ def _resolve(nodes: DataFrame, paths: bool, base: str) -> DataFrame:
 
 
 def _round(now: DataFrame, seed: int, paths: bool) -> DataFrame:
-    """The next round's rows: leaves are gone, their sizes sent on; chains are spliced."""
-    is_leaf = F.col("state") == "leaf"
-    onward = F.when(~is_leaf, 1)
-    sent = now.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).groupBy(F.col("parent").alias("node")).agg(
-        F.count_if(is_leaf).alias("gone"), F.count(onward).alias("left_over"), F.sum(F.when(is_leaf, F.col("size") + F.col("passed"))).alias("more"),
-        F.min(F.when(~is_leaf, F.col("node"))).alias("child"), F.sum(F.when(~is_leaf, F.col("passed"))).alias("child_passed"),
-    )
-    rest = now.where(~is_leaf).drop("child", "child_passed", "state").join(sent, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
-    looped = F.coalesce(F.col("parent") == F.col("node"), F.lit(False))
-    rank = lambda c: F.xxhash64(F.col(c), F.lit(seed % 4))  # noqa: E731  few seeds, so that rounds share their generated code
-    # a node that lost a leaf in this round waits, so that the leaf's parent is there when rounds are taken back
-    chain = F.col("parent").isNotNull() & ~looped & (F.col("left_over") == 1) & (F.col("gone") == 0) & (rank("node") > rank("child")) & (rank("node") > rank("parent"))
-    state = F.when(F.coalesce(chain, F.lit(False)), "spliced").when((F.coalesce("left_over", F.lit(0)) == 0) & ~looped, "leaf").otherwise("stays")
-    rest = rest.select("node", "parent", "steps", "between", "size", "passed", state.alias("state"), "child", "child_passed")
-    out = rest.where("state = 'spliced'")
-    above = out.select(F.col("child").alias("node"), F.col("parent").alias("up_parent"), F.col("steps").alias("up_steps"), F.col("between").alias("up_between"), F.col("node").alias("up_node"), (F.col("size") + F.col("passed")).alias("up_passed"))
-    linked = rest.join(above, "node", "left")
-    hit = F.col("up_node").isNotNull()
-    between = F.when(hit, F.concat("up_between", F.array("up_node"), "between")).otherwise(F.col("between")) if paths else F.col("between")
-    kept = F.col("state") == "spliced"
-    return linked.select(
-        "node", F.when(hit, F.col("up_parent")).otherwise(F.col("parent")).alias("parent"), (F.col("steps") + F.coalesce("up_steps", F.lit(0))).alias("steps"), between.alias("between"), "size",
-        (F.col("passed") + F.coalesce("up_passed", F.lit(0))).alias("passed"), "state", F.when(kept, F.col("child")).alias("child"), F.when(kept, F.col("child_passed")).alias("child_passed"),
-    )
+    """The next round's rows: leaves are gone, their sizes sent on; chains are spliced.
+
+    A node that lost a leaf in this round isn't spliced, so that the leaf's parent is there when rounds are taken back.
+    Few seeds are used, so that rounds share their generated code.
+    """
+    rank = lambda c: f"xxhash64({c}, {seed % 4})"
+    between = "if(a.up_node is not null, concat(a.up_between, array(a.up_node), r.between), r.between)" if paths else "r.between"
+    return now.sparkSession.sql(f"""
+        WITH sent AS (
+          SELECT parent AS at, count_if(state = 'leaf') AS gone, count_if(state <> 'leaf') AS left_over, sum(if(state = 'leaf', size + passed, NULL)) AS more,
+            min(if(state <> 'leaf', node, NULL)) AS child, sum(if(state <> 'leaf', passed, NULL)) AS child_passed
+          FROM {{now}} WHERE parent IS NOT NULL AND parent <> node GROUP BY parent),
+        rest AS (
+          SELECT node, parent, steps, between, n.size + coalesce(more, 0) AS size, passed, s.child, s.child_passed,
+            CASE WHEN parent <> node AND left_over = 1 AND gone = 0 AND {rank("node")} > {rank("s.child")} AND {rank("node")} > {rank("parent")} THEN 'spliced'
+              WHEN coalesce(left_over, 0) = 0 AND NOT coalesce(parent = node, false) THEN 'leaf' ELSE 'stays' END AS state
+          FROM {{now}} n LEFT JOIN sent s ON n.node = s.at WHERE n.state <> 'leaf'),
+        above AS (SELECT child AS at, parent AS up_parent, steps AS up_steps, between AS up_between, node AS up_node, size + passed AS up_passed FROM rest WHERE state = 'spliced')
+        SELECT r.node, if(a.up_node IS NOT NULL, a.up_parent, r.parent) AS parent, r.steps + coalesce(a.up_steps, 0) AS steps, {between} AS between, r.size, r.passed + coalesce(a.up_passed, 0) AS passed, r.state,
+          if(r.state = 'spliced', r.child, NULL) AS child, if(r.state = 'spliced', r.child_passed, NULL) AS child_passed
+        FROM rest r LEFT JOIN above a ON r.node = a.at""", now=now)
 
 
 def _assigned(rows: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
     """_DONE of rows whose parent, and child if they were spliced out, are known."""
-    up = known.select(F.col("node").alias("parent"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
-    low = known.select(F.col("node").alias("child"), F.col("root").alias("low_root"), F.col("size").alias("low_size"))
-    joined = rows.join(up, "parent", "left").join(low, "child", "left")
-    top = F.col("parent").isNull()
-    root = F.when(top, F.col("node")).when(F.col("low_root") == CYCLE, CYCLE).when(F.col("up_depth") < 0, BELOW).otherwise(F.col("up_root"))
-    fine = top | (F.col("up_depth") >= 0)
-    path = F.when(fine, F.concat(F.coalesce("up_path", F.array().cast("array<string>")), "between", F.array("node"))) if paths else F.lit(None).cast("array<string>")
-    size = F.col("size") + F.when(F.col("state") == "spliced", F.col("child_passed") + F.col("low_size")).otherwise(0)
-    return joined.select("node", root.alias("root"), F.when(top, 0).when(fine, F.col("up_depth") + F.col("steps")).otherwise(-1).cast("bigint").alias("depth"), path.alias("path"), F.when(fine, size).alias("size"))
+    path = "if(r.parent IS NULL OR u.depth >= 0, concat(coalesce(u.path, CAST(array() AS array<string>)), r.between, array(r.node)), NULL)" if paths else "CAST(NULL AS array<string>)"
+    return rows.sparkSession.sql(f"""
+        SELECT r.node, CASE WHEN r.parent IS NULL THEN r.node WHEN l.root = '{CYCLE}' THEN '{CYCLE}' WHEN u.depth < 0 THEN '{BELOW}' ELSE u.root END AS root,
+          CAST(CASE WHEN r.parent IS NULL THEN 0 WHEN u.depth >= 0 THEN u.depth + r.steps ELSE -1 END AS bigint) AS depth, {path} AS path,
+          if(r.parent IS NULL OR u.depth >= 0, r.size + if(r.state = 'spliced', r.child_passed + l.size, 0), NULL) AS size
+        FROM {{rows}} r LEFT JOIN {{known}} u ON r.parent = u.node LEFT JOIN {{known}} l ON r.child = l.node""", rows=rows, known=known)
 
 
 def _write_counted(state: DataFrame, path: str) -> int:
