@@ -124,34 +124,30 @@ class SchemaRegistry:
         added = materialize(whole.select(*LINE, "file_no", "file_name", F.map_from_entries("e").alias("fields"), F.sha2(text, 256).alias("fingerprint")), f"{self.path}/files/{name}")
         pairs = self.chain(known.unionByName(added)).where("before is not null and fingerprint <> old_fingerprint").join(recorded, ["file_name", "before"], "left_anti")
         pairs = materialize(pairs.select("file_name", "before", "fields", "old_fields", F.array_except(F.map_keys("fields"), F.map_keys("old_fields")).alias("fresh"), F.array_except(F.map_keys("old_fields"), F.map_keys("fields")).alias("gone")), f"{self.path}/pairs/{name}")
-        renamed = materialize(_renames(raw, pairs.where("size(fresh) > 0 and size(gone) > 0")), f"{self.path}/renames/{name}")
+        renamed = materialize(_renames(raw, pairs.where("size(fresh) > 0 and size(gone) > 0"), f"{self.path}/marks/{name}"), f"{self.path}/renames/{name}")
         _steps(pairs, renamed).write.mode("overwrite").parquet(f"{self.path}/steps/{name}")
         self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
 
 
-def _renames(raw: DataFrame, pairs: DataFrame) -> DataFrame:
+def _renames(raw: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
     """(file_name, new_field, old_field): fields with the same values for the same records of both files, at least one.
 
     Per field a mark of its set of (record, value) is made by partial aggregates: their number and two 64-bit hashes
-    combined over the set. Only fields new or gone are taken from records, of these two files, and values are hashed first.
+    combined over the set; the marks are kept in path. Only fields new or gone are taken from records, of these two
+    files, and values are hashed first.
     """
     side = lambda file, wanted, new: pairs.select(F.col(file).alias("at"), F.col("file_name").alias("pair"), F.col(wanted).alias("wanted"), F.lit(new).alias("new"))
     roles = side("file_name", "fresh", True).unionByName(side("before", "gone", False))
     rows = parse_records(raw.join(roles.select(F.col("at").alias("file_name")).distinct(), "file_name", "left_semi")).where(F.col("record").isNotNull())
     asked = rows.join(roles, F.col("file_name") == F.col("at")).select("pair", "new", "record", F.filter(F.map_entries("fields"), lambda e: F.array_contains(F.col("wanted"), e["key"]) & (json_kind(e["value"]) != "null")).alias("e"))
-    hashed = F.transform("e", lambda e: F.struct(e["key"].alias("field"), F.xxhash64(F.to_json(e["value"])).alias("one"), F.xxhash64(F.lit("again"), F.to_json(e["value"])).alias("two")))
+    hashed = F.transform("e", lambda e: F.struct("new", e["key"].alias("field"), F.xxhash64(F.to_json(e["value"])).alias("one"), F.xxhash64(F.lit("again"), F.to_json(e["value"])).alias("two")))
     # a record of two files: few lines, with at most as many entries as it has fields
-    met = asked.select("pair", "new", "record", hashed.alias("e")).groupBy("pair", "record").agg(
-        *[F.array_distinct(F.flatten(F.collect_list(F.when(F.col("new") == new, F.col("e"))))).alias(n) for n, new in (("now", True), ("then", False))],
-        F.bool_or("new").alias("here"), F.bool_or(~F.col("new")).alias("there"),
-    ).where("here and there")
-
-    def marks(of: str, name: str) -> DataFrame:
-        cells = met.select("pair", "record", F.explode(of).alias("e"))
-        first, second = F.xxhash64("record", "e.one", "e.two"), F.xxhash64("e.two", "e.one", "record")
-        return cells.groupBy("pair", F.col("e.field").alias(name)).agg(F.concat_ws(",", F.count(F.lit(1)), F.bit_xor(first), F.sum(second.cast("decimal(38,0)")).cast("string")).alias("mark"))
-
-    return marks("now", "new_field").join(marks("then", "old_field"), ["pair", "mark"]).select(F.col("pair").alias("file_name"), "new_field", "old_field")
+    met = asked.select("pair", "new", "record", hashed.alias("e")).groupBy("pair", "record").agg(F.array_distinct(F.flatten(F.collect_list("e"))).alias("e"), F.bool_or("new").alias("here"), F.bool_or(~F.col("new")).alias("there")).where("here and there")
+    cells = met.select("pair", "record", F.explode("e").alias("e"))
+    first, second = F.xxhash64("record", "e.one", "e.two"), F.xxhash64("e.two", "e.one", "record")
+    marks = materialize(cells.groupBy("pair", "e.new", "e.field").agg(F.concat_ws(",", F.count(F.lit(1)), F.bit_xor(first), F.sum(second.cast("decimal(38,0)")).cast("string")).alias("mark")), path)
+    side = lambda new, name: marks.where(F.col("new") == new).select("pair", "mark", F.col("field").alias(name))
+    return side(True, "new_field").join(side(False, "old_field"), ["pair", "mark"]).select(F.col("pair").alias("file_name"), "new_field", "old_field")
 
 
 def _steps(pairs: DataFrame, renamed: DataFrame) -> DataFrame:
