@@ -24,11 +24,11 @@ _ASKED = "t AS (SELECT dst AS target FROM l WHERE rel = 'depends_on' GROUP BY 1
   n AS (SELECT target, count(DISTINCT node) AS repo_count FROM q GROUP BY 1), k AS (SELECT id, max(kind) AS kind FROM nodes GROUP BY 1),
   s AS (SELECT DISTINCT q.target, l.src AS node, k.kind AS detail, CAST(NULL AS BOOLEAN) AS indirect FROM q JOIN l ON l.dst = q.node AND l.rel IN ('ships', 'contains', 'includes') JOIN k ON k.id = l.src),
   u AS (SELECT target, 'requires' AS part, node, detail, indirect FROM q UNION ALL SELECT target, 'surface', node, detail, indirect FROM s)
-  SELECT u.target, part, row_number() OVER (PARTITION BY u.target, part ORDER BY indirect NULLS FIRST, node)::INT AS place, node, detail, indirect, repo_count FROM u JOIN n USING (target)""")
+  SELECT u.target, part, row_number() OVER (PARTITION BY u.target, part ORDER BY indirect NULLS FIRST, node)::INT AS place, node, detail, CAST(indirect AS VARCHAR) AS indirect, repo_count FROM u JOIN n USING (target)""")
 def grf_01_sort_03_join_04_blast_radius(s, d):
     edges = links(s, d)
     asked = edges.where("rel = 'depends_on'").groupBy(F.col("dst").alias("target")).agg(F.countDistinct("src").alias("n")).where("n >= 3")
-    return graph.blast_radius(edges, table(s, d, "nodes"), asked)
+    return graph.blast_radius(edges, table(s, d, "nodes"), asked).withColumn("indirect", F.col("indirect").cast("string"))
 
 
 _TOP = "n AS (SELECT id, max(label) AS label, max(attrs) AS na FROM nodes GROUP BY 1), c AS (SELECT dst, count(DISTINCT src) AS dependents FROM l WHERE rel = 'depends_on' GROUP BY 1), x AS (SELECT dst, label, dependents, json_extract_string(na, '$.internal') AS internal, coalesce(json_extract_string(na, '$.ecosystem'), 'Go') AS ecosystem, json_extract_string(na, '$.owner_repo') AS owner, json_extract_string(na, '$.sustaining_fork') AS fork FROM c JOIN n ON n.id = c.dst)"
@@ -92,11 +92,11 @@ def join_10_digest_prefix(s, d):
 
 
 @query(f"""WITH e AS (SELECT DISTINCT src AS repo, split_part(dst, ':', 1) AS ecosystem, dst AS name, rel AS manifest, {_V} AS version, {_I} = 'true' AS indirect FROM edges WHERE rel IN ('depends_on', 'declares', 'imports_package', 'ships_package', 'consumes_group'))
-  SELECT repo, ecosystem, name, arg_min(version, (manifest, version)) FILTER (WHERE version <> '') AS version, bool_and(indirect) AS indirect, array_to_string(list_sort(list_distinct(list(manifest)))[1:1], ',') AS manifests, count(DISTINCT manifest) > 1 AS truncated FROM e GROUP BY 1, 2, 3""")
+  SELECT repo, ecosystem, name, arg_min(version, (manifest, version)) FILTER (WHERE version <> '') AS version, CAST(bool_and(indirect) AS VARCHAR) AS indirect, array_to_string(list_sort(list_distinct(list(manifest)))[1:1], ',') AS manifests, count(DISTINCT manifest) > 1 AS truncated FROM e GROUP BY 1, 2, 3""")
 def agg_34_dependencies(s, d):
     e = table(s, d, "edges").where(F.col("rel").isin("depends_on", "declares", "imports_package", "ships_package", "consumes_group"))
     found = e.select(F.col("src").alias("repo"), F.substring_index("dst", ":", 1).alias("ecosystem"), F.col("dst").alias("name"), F.col("rel").alias("manifest"), F.col("rel").alias("ordinal"), graph.attr("version").alias("version"), (graph.attr("indirect") == "true").alias("indirect")).distinct()
-    return graph.dependencies(found, 1)
+    return graph.dependencies(found, 1).withColumn("indirect", F.col("indirect").cast("string"))
 
 
 @query("WITH m AS (SELECT kind AS ecosystem, count(*) AS n_manifests FROM (SELECT DISTINCT id, kind FROM nodes) GROUP BY 1), e AS (SELECT split_part(dst, ':', 1) AS ecosystem, count(*) AS n_edges FROM (SELECT DISTINCT src, dst FROM edges WHERE rel = 'depends_on') GROUP BY 1) SELECT ecosystem, coalesce(n_manifests, 0) AS n_manifests, coalesce(n_edges, 0) AS n_edges, coalesce(n_manifests, 0) > 0 AND coalesce(n_edges, 0) = 0 AS loud_fail FROM m FULL JOIN e USING (ecosystem)")
@@ -134,10 +134,10 @@ def _go_manifests(s, d):
 
 
 @query(f"""WITH {L}, g AS (SELECT src, dst, coalesce({_V}, 'v0') AS version, coalesce({_I} = 'true', false) AS indirect FROM l WHERE rel = 'depends_on')
-  SELECT src, 'module:' || dst AS dst, 'depends_on' AS rel, version, indirect FROM g UNION ALL SELECT DISTINCT src, 'module:' || src, 'declares', NULL, NULL FROM g""")
+  SELECT src, 'module:' || dst AS dst, 'depends_on' AS rel, version, CAST(indirect AS VARCHAR) AS indirect FROM g UNION ALL SELECT DISTINCT src, 'module:' || src, 'declares', NULL, NULL FROM g""")
 def grf_09_module_edges(s, d):
     _, edges = graph.module_layer(_go_manifests(s, d))
-    return edges.select("src", "dst", "rel", graph.attr("version").alias("version"), (graph.attr("indirect") == "true").alias("indirect"))
+    return edges.select("src", "dst", "rel", graph.attr("version").alias("version"), graph.attr("indirect").alias("indirect"))
 
 
 @query(f"WITH {L}, g AS (SELECT src, dst FROM l WHERE rel = 'depends_on') SELECT 'module:' || x.id AS id, x.id AS label, CASE WHEN o.src IS NULL THEN '0' ELSE '1' END AS internal, o.src AS owner FROM (SELECT src AS id FROM g UNION SELECT dst FROM g) x LEFT JOIN (SELECT DISTINCT src FROM g) o ON o.src = x.id")

@@ -36,9 +36,9 @@ def ranged(s, d):
     return both.withColumn("in_range", po.in_vulnerable_range(F.col("version"), F.col("range"), F.col("fixed"), F.col("ecosystem")))
 
 
-@query(f"WITH {_USE} SELECT advisory, repo, dst, rel, version, in_range FROM rg")
+@query(f"WITH {_USE} SELECT advisory, repo, dst, rel, version, CAST(in_range AS VARCHAR) AS in_range FROM rg")
 def join_15_fn_ver_01_02_ranges(s, d):
-    return ranged(s, d).select("advisory", "repo", "dst", "rel", "version", "in_range")
+    return ranged(s, d).select("advisory", "repo", "dst", "rel", "version", F.col("in_range").cast("string").alias("in_range"))
 
 
 _CLS = f"""{_USE}, im AS (SELECT DISTINCT src FROM l WHERE rel = 'imports_package'), k AS (SELECT rg.*, CASE WHEN in_range = false THEN 'version_not_in_range' WHEN rel = 'depends_on' AND indirect = 'false' AND length(repo) % 4 = 0 THEN 'affected' WHEN length(repo) % 5 = 0 THEN CASE WHEN indirect = 'true' THEN 'likely_affected' ELSE 'affected' END
