@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from quarryline.plans.registry import registry
 from quarryline.plans.relational import E, FI, L, R, findings, ledger, links, repos
 from quarryline.sources import projection as pj
-from quarryline.workspace import workspace
+from quarryline.workspace import table, workspace
 
 QUERIES, SQL, query = registry()
 x = F.expr
+#: Findings of a written report document, about; a repository with more has several documents.
+PER_DOCUMENT = 1000
 
 
 def filed(s, df):
@@ -22,7 +24,9 @@ def filed(s, df):
 
 
 def reports(s, d):
-    f = findings(s, d)
+    """Reports of the findings; those of a large repository are dealt to several by the hash of their id, so no row grows with it."""
+    large = table(s, d, "findings").groupBy("repo_key").agg(F.ceil(F.count("*") / PER_DOCUMENT).alias("parts")).where("parts > 1")
+    f = findings(s, d).join(F.broadcast(large), "repo_key", "left").withColumn("part", x("coalesce(pmod(xxhash64(finding_id), parts), 0)"))
     strings = lambda c: F.from_json(c, "array<string>")
     refs = F.regexp_extract_all("control_refs", F.lit(r"([a-z]+:[A-Z]+-\d+)"), F.lit(1))
     one = F.struct(
@@ -30,9 +34,9 @@ def reports(s, d):
         F.transform(F.concat(F.coalesce(strings("paths"), F.array().cast("array<string>")), F.array(F.lit(""))), lambda p: F.struct(p.alias("path"), F.lit("1-2").alias("lines"))).alias("locations"), F.when(F.col("row_no") % 3 > 0, F.col("fingerprint")).alias("fingerprint"), "validation_status", refs.alias("control_refs"),
         F.struct("validity", "resolution", "assurance", "last_updated").alias("disposition"), F.lit("kept").alias("unknown_key"),
     )
-    listed = f.groupBy("repo_key").agg(F.array_sort(F.collect_list(F.struct("row_no", one.alias("f")))).alias("l"))
+    listed = f.groupBy("repo_key", "part").agg(F.array_sort(F.collect_list(F.struct("row_no", one.alias("f")))).alias("l"))
     doc = F.to_json(F.struct(F.lit("Report").alias("title"), F.struct(F.concat(F.lit("https://x.test/"), "repo_key").alias("repository")).alias("metadata"), F.transform("l", lambda v: v["f"]).alias("findings")))
-    return filed(s, listed.select(F.concat("repo_key", F.lit("-security-audit.json")).alias("path"), doc.alias("text"), "repo_key"))
+    return filed(s, listed.select(F.concat("repo_key", x("if(part > 0, concat('-', part), '')"), F.lit("-security-audit.json")).alias("path"), doc.alias("text"), "repo_key"))
 
 
 _OWNFP = "sha256(concat_ws('|', 'https://x.test/' || repo_key, array_to_string(list_sort(coalesce(from_json(paths, '[\"VARCHAR\"]'), [])), ';'), from_json(cwes, '[\"VARCHAR\"]')[1]))"
@@ -100,8 +104,6 @@ def job_01_src_16_decisions(s, d):
 
 @query("SELECT src AS from_id, dst AS to_id, rel, count(*) AS n FROM edges GROUP BY ALL")
 def job_01_src_12_graph_edges(s, d):
-    from quarryline.workspace import table
-
     e = table(s, d, "edges").groupBy("rel").agg(F.collect_list(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "rel", F.lit("b").alias("branch"))).alias("edges"))
     docs = e.select(F.concat("rel", F.lit(".json")).alias("path"), F.to_json(F.struct("edges")).alias("text"), F.lit(None).cast("string").alias("repo_key"))
     return pj.graph_edges_table(filed(s, docs).drop("repo_key")).groupBy("from_id", "to_id", "rel").agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import json
+import os
 import struct
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import scanners as sc
 from quarryline.functions.udtf import register
 from quarryline.operators import dispositions, graph, mining, portfolio, relational, timeline
+from quarryline.plans import projection as plans
 from quarryline.sources import projection, readers, sinks
 from quarryline.streaming import ledger
 from quarryline.workspace import workspace
@@ -203,3 +205,30 @@ def test_lane_baseline(spark):
     assert {r.kind for r in mining.lane(None, now, None, p, (0, 3)).collect()} == {"baseline", "growth"}
     again = mining.lane(now.limit(0), now, p.limit(0), p, (0, 3)).collect()
     assert {(r.kind, r.detail) for r in again} == {("new_cluster", "- 3"), ("gate", "entered_below_gate"), ("attention", "1"), ("growth", "3")}
+
+
+def test_rows_of_findings_do_not_carry_their_document(spark, tmp_path):
+    spark.createDataFrame([("r", "p", "{}")], "repo_key string, path string, text string").write.parquet(str(tmp_path / "d"))
+    plan = projection.findings_table(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
+    generate = next(line for line in plan.split("\n") if "Generate" in line)
+    assert "doc#" not in generate and "findings#" in generate and plan.count("from_json") == 1
+
+
+def large_repository(spark, path):
+    """Tables of the smallest size, with one repository of 2,600 findings among its own."""
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    f = spark.read.parquet(f"{d}/findings.parquet").where("removed_at is null")
+    more = f.limit(1).crossJoin(spark.range(2_600)).withColumns({"repo_key": F.lit("large"), "finding_id": F.concat(F.lit("F-"), "id"), "row_no": F.col("id") + 1_000_000}).drop("id")
+    f.unionByName(more).write.parquet(f"{path}/findings.parquet")
+    spark.read.parquet(f"{d}/repos.parquet").write.parquet(f"{path}/repos.parquet")
+
+
+def test_a_large_repository_has_several_documents(spark, tmp_path):
+    large_repository(spark, tmp_path)
+    docs = plans.reports(spark, str(tmp_path)).where("repo_key = 'large'").select(F.size(F.from_json("text", projection.REPORT)["findings"]).alias("n"))
+    each = [r.n for r in docs.collect()]
+    assert len(each) == 3 and max(each) < 1_200 and sum(each) == 2_600
+    got = plans.job_01_prj_01_findings(spark, str(tmp_path)).where("repo_key = 'large'")
+    assert got.count() == got.select("finding_id").distinct().count() == 2_600
