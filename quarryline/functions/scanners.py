@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -134,13 +135,55 @@ MANIFEST = "kind string, metadata struct<name:string,labels:map<string,string>>,
 PODS = {"Pod": "$.spec", "CronJob": "$.spec.jobTemplate.spec.template.spec", **dict.fromkeys(("Deployment", "StatefulSet", "DaemonSet", "ReplicaSet", "Job"), "$.spec.template.spec")}
 
 
+def _exact(text: str):
+    raise ValueError(text)
+
+
+def _yaml_parts(text: str) -> list[str]:
+    """A YAML text cut at its lines ``---``; the whole text where other marks stand at the start of a line, or characters that YAML may take as line breaks."""
+    if not text.isascii() or "\r" in text:
+        return [text]
+    marks = re.findall(r"^(?:---|\.\.\.|%).*", text, re.MULTILINE)
+    return re.split(r"^---\n", text, flags=re.MULTILINE) if all(m == "---" for m in marks) else [text]
+
+
+def _yaml_reader():
+    """text -> its documents; ImportError without a YAML package."""
+    import yaml
+
+    # JSON that YAML may read otherwise (exponents, NaN) is an error for this decoder
+    decoder = json.JSONDecoder(parse_float=lambda v: _exact(v) if "e" in v.lower() else float(v), parse_constant=_exact)
+
+    def load(text: str) -> list:
+        try:
+            return list(yaml.load_all(text, Loader=fast))
+        except yaml.YAMLError:
+            if fast is yaml.SafeLoader:
+                raise
+            return list(yaml.safe_load_all(text))
+
+    def read(text: str) -> list:
+        out = []
+        for part in _yaml_parts(text):
+            # JSON objects, which are most of what is generated, needn't go through YAML
+            if part.startswith("{") and part.isascii() and not any(c in part for c in "\\\t\x7f"):
+                try:
+                    out.append(decoder.decode(part.rstrip()))
+                    continue
+                except ValueError:
+                    pass
+            out += load(part)
+        return out
+
+    fast = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    return read
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def yaml_documents(text: pd.Series) -> pd.Series:
     """The documents of a YAML text as JSON texts; a text that can't be read has none. Without a YAML package only JSON is read."""
     try:
-        import yaml
-
-        load = lambda t: yaml.safe_load_all(t)
+        load = _yaml_reader()
     except ImportError:
         load = lambda t: [json.loads(t)]
 
@@ -154,58 +197,64 @@ def yaml_documents(text: pd.Series) -> pd.Series:
 
 
 def kubernetes(files: DataFrame) -> DataFrame:
-    """(path, kind, name, check, severity, detail) of files (path, text) of manifests, one row for each hit."""
+    """(path, kind, name, check, severity, detail) of files (path, text) of manifests, one row for each hit.
+
+    All checks of a document are made at once, so that each file is read and parsed once.
+    """
     docs = files.select("path", F.explode(yaml_documents("text")).alias("json")).select("path", "json", F.from_json("json", MANIFEST).alias("d")).where("d.kind is not null")
     head = docs.select("path", "json", F.col("d.kind").alias("kind"), F.coalesce("d.metadata.name", F.lit("?")).alias("name"), "d")
     false, true = (lambda c: F.coalesce(~c, F.lit(False))), (lambda c: F.coalesce(c, F.lit(False)))
     hit = lambda check, wrong, detail: F.when(F.coalesce(wrong, F.lit(False)), F.struct(F.lit(check).alias("check"), F.lit(CHECKS[check][1]).alias("severity"), detail.cast("string").alias("detail")))
-    flat = lambda df, hits: df.select("path", "kind", "name", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "kind", "name", "h.*")
+    of_each = lambda items, hits: F.coalesce(F.flatten(F.transform(items, lambda i: F.array(*hits(i)))), F.array().cast("array<struct<check:string,severity:string,detail:string>>"))
     place = F.create_map(*[F.lit(x) for p in PODS.items() for x in p])[F.col("kind")]
     pod_json = None
     for p in dict.fromkeys(PODS.values()):
         part = F.when(place == p, F.get_json_object("json", p))
         pod_json = part if pod_json is None else F.coalesce(pod_json, part)
-    pods = head.withColumn("pod", F.from_json(pod_json, _POD)).where("pod is not null")
+    rule = "array<map<string,string>>"
+    kind_is = lambda *names: F.col("kind").isin(*names)
+    ways = {way: F.from_json(F.when(kind_is("NetworkPolicy", "MultiNetworkPolicy"), F.get_json_object("json", f"$.spec.{way}")), rule) for way in ("ingress", "egress")}
+    head = head.select("path", "kind", "name", "d", F.from_json(pod_json, _POD).alias("pod"), F.when(kind_is("Service"), F.get_json_object("json", "$.spec.type")).alias("service"), *[c.alias(way) for way, c in ways.items()])
     p = F.col("pod")
-    one = flat(pods, [
+    pods = of_each(F.when(p.isNotNull(), F.array(p)), lambda p: [
         *[hit("KHS-W06", p[f], F.lit(f"{f}: true")) for f in ("hostNetwork", "hostPID", "hostIPC")],
         hit("KHS-W10", F.coalesce(p["serviceAccountName"], F.lit("")).isin("", "default"), F.lit("serviceAccountName")), hit("KHS-W09", ~false(p["automountServiceAccountToken"]), F.lit("automountServiceAccountToken")),
     ])
-    volumes = pods.select("path", "kind", "name", F.explode("pod.volumes").alias("v")).where("v.hostPath is not null")
-    volumes = flat(volumes, [hit("KHS-W07", F.lit(True), F.col("v.name"))])
-    every = F.concat(F.coalesce("pod.containers", F.array().cast(f"array<{_CONTAINER}>")), F.coalesce("pod.initContainers", F.array().cast(f"array<{_CONTAINER}>")))
-    boxes = pods.select("path", "kind", "name", F.col("pod.securityContext").alias("ps"), F.explode(every).alias("c"))
-    c, s, ps = F.col("c"), F.col("c.securityContext"), F.col("ps")
-    n = F.coalesce(c["name"], F.lit("?"))
-    args = F.concat(F.coalesce(c["args"], F.array().cast("array<string>")), F.coalesce(c["command"], F.array().cast("array<string>")))
-    risky = F.array_intersect(F.transform(s["capabilities"]["add"], F.upper), F.array(*map(F.lit, CAPABILITIES)))
-    secret_env = F.coalesce(F.exists(c["env"], lambda e: F.coalesce(e["valueFrom"]["secretKeyRef"].isNotNull(), F.lit(False))), F.lit(False)) | F.coalesce(F.exists(c["envFrom"], lambda e: e["secretRef"].isNotNull()), F.lit(False))
-    inside = flat(boxes, [
-        hit("KHS-W01", s["privileged"], n), hit("KHS-W02", ~false(s["allowPrivilegeEscalation"]), n), hit("KHS-W03", ~true(F.coalesce(s["runAsNonRoot"], ps["runAsNonRoot"])) & (F.coalesce(s["runAsUser"], ps["runAsUser"], F.lit(0)) == 0), n),
-        hit("KHS-W04", F.size(risky) > 0, F.concat_ws(" ", n, F.array_join(F.array_sort(risky), ","))), hit("KHS-W05", ~true(s["readOnlyRootFilesystem"]), n), hit("KHS-W08", F.coalesce(F.size(c["resources"]["limits"]), F.lit(0)) <= 0, n),
-        hit("KHS-W12", s["seccompProfile"].isNull() & ps["seccompProfile"].isNull(), n), hit("KHS-W11", (c["image"] != "") & ~F.contains(c["image"], F.lit("@sha256:")), F.concat_ws(" ", n, c["image"])), hit("KHS-W13", secret_env, n),
-        hit("KHS-A01", F.exists(args, lambda a: a.rlike(INSECURE)), n),
-    ])
-    rules = head.where(F.col("kind").isin("Role", "ClusterRole")).select("path", "kind", "name", F.explode("d.rules").alias("r"))
-    has = lambda f, *v: F.coalesce(F.arrays_overlap(F.col(f"r.{f}"), F.array(*map(F.lit, v))), F.lit(False))
-    roles = flat(rules, [
-        hit("KHS-R01", has("verbs", "*") | has("resources", "*") | has("apiGroups", "*"), F.array_join("r.resources", ",")), hit("KHS-R03", has("resources", "secrets") & has("verbs", "get", "list", "watch", "*"), F.array_join("r.verbs", ",")),
-        hit("KHS-R04", has("verbs", *ESCALATION), F.array_join("r.verbs", ",")),
+    volumes = of_each("pod.volumes", lambda v: [hit("KHS-W07", v["hostPath"].isNotNull(), v["name"])])
+    ps = p["securityContext"]
+
+    def of_container(c: Column) -> list[Column]:
+        s, n = c["securityContext"], F.coalesce(c["name"], F.lit("?"))
+        args = F.concat(F.coalesce(c["args"], F.array().cast("array<string>")), F.coalesce(c["command"], F.array().cast("array<string>")))
+        risky = F.array_intersect(F.transform(s["capabilities"]["add"], F.upper), F.array(*map(F.lit, CAPABILITIES)))
+        secret_env = F.coalesce(F.exists(c["env"], lambda e: F.coalesce(e["valueFrom"]["secretKeyRef"].isNotNull(), F.lit(False))), F.lit(False)) | F.coalesce(F.exists(c["envFrom"], lambda e: e["secretRef"].isNotNull()), F.lit(False))
+        return [
+            hit("KHS-W01", s["privileged"], n), hit("KHS-W02", ~false(s["allowPrivilegeEscalation"]), n), hit("KHS-W03", ~true(F.coalesce(s["runAsNonRoot"], ps["runAsNonRoot"])) & (F.coalesce(s["runAsUser"], ps["runAsUser"], F.lit(0)) == 0), n),
+            hit("KHS-W04", F.size(risky) > 0, F.concat_ws(" ", n, F.array_join(F.array_sort(risky), ","))), hit("KHS-W05", ~true(s["readOnlyRootFilesystem"]), n), hit("KHS-W08", F.coalesce(F.size(c["resources"]["limits"]), F.lit(0)) <= 0, n),
+            hit("KHS-W12", s["seccompProfile"].isNull() & ps["seccompProfile"].isNull(), n), hit("KHS-W11", (c["image"] != "") & ~F.contains(c["image"], F.lit("@sha256:")), F.concat_ws(" ", n, c["image"])), hit("KHS-W13", secret_env, n),
+            hit("KHS-A01", F.exists(args, lambda a: a.rlike(INSECURE)), n),
+        ]
+
+    inside = [of_each(f"pod.{c}", of_container) for c in ("containers", "initContainers")]
+    has = lambda r, f, *v: F.coalesce(F.arrays_overlap(r[f], F.array(*map(F.lit, v))), F.lit(False))
+    roles = of_each(F.when(kind_is("Role", "ClusterRole"), F.col("d.rules")), lambda r: [
+        hit("KHS-R01", has(r, "verbs", "*") | has(r, "resources", "*") | has(r, "apiGroups", "*"), F.array_join(r["resources"], ",")), hit("KHS-R03", has(r, "resources", "secrets") & has(r, "verbs", "get", "list", "watch", "*"), F.array_join(r["verbs"], ",")),
+        hit("KHS-R04", has(r, "verbs", *ESCALATION), F.array_join(r["verbs"], ",")),
     ])
     label = F.col("d.metadata.labels")["pod-security.kubernetes.io/enforce"]
-    kind_is = lambda *names: F.col("kind").isin(*names)
-    service = F.get_json_object("json", "$.spec.type")
-    whole = flat(head, [
-        hit("KHS-R02", kind_is("RoleBinding", "ClusterRoleBinding") & (F.col("d.roleRef.name") == "cluster-admin"), F.lit("cluster-admin")), hit("KHS-N01", kind_is("Service") & service.isin("NodePort", "LoadBalancer"), service), hit("KHS-P01", kind_is("Namespace") & label.isNull(), F.lit("enforce")),
+    whole = F.array(
+        hit("KHS-R02", kind_is("RoleBinding", "ClusterRoleBinding") & (F.col("d.roleRef.name") == "cluster-admin"), F.lit("cluster-admin")), hit("KHS-N01", F.col("service").isin("NodePort", "LoadBalancer"), F.col("service")), hit("KHS-P01", kind_is("Namespace") & label.isNull(), F.lit("enforce")),
         hit("KHS-H01", F.exists("d.webhooks", lambda w: w["failurePolicy"] == "Ignore"), F.lit("failurePolicy")),
-    ])
-    rule = "array<map<string,string>>"
-    ways = head.where(kind_is("NetworkPolicy", "MultiNetworkPolicy")).select("path", "kind", "name", F.explode(F.array(*[F.struct(F.lit(way).alias("way"), F.lit(peer).alias("peer"), F.from_json(F.get_json_object("json", f"$.spec.{way}"), rule).alias("rules")) for way, peer in (("ingress", "from"), ("egress", "to"))])).alias("w"))
-    open_rule = ways.select("path", "kind", "name", "w.way", "w.peer", F.explode("w.rules").alias("r"))
-    peers = F.try_element_at("r", F.col("peer"))
-    wide = peers.rlike(r'"namespaceSelector":\s*\{\}') & ~peers.contains('"podSelector"') | peers.rlike(r'"cidr":\s*"(?:0\.0\.0\.0/0|::/0)"')
-    policies = flat(open_rule, [hit("KHS-N03", (F.size("r") == 0) | ~F.map_contains_key("r", F.col("peer")) | F.coalesce(wide, F.lit(False)), F.col("way"))])
-    return one.unionByName(volumes).unionByName(inside).unionByName(roles).unionByName(whole).unionByName(policies)
+    )
+
+    def of_policy(r: Column, way: str, peer: str) -> list[Column]:
+        peers = F.try_element_at(r, F.lit(peer))
+        wide = peers.rlike(r'"namespaceSelector":\s*\{\}') & ~peers.contains('"podSelector"') | peers.rlike(r'"cidr":\s*"(?:0\.0\.0\.0/0|::/0)"')
+        return [hit("KHS-N03", (F.size(r) == 0) | ~F.map_contains_key(r, F.lit(peer)) | F.coalesce(wide, F.lit(False)), F.lit(way))]
+
+    policies = [of_each(way, lambda r, w=way, p=peer: of_policy(r, w, p)) for way, peer in (("ingress", "from"), ("egress", "to"))]
+    hits = F.array_compact(F.concat(pods, volumes, *inside, roles, whole, *policies))
+    return head.select("path", "kind", "name", F.explode(hits).alias("h")).select("path", "kind", "name", "h.*")
 
 
 # ---- cryptography

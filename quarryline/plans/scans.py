@@ -101,7 +101,9 @@ def kernel_kubernetes(s, d):
     policy = cat(F.lit("kind: NetworkPolicy\nmetadata: {name: p"), no, F.lit("}\nspec:\n  ingress:\n  - "), F.when(x("row_no % 3 = 0"), "{}").when(x("row_no % 3 = 1"), "from: [{ipBlock: {cidr: 0.0.0.0/0}}]").otherwise("from: [{podSelector: {}}]"))
     hook = cat(F.lit("kind: ValidatingWebhookConfiguration\nmetadata: {name: w"), no, F.lit("}\nwebhooks: [{name: a, failurePolicy: "), when("row_no % 25 = 0", "Ignore", "Fail"), F.lit("}]"))
     text = F.concat_ws("\n---\n", deployment, role, binding, service, namespace, policy, hook)
-    return sc.kubernetes(findings(s, d).select(F.col("repo_key").alias("path"), text.alias("text"))).select("path", "kind", "name", "check")
+    # few bytes here become much text: a set number of tasks, since adaptive ones are made by bytes
+    spread = findings(s, d).select("repo_key", "row_no").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "row_no")
+    return sc.kubernetes(spread.select(F.col("repo_key").alias("path"), text.alias("text"))).select("path", "kind", "name", "check")
 
 
 _FILES = f"""{_N}, fl AS (SELECT DISTINCT repo_key || '/' || path AS path, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext FROM n)"""

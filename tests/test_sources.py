@@ -214,6 +214,15 @@ def test_rows_of_findings_do_not_carry_their_document(spark, tmp_path):
     assert "doc#" not in generate and "findings#" in generate and plan.count("from_json") == 1
 
 
+def test_manifests_are_read_once(spark, tmp_path):
+    texts = ['{"kind": "Pod", "spec": {"hostPID": true}}\n---\nkind: Service\nspec: {type: NodePort}', '{"kind": "Pod", "spec": {"x": 1e5, "y": "\\u0041"}}\n---\n- a', "%YAML 1.1\n---\nkind: Pod\n...\n", "kind: Pod\n---\na: [", "kind: Pod\r\n---\r\nkind: Pod"]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    docs = {r.path: [json.loads(x) for x in r.docs] for r in files.select("path", sc.yaml_documents("text").alias("docs")).collect()}
+    assert docs == {"0": [{"kind": "Pod", "spec": {"hostPID": True}}, {"kind": "Service", "spec": {"type": "NodePort"}}], "1": [{"kind": "Pod", "spec": {"x": "1e5", "y": "A"}}], "2": [{"kind": "Pod"}], "3": [], "4": [{"kind": "Pod"}] * 2}
+    assert sorted((r.path, r.check) for r in sc.kubernetes(files).where("path = '0'").collect()) == [("0", "KHS-N01"), ("0", "KHS-W06"), ("0", "KHS-W09"), ("0", "KHS-W10")]
+    assert sc.kubernetes(files)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def large_repository(spark, path):
     """Tables of the smallest size, with one repository of 2,600 findings among its own."""
     d = "/root/testdata/sf0.001"
