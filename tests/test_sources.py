@@ -241,3 +241,10 @@ def test_a_large_repository_has_several_documents(spark, tmp_path):
     assert len(each) == 3 and max(each) < 1_200 and sum(each) == 2_600
     got = plans.job_01_prj_01_findings(spark, str(tmp_path)).where("repo_key = 'large'")
     assert got.count() == got.select("finding_id").distinct().count() == 2_600
+
+
+def test_build_with_a_large_repository(spark, tmp_path):
+    large_repository(spark, tmp_path)
+    want = plans.findings(spark, str(tmp_path)).count()
+    got = {r.name: r.n for r in plans.job_01_snk_01_src_08_build(spark, str(tmp_path)).collect()}
+    assert got["findings"] == want > 2_600 and got["repos"] == plans.repos(spark, str(tmp_path)).count()
