@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.timestamps import with_readings
 from quarryline.operators import changefeed, hierarchy, instants, late_events, orphans, relational, schema_drift, skew
+from quarryline.plans import problems
 from quarryline.workspace import workspace
 
 T = lambda day: dt.datetime(2024, 1, day)
@@ -188,6 +189,16 @@ def test_cut_chains_cost_the_same(spark, block_rows, cut):
     assert cost(F.floor(F.col("row_no") / cut) if cut else None, block_rows) == cost(None, 10_000)
 
 
+def test_p6_takes_the_conventions_only(spark, tmp_path):
+    # a month 13 names no instant by the conventions, though with day and month swapped it would
+    data = [(1, "13/05/2024", "s", None), (2, "05/13/2024", "s", None), (2, "05/13/2024", "s", None), (3, "06/07/2024 10:00", "s", "CET"), (4, None, "s", None), (5, "never", None, None), (6, "2024-01-01T00:00:00+00:00", "s", None)]
+    for name, field, source in (("finding_events", "occurred_at", "repo_key"), ("findings", "last_updated", "repo_key"), ("repos", "audit_date", "tree")):
+        spark.createDataFrame(data, f"row_no bigint, {field} string, {source} string, site_tz string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    ms = lambda *at: int(dt.datetime(*at, tzinfo=dt.timezone.utc).timestamp() * 1000)
+    got = problems.p6_found(spark, str(tmp_path)).where("table_name = 'repos'")
+    assert rows(got, "row_no", "field_name", "epoch_ms") == [(2, "audit_date", ms(2024, 5, 13)), (3, "audit_date", ms(2024, 6, 7, 8))]
+
+
 def test_normalise_a_hot_source(spark):
     data = [(i, "hot" if i % 4 else f"s{i}", f"0{1 + i % 9}.0{1 + i % 8}.2024 10:00" if i % 5 else "2024-01-01T00:00:00Z", None) for i in range(400)]
     df = spark.createDataFrame(data, "row_no bigint, source string, written string, site_tz string")
