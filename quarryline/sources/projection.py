@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
 from quarryline.operators.relational import last_per_key
-from quarryline.workspace import children, discard
+from quarryline.workspace import children, discard, shuffles_dropped
 
 REVISION = 3  # of the tables' columns; readers refuse any other
 _LOCATIONS = "locations array<struct<path:string,lines:string>>"
@@ -132,7 +132,8 @@ def write(spark: SparkSession, path: str, tables: dict[str, DataFrame], meta: di
     root, name = path.rstrip("/"), f"build-{uuid.uuid4().hex}"
     counts = {}
     for t, df in tables.items():
-        df.write.parquet(f"{root}/{name}/{t}")
+        with shuffles_dropped(spark):
+            df.write.parquet(f"{root}/{name}/{t}")
         counts[t] = spark.read.schema(df.schema).parquet(f"{root}/{name}/{t}").count()
     stamped = {"schema_revision": str(REVISION), "built_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), **meta}
     spark.createDataFrame(sorted(stamped.items()), "key string, value string").coalesce(1).write.parquet(f"{root}/{name}/meta")

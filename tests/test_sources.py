@@ -248,3 +248,26 @@ def test_build_with_a_large_repository(spark, tmp_path):
     want = plans.findings(spark, str(tmp_path)).count()
     got = {r.name: r.n for r in plans.job_01_snk_01_src_08_build(spark, str(tmp_path)).collect()}
     assert got["findings"] == want > 2_600 and got["repos"] == plans.repos(spark, str(tmp_path)).count()
+
+
+def test_a_build_keeps_little_on_disk(spark, tmp_path):
+    large_repository(spark, tmp_path)
+    on_disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = on_disk.getAllFiles()
+        return {files.apply(i).getName(): files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    plans.job_01_snk_01_src_08_build(spark, str(tmp_path))
+    assert sum(n for name, n in shuffled().items() if name not in before) < 50_000
+    assert all(f.endswith(".json.gz") for f in plans.reports(spark, str(tmp_path)).inputFiles())
+
+
+def test_findings_move_once_to_their_documents(spark, tmp_path):
+    large_repository(spark, tmp_path)
+    f = plans.dealt(spark, str(tmp_path))
+    plan = f.groupBy("repo_key", "part").agg(F.collect_list("title"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange hashpartitioning(repo_key") == 2  # one to count repositories
+    again = f.drop("part").exceptAll(plans.findings(spark, str(tmp_path)).select(f.drop("part").columns))
+    assert again.isEmpty() and f.count() == plans.findings(spark, str(tmp_path)).count()
